@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from lumiform.llm.chat import OP7_SQL, op7_chat
+from lumiform.llm.html import op6_html
+from lumiform.llm.lines import OP10_SQL, op10_line_dedup
+from lumiform.llm.tiff import op1_tiff
 from lumiform.llm.tokens import op9_token_counts
 
 QUERIES = {
+    "op1_tiff": op1_tiff,
+    "op6_html": op6_html,
     "op7_chat": op7_chat,
     "op9_token_counts": op9_token_counts,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE = {
     "op7_chat": OP7_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
