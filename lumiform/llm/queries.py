@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from lumiform.llm.chat import OP7_SQL, op7_chat
+from lumiform.llm.decontam import op4_decontamination
 from lumiform.llm.html import op6_html
 from lumiform.llm.lines import OP10_SQL, op10_line_dedup
+from lumiform.llm.packing import op5_packing
 from lumiform.llm.tiff import op1_tiff
 from lumiform.llm.tokens import op9_token_counts
+from lumiform.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_tiff": op1_tiff,
+    "op2_toxicity": op2_toxicity,
+    "op4_decontamination": op4_decontamination,
+    "op5_packing": op5_packing,
     "op6_html": op6_html,
     "op7_chat": op7_chat,
     "op9_token_counts": op9_token_counts,

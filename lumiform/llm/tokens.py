@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumiform.llm.common import chunks, table, worker_cache
+from lumiform.llm.common import chunks, table, worker_cache, written
 from lumiform.llm.textcore import BASE, mix, powers, ragged
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -180,7 +180,8 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
     (`at_limits`). The histogram has a row for each distinct length, so it is bounded by the longest text, not by the
     number of documents; suffix sums run within blocks of `block` lengths and over the blocks' totals.
     """
-    histogram = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("block_", F.floor(F.col("n_tokens") / block))
+    counts = written(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "histogram")  # texts are encoded once
+    histogram = counts.withColumn("block_", F.floor(F.col("n_tokens") / block))
     w = Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
     blocks = histogram.groupBy("block_").agg(F.sum("n_docs").alias("d_"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t_"))
     whole = Window.partitionBy()
