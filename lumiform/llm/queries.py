@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lumiform.llm.bagminhash import op3_near_dedup
 from lumiform.llm.chat import OP7_SQL, op7_chat
 from lumiform.llm.decontam import op4_decontamination
 from lumiform.llm.html import op6_html
@@ -14,6 +15,7 @@ from lumiform.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_tiff": op1_tiff,
     "op2_toxicity": op2_toxicity,
+    "op3_near_dedup": op3_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_html": op6_html,
