@@ -47,6 +47,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def released(spark: SparkSession, path: str | None = None) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, rather than when the driver next happens to collect garbage.
+    path: a folder to delete when the driver ends."""
+    if path:
+        atexit.register(_delete, spark, path)
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of `written` that nothing lazy reads any more."""
     for t in tables:

@@ -8,6 +8,7 @@ from lumiform.llm.decontam import op4_decontamination
 from lumiform.llm.html import op6_html
 from lumiform.llm.lines import OP10_SQL, op10_line_dedup
 from lumiform.llm.packing import op5_packing
+from lumiform.llm.suffix import op8_suffix_dedup
 from lumiform.llm.tiff import op1_tiff
 from lumiform.llm.tokens import op9_token_counts
 from lumiform.llm.toxicity import op2_toxicity
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_html": op6_html,
     "op7_chat": op7_chat,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_line_dedup": op10_line_dedup,
 }
