@@ -132,26 +132,49 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     return found["i"].to_numpy(np.int64), found["w"].to_numpy(float)
 
 
+def scores_of(values: pa.Array, dense: np.ndarray) -> np.ndarray:
+    """Scores of whole texts; null counts as an empty text, which gets the bias alone."""
+    index, ptr = features(values)
+    w = dense[index]
+    hit = np.flatnonzero(w)
+    doc = np.searchsorted(ptr, hit, "right") - 1
+    once = np.unique(doc.astype(np.int64) << BITS | index[hit])
+    total = np.bincount(once >> BITS, dense[once & (BIAS - 1)], len(values)) + dense[BIAS]
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def spread_weights(sparse: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    dense = np.zeros(BIAS + 1)
+    dense[sparse[0]] = sparse[1]
+    return dense
+
+
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: the key and score, from 0 to 1. Null counts as an empty text, which gets the bias alone. Other columns are ignored."""
+    """Per row of docs: the key and score, from 0 to 1. Other columns are ignored."""
     kind = docs.schema[key].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int32), weights[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros(BIAS + 1)
-        dense[sent.value[0]] = sent.value[1]
+        dense = spread_weights(sent.value)
         for batch in chunks(batches, "text_"):
-            index, ptr = features(batch.column(1))
-            w = dense[index]
-            hit = np.flatnonzero(w)
-            doc = np.searchsorted(ptr, hit, "right") - 1
-            once = np.unique(doc.astype(np.int64) << BITS | index[hit])
-            total = np.bincount(once >> BITS, dense[once & (BIAS - 1)], batch.num_rows) + dense[BIAS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], ["key_", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores_of(batch.column(1), dense))], ["key_", "score"])
 
     return docs.select(F.col(key).alias("key_"), F.col(text).alias("text_")).mapInArrow(run, f"key_ {kind}, score double").withColumnRenamed("key_", key)
 
 
+def accepted(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under the threshold; null texts are kept if the bias is."""
+    sent = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int32), weights[1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = spread_weights(sent.value)
+        for batch in chunks(batches, "text"):
+            text = batch.column(batch.schema.get_field_index("text"))
+            yield batch.filter(pa.array(scores_of(text, dense) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
