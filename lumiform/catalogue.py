@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lumiform.plans import queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES = dict(queries.QUERIES)
+ORACLE = dict(queries.ORACLE)
 FLAGSHIP = "score_axis_pairwise"
