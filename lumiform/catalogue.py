@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumiform.plans import queries
+from lumiform.plans import queries, study_queries  # noqa: F401  the second registers its queries with the first
 
 QUERIES = dict(queries.QUERIES)
 ORACLE = dict(queries.ORACLE)

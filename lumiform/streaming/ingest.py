@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def available_counts(spark: SparkSession, folder: str, name: str, checkpoint: str, out: str) -> DataFrame:
     """Hourly counts and sums by event type over the files of a table, written by micro-batches and read back."""
     static = spark.read.parquet(f"{folder}/{name}.parquet")
-    stream = spark.readStream.schema(static.schema).parquet(f"{folder}/{name}*.parquet")
+    stream = spark.readStream.schema(static.schema).parquet(f"{folder}/{name}*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     hourly = stream.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    flat = hourly.select(F.col("window.start").alias("hour"), "event_type", "n", "total")
+    flat = hourly.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
