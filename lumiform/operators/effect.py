@@ -14,6 +14,11 @@ from lumiform.functions.ranking import average_ranks
 EPSILON = 1e-12
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r; null for a constant, where corr() of an ANSI session fails."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def per_format_summary(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return scores.groupBy(*keys, "format").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.median("score").alias("median"))
 
@@ -53,7 +58,7 @@ def spearman(scores: DataFrame, record: list[str], keys: tuple[str, ...] = ()) -
     """keys, pair, rho: correlation of average ranks; null where a format is constant."""
     ranked = average_ranks(scores, [*keys, "format"], "score")
     pairs = format_pairs(ranked, record, "rank")
-    return pairs.groupBy(*keys, "pair").agg(F.corr("a", "b").alias("rho"))
+    return pairs.groupBy(*keys, "pair").agg(correlation("a", "b").alias("rho"))
 
 
 def wilcoxon(scores: DataFrame, record: list[str]) -> DataFrame:

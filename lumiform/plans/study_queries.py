@@ -184,7 +184,7 @@ def within_model_ranks(spark, d):
 @query(f"{_E}, w AS (SELECT pair, max(d) FILTER (model = 'm1') AS x, max(d) FILTER (model = 'm2') AS y FROM e WHERE arm = 'untrained' GROUP BY 1) SELECT count(*) AS n, round(corr(x, y), 6) AS r FROM w")
 def axis_correlation(spark, d):
     w = _effects(spark, d).filter("arm = 'untrained'").groupBy("pair").pivot("model", ["m1", "m2"]).agg(F.first("d"))
-    return w.agg(F.count(F.lit(1)).alias("n"), F.corr("m1", "m2").alias("r"))
+    return w.agg(F.count(F.lit(1)).alias("n"), effect.correlation("m1", "m2").alias("r"))
 
 
 # -- geometry
