@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -326,7 +327,8 @@ def manifest_upsert(spark, d):
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def streaming_ingest(spark, d):
-    folder = tempfile.mkdtemp(prefix="lumiform-stream-") if not (base := spark.conf.get("spark.checkpoint.dir", None)) else f"{base}/lumiform/stream-{hash(d) & 0xFFFFFFFF}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumiform-")  # an own folder only where none is named, as in tests
+    folder = f"{base}/lumiform/stream-{uuid.uuid4().hex}"
     return available_counts(spark, d, "events", f"{folder}/checkpoint", f"{folder}/out").withColumn("total", F.round("total", 4))
 
 
