@@ -7,8 +7,9 @@ hierarchically. Two registers agree with the probability of the weighted Jaccard
 a time by which the registers of a document are very likely full; documents that are not go on to twice that time.
 
 Documents with the same words are one node. In each band bucket a hub, another one in every band, is compared with the
-bucket's other nodes, so a bucket of any size costs a pair a node. Buckets that still join different components then get
-the pairs across components, so no candidate pair between different texts stays unexamined.
+bucket's other nodes, so a bucket of any size costs a pair a node. In buckets that still hold different components the
+pairs across components are compared in blocks, and only links leave them, so no candidate pair of different texts stays
+unexamined.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ REGISTERS = BANDS * ROWS
 #: Time is in units of a register's mean wait; registers of a document are full by ln(REGISTERS) + MARGIN with probability 1 - exp(-MARGIN).
 MARGIN = 3.0
 ALL = (1 << 64) - 1
+#: Nodes of a block in which pairs across components are compared, and standard errors that a signature may be off.
+BLOCK = 256
+ERRORS = 4.0
 
 
 def multisets(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,17 +118,19 @@ def banded(signature: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, same1, same2 (hashes of the word sequence), bands (none without words)."""
+    """doc_id, same1, same2 (hashes of the word sequence), bands (none without words), registers (a byte of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1_000_000):
             h, counts, ptr, one, two = multisets(batch.column(1))
-            keys = banded(signatures(h, counts, ptr)).view(np.int64)
+            registers = signatures(h, counts, ptr)
+            keys = banded(registers).view(np.int64)
+            low = pa.array([r.tobytes() for r in registers.astype(np.uint8)], pa.binary())
             some = np.diff(ptr) > 0
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(keys[some].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), bands], ["doc_id", "same1", "same2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), bands, low], ["doc_id", "same1", "same2", "bands", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same1 long, same2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same1 long, same2 long, bands array<long>, registers binary")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -164,6 +170,39 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return both.filter(F.least(*sizes) >= similarity * F.greatest(*sizes)).mapInArrow(run, "a long, b long").distinct()
 
 
+def links_across(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between nodes of one bucket and different labels. rows: bucket, n (the bucket's size), node, label, bands, registers, codes.
+
+    A bucket is cut into blocks of BLOCK nodes, and pairs of blocks are compared in memory, each by a task of its own; only links become rows. A pair that
+    shares several buckets is looked at in the first of them. Signatures go first: a pair of `similarity` fails them by ERRORS standard errors, or never."""
+
+    def run(key: tuple, block: pa.Table) -> pa.Table:
+        bucket, i, j = (k.as_py() for k in key)
+        block = block.combine_chunks()
+        node, label, side = (block.column(c).to_numpy() for c in ("node", "label", "side"))
+        bands = np.array(block.column("bands").to_pylist(), np.int64).reshape(len(node), BANDS)
+        registers = np.array([np.frombuffer(x, np.uint8) for x in block.column("registers").to_pylist()]).reshape(len(node), REGISTERS)
+        codes = [np.frombuffer(x, np.uint64) for x in block.column("codes").to_pylist()]
+        here = int(np.argmax(bands[0] == bucket))
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        out = []
+        for p in left:
+            q = right[(label[right] != label[p]) & ((node[right] > node[p]) | (i != j))]
+            q = q[~(bands[q, :here] == bands[p, :here]).any(axis=1)]
+            agree = (registers[q] == registers[p]).mean(axis=1)
+            for r in q[agree >= similarity - ERRORS * np.sqrt(similarity * (1 - similarity) / REGISTERS)]:
+                both = len(np.intersect1d(codes[p], codes[r], assume_unique=True))
+                if both >= similarity * (len(codes[p]) + len(codes[r]) - both):
+                    out.append((min(node[p], node[r]), max(node[p], node[r])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    side = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    placed = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keyed = placed.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "label", "bands", "registers", "codes")
+    return keyed.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node of its component, for every node of an edge (a, b). Labels fall to the least of the neighbours' and are followed
     to their own labels, in as many rounds as it takes; each round is a written table."""
@@ -188,7 +227,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     one class. A text of fewer than 5 words has one shingle. Rows without doc_id belong to no class (null); rows with the same id are one
     document and join the classes of their texts. An empty table gives no rows. Other columns are ignored."""
     sketches = written(sketch(docs), "sketches")
-    same = sketches.filter("doc_id IS NOT NULL").groupBy("same1", "same2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    same = sketches.filter("doc_id IS NOT NULL").groupBy("same1", "same2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     nodes = written(same, "nodes")
     keys = nodes.select("node", F.explode("bands").alias("bucket"))
     draw = F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("node"))
@@ -200,13 +239,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sets = written(shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id")), "sets")
     edges = written(verified(pairs, sets, similarity), "links")
     found = components(edges)
-    # pairs of a bucket that lie in different components
+    # buckets that hold different components
     placed = crowded.select("bucket", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    rest = placed.join(mixed, "bucket")
-    left, right = rest.select("bucket", F.col("node").alias("x"), F.col("label").alias("lx")), rest.select("bucket", F.col("node").alias("y"), F.col("label").alias("ly"))
-    across = left.join(right, "bucket").filter("lx < ly").select(*pair).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = written(verified(across, sets, similarity), "links")
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("bucket", "n")
+    rest = placed.join(mixed, "bucket").join(nodes.select("node", "bands", "registers"), "node").join(sets, "node")
+    more = written(links_across(rest, similarity), "links")
     twins = sketches.filter("doc_id IS NOT NULL").join(nodes.select("same1", "same2", "node"), ["same1", "same2"])
     # an id that stands on several texts links their nodes
     linked = twins.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(nodes.select(F.col("node").alias("a")).distinct(), "a")
