@@ -204,21 +204,32 @@ def links_across(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node of its component, for every node of an edge (a, b). Labels fall to the least of the neighbours' and are followed
-    to their own labels, in as many rounds as it takes; each round is a written table."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    """node, label: the least node of its component, for every node of an edge (a, b).
+
+    By contraction: each node points to its least neighbour or itself, pointers are followed to their roots, and the edges between different
+    roots are the next, smaller, round's. Each step is a written table; a round costs two joins of its edges."""
+    left, labels = written(edges.select("a", "b").distinct(), "edges"), None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        fresh = written(step.join(up, "label").select("node", "old", F.least("label", "top").alias("label")), "labels")
-        changed = not fresh.filter("label <> old").isEmpty()
-        dropped(labels)
-        labels = fresh
-        if not changed:
-            dropped(both)
-            return labels.select("node", "label")
+        both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "up")
+        while True:
+            top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            higher = written(up.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "up")
+            moved = not higher.filter("moved").isEmpty()
+            dropped(up)
+            up = higher
+            if not moved:
+                break
+        if labels is None:
+            labels = up.select("node", F.col("up").alias("label"))
+        else:
+            labels = labels.join(up.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+        ends = left.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
+        rest = written(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        dropped(left)
+        left = rest
+        if left.isEmpty():
+            return written(labels, "labels")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

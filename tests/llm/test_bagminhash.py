@@ -64,3 +64,10 @@ def test_nulls_ids_on_several_texts_and_empty(spark):
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {r.doc_id: r.class_id for r in B.op3_near_dedup(spark, sf).collect()} == near_classes(rows)
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 20)] + [(119, 300), (200, 201), (205, 201), (205, 210)]
+    got = {r.node: r.label for r in B.components(spark.createDataFrame(edges + edges[:3], "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(20)} | {300: 100} | {n: 200 for n in (200, 201, 205, 210)}
+    assert B.components(spark.createDataFrame([], "a long, b long")).count() == 0
