@@ -40,7 +40,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df cut from its lineage: a Parquet table in the shared folder, deleted when the driver ends or by `dropped`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumiform/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumiform_path = path

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiform.llm.common import partitions, released, shared_dir, table, written
+from lumiform.llm.common import dropped, partitions, released, shared_dir, table, written
 from lumiform.llm.textcore import mix, prefix_sums, powers
 
 THRESHOLD = 100
@@ -32,7 +32,7 @@ SEED = 32
 FIRST_RANK = 25
 #: Occurrences of a seed that meet in one group; more are salted.
 GROUP = 4000
-#: Windows that are ranked at once.
+#: Bytes of context of which the windows are ranked at once; a group is never split.
 BLOCK = 1_500_000
 
 
@@ -229,7 +229,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     once = ranked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.first("bytes").alias("bytes"))
     # bucketed by text, so that its later joins don't shuffle texts again
     name = f"lumiform_texts_{uuid.uuid4().hex}"
-    once.write.bucketBy(partitions(spark), "h1", "h2").option("path", f"{shared_dir(spark)}/lumiform/{name}").saveAsTable(name)
+    once.write.option("compression", "zstd").bucketBy(partitions(spark), "h1", "h2").option("path", f"{shared_dir(spark)}/lumiform/{name}").saveAsTable(name)
     released(spark, f"{shared_dir(spark)}/lumiform/{name}")
     texts = spark.table(name)
 
@@ -245,6 +245,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     spread = spread.withColumns({"salted": F.col("n") > GROUP, "salt": F.pmod(F.xxhash64("h1", "start"), salts).cast("int")})
     met = spread.select("seed", "salt", "salted", "doc_id", "h1", "h2", "start", "context").repartition(partitions(spark), "seed", "salt").sortWithinPartitions("seed", "salt")
     ranks = written(met.mapInArrow(rank_windows, "h1 long, h2 int, start long, stop long, one1 long, one2 long, doc_id long, pos long"), "ranks")
+    dropped(alive)
     released(spark)
     # least positions of salted seeds' windows meet once more
     least = ranks.filter("start IS NULL")
