@@ -71,7 +71,7 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_lumiform_worker", types.ModuleType("_lumiform_worker")).__dict__
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about `limit` bytes in `column`, so that memory doesn't follow Arrow's batch size."""
     import numpy as np
 

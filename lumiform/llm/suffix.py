@@ -33,7 +33,7 @@ FIRST_RANK = 25
 #: Occurrences of a seed that meet in one group; more are salted.
 GROUP = 4000
 #: Bytes of context of which the windows are ranked at once; a group is never split.
-BLOCK = 1_500_000
+BLOCK = 500_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +84,7 @@ def binary_chunks(batches: Iterator[pa.RecordBatch], column: int, limit: int) ->
 
 
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in binary_chunks(batches, 2, 2_000_000):
+    for batch, data, offsets in binary_chunks(batches, 2, 800_000):
         seed, text, start, count = anchors(data, offsets)
         text = pa.array(text)
         yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), batch.column(0).take(text), batch.column(1).take(text), pa.array(start << 8 | count)], ["seed", "h1", "h2", "at"])

@@ -26,7 +26,7 @@ WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)
 #: English contractions that the pre-tokenizer splits off.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Distinct pre-tokens that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 def default_path() -> str:
