@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(w, pa.float64())], ["i", "w"])
 
     lists = rows.select("doc_id", F.col("y_").cast("int").alias("y"), "text").select("doc_id", "text", "y").mapInArrow(extract, "doc_id long, y int, x array<int>")
-    found = lists.coalesce(1).mapInArrow(fit, "i long, w double").toPandas()
+    # the sample is bounded, the scan isn't: features are made where the texts are, then meet in one task
+    found = lists.repartition(1).mapInArrow(fit, "i long, w double").toPandas()
     return found["i"].to_numpy(np.int64), found["w"].to_numpy(float)
 
 
