@@ -4,7 +4,9 @@ A text becomes a template: numbers, units and names turn into typed placeholders
 Windows of WINDOW template tokens of the benchmark meet those of the documents in a hash join; a bitmap of fixed size
 over the benchmark's window hashes keeps nearly all other windows of the corpus from being shuffled (a false positive
 costs one row, never a result). On each alignment of an item with a document every slot value of the item must stand for
-one value in the document: then the passage is the item, or the item with other parameters.
+one value in the document: then the passage is the item, or the item with other parameters. What surrounds a passage can
+run into a slot at its edges ("For example, Mary Jones" is one name where "Mary" opened the item); there a value may be
+longer on the outer side.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumiform.llm.common import chunks, table, written
@@ -28,6 +30,7 @@ COVERAGE = 0.5
 BITMAP_BITS = 24
 SALTS = 16
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
+FRONT, BACK = 1, 2
 #: Number words and units of measurement.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons tonne tonnes ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kph hz khz mhz w kw watt watts v volt volts j joule joules n newton newtons pa k c f degree degrees percent dollar dollars euro euros cent cents usd eur gbp".split()
@@ -43,6 +46,8 @@ class Template(NamedTuple):
     kind: np.ndarray
     value: np.ndarray  # uint64 of what stands there
     ptr: np.ndarray
+    parts: np.ndarray  # uint64 of each word
+    lead: np.ndarray  # the first word of each template token, and the number of words
 
 
 def canonical(values: pa.Array) -> Template:
@@ -57,7 +62,7 @@ def canonical(values: pa.Array) -> Template:
     n = len(w.hash)
     if not n:
         e = np.zeros(0, np.uint64)
-        return Template(e, e.astype(np.int8), e, w.ptr)
+        return Template(e, e.astype(np.int8), e, w.ptr, e, np.zeros(1, np.int64))
     breaks = np.zeros(256, bool)
     breaks[list(b".!?:;\n\"")] = True
     seen = np.concatenate([[0], np.cumsum(breaks[raw])])
@@ -91,7 +96,7 @@ def canonical(values: pa.Array) -> Template:
     value = np.add.reduceat(low.hash * (part.astype(np.uint64) * np.uint64(2) + np.uint64(1)), lead)
     kind = kind[lead]
     code = np.where(kind == WORD, value, mix(kind.astype(np.uint64) + np.uint64(0x51ED270B)))
-    return Template(code, kind, value, np.searchsorted(lead, w.ptr))
+    return Template(code, kind, value, np.searchsorted(lead, w.ptr), low.hash, np.append(lead, n))
 
 
 def windows(t: Template, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,18 +114,41 @@ def windows(t: Template, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return mix(h[at]), of[at], at - t.ptr[of[at]]
 
 
-def slots(t: Template, of: np.ndarray, place: np.ndarray, size: int) -> pa.Array:
-    """The slot values of windows, in order."""
+SLOTS = "array<array<long>>"
+
+
+def slot_tokens(t: Template, of: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The template tokens that are slots of windows, in order, and where each window's begin among them."""
     full = np.concatenate([[0], np.cumsum(t.kind != WORD)])
-    filled = t.value[t.kind != WORD].view(np.int64)
+    filled = np.flatnonzero(t.kind != WORD)
     start = t.ptr[of] + place
     a, b = full[start], full[start + size]
-    flat = np.concatenate([filled[x:y] for x, y in zip(a, b, strict=True)]) if len(a) else filled[:0]
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)), pa.array(flat))
+    return np.concatenate([filled[x:y] for x, y in zip(a, b, strict=True)]) if len(a) else filled[:0], np.concatenate([[0], np.cumsum(b - a)])
+
+
+def slots(t: Template, of: np.ndarray, place: np.ndarray, size: int) -> pa.Array:
+    """The slot values of windows, in order: the words of each."""
+    token, begins = slot_tokens(t, of, place, size)
+    lengths = t.lead[token + 1] - t.lead[token]
+    ends = np.cumsum(lengths)
+    word = np.arange(int(lengths.sum())) + np.repeat(t.lead[token] - (ends - lengths), lengths)
+    values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(t.parts[word].view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), values)
+
+
+def edges(t: Template, of: np.ndarray, place: np.ndarray, size: int) -> pa.Array:
+    """For each slot of windows the side on which text before or after the whole passage can run into it: FRONT, BACK, both or neither.
+    At the front that is the first token, and a name behind the first word, which may be a name where it opens no sentence."""
+    token, begins = slot_tokens(t, of, place, size)
+    text = np.repeat(of, np.diff(begins))
+    at = token - t.ptr[text]
+    front = (at == 0) | ((at == 1) & (t.kind[token] == NAME) & (t.kind[t.ptr[text]] == WORD))
+    side = np.where(front, FRONT, 0) | np.where(token + 1 == t.ptr[text + 1], BACK, 0)
+    return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(side.astype(np.int32)))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, size (template tokens a window), n_windows, place, hash, slots of every window of every item; repeated items count once."""
+    """item_id, size (template tokens a window), n_windows, place, hash, slots and their edges of every window of every item; repeated items count once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text_"):
@@ -132,10 +160,27 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                 h, of, place = h[use], of[use], place[use]
                 if len(h):
                     n = pa.array(length[of] - size + 1, pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(np.full(len(h), size), pa.int32()), n, pa.array(place, pa.int64()), pa.array(h.view(np.int64)), slots(t, of, place, size)], ["item_id", "size", "n_windows", "place", "hash", "slots"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(np.full(len(h), size), pa.int32()), n, pa.array(place, pa.int64()), pa.array(h.view(np.int64)), slots(t, of, place, size), edges(t, of, place, size)], ["item_id", "size", "n_windows", "place", "hash", "slots", "edges"])
 
     items = benchmark.select("item_id", F.col("text").alias("text_")).distinct()
-    return items.mapInArrow(cut, "item_id long, size int, n_windows long, place long, hash long, slots array<long>")
+    return items.mapInArrow(cut, f"item_id long, size int, n_windows long, place long, hash long, slots {SLOTS}, edges array<int>")
+
+
+def extends(x: Column, y: Column) -> Column:
+    """Whether x's found value is y's with more words on x's outer side."""
+    longer = F.size(x["found"]) > F.size(y["found"])
+    n = F.size(y["found"])
+    ends = x["edge"].bitwiseAND(FRONT) > 0
+    starts = x["edge"].bitwiseAND(BACK) > 0
+    head = F.slice(x["found"], F.lit(1), n) == y["found"]
+    tail = F.slice(x["found"], F.greatest(F.size(x["found"]) - n, F.lit(0)) + 1, n) == y["found"]
+    return longer & ((ends & tail) | (starts & head))
+
+
+def agreed(pairs: Column) -> Column:
+    """Whether each of the item's values stands for one value in the document."""
+    against = lambda x, y: (x["own"] != y["own"]) | (x["found"] == y["found"]) | extends(x, y) | extends(y, x)
+    return F.forall(pairs, lambda x: F.forall(pairs, lambda y: against(x, y)))
 
 
 def bitmap(known: DataFrame) -> np.ndarray:
@@ -173,15 +218,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
                     text = mix(hash_of_texts(t)[of]).view(np.int64)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(text), pa.array(place, pa.int64()), pa.array(h[hit].view(np.int64)), slots(t, of, place, size)], ["key_", "text_", "at_", "hash", "found_"])
 
-    found = docs.select(F.col(key).alias("key_"), F.col("text").alias("text_")).mapInArrow(probe, f"key_ {kind}, text_ long, at_ long, hash long, found_ array<long>")
+    found = docs.select(F.col(key).alias("key_"), F.col("text").alias("text_")).mapInArrow(probe, f"key_ {kind}, text_ long, at_ long, hash long, found_ {SLOTS}")
     salt = F.pmod(F.xxhash64("key_", "text_"), F.lit(SALTS)).cast("int")
     salted = known.withColumn("salt_", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     met = found.withColumn("salt_", salt).join(salted, ["hash", "salt_"])
-    pairs = F.arrays_zip(F.col("slots").alias("own"), F.col("found_").alias("found"))
+    pairs = F.arrays_zip(F.col("slots").alias("own"), F.col("found_").alias("found"), F.col("edges").alias("edge"))
+    theirs = lambda p: F.struct(p["own"].alias("own"), p["own"].alias("found"), p["edge"].alias("edge"))
+    pairs = F.transform(pairs, lambda p: F.when(extends(p, theirs(p)), theirs(p)).otherwise(p))
     met = met.select("key_", "text_", "item_id", "n_windows", "place", (F.col("at_") - F.col("place")).alias("shift_"), pairs.alias("pairs_"))
     aligned = met.groupBy("key_", "text_", "item_id", "n_windows", "shift_").agg(F.collect_set("place").alias("places_"), F.array_distinct(F.flatten(F.collect_set("pairs_"))).alias("pairs_"))
-    own = F.array_distinct(F.transform("pairs_", lambda p: p["own"]))
-    consistent = aligned.filter(F.size("pairs_") == F.size(own)).withColumn("same_", F.forall("pairs_", lambda p: p["own"] == p["found"]))
+    consistent = aligned.filter(agreed(F.col("pairs_"))).withColumn("same_", F.forall("pairs_", lambda p: p["own"] == p["found"]))
     covered = consistent.groupBy("key_", "text_", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places_")))).cast("long").alias("n_matched"), F.bool_and("same_").alias("same_slots"))
     best = covered.filter(F.col("n_matched") >= COVERAGE * F.col("n_windows")).groupBy("key_", "item_id", "n_windows").agg(F.max(F.struct("n_matched", "same_slots")).alias("m_"))
     return best.select(F.col("key_").alias(key), "item_id", "n_windows", F.col("m_.n_matched").alias("n_matched"), (F.col("m_.n_matched") / F.col("n_windows")).alias("coverage"), F.col("m_.same_slots").alias("same_slots"))

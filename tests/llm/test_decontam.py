@@ -39,6 +39,19 @@ def test_other_parameters_must_be_consistent(spark):
     assert pairs(spark, docs, items) == [(-1, 1, False), (1, 1, True), (2, 1, False), (4, 2, False), (7, 1, True)]
 
 
+EDGES = "{0} Jones has {1} red apples and Jones gives {2} to Bob before lunch with Bob"
+
+
+def test_text_around_a_passage_may_run_into_its_edges(spark):
+    items = [(1, EDGES.format("Mary", 3, 2))]
+    docs = [
+        (1, "For example, " + EDGES.format("Mary", 3, 2) + "."), (2, "we read that dear Doctor " + EDGES.format("Mary", 3, 2) + " Lee said"),
+        (3, "For example, " + EDGES.format("Mary", 7, 5).replace("Jones", "Smith")),
+        (4, "For example, " + EDGES.format("Mary", 3, 2).replace("and Jones", "and Smith")), (5, "Mary Jones has some " + EDGES.format("Mary", 3, 2)[11:].replace("Bob before", "Ann Bob before")),
+    ]
+    assert pairs(spark, docs, items) == [(1, 1, True), (2, 1, True), (3, 1, False)]
+
+
 def test_repeats_hot_windows_and_empty(spark):
     item = [(1, QUESTION.format("John", 12, 3))]
     docs = [(i % 200, "Read this: " + item[0][1] + f" number {i % 200} of a list") for i in range(400)]
