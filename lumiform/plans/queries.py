@@ -32,6 +32,11 @@ def query(sql: str | None = None):
     return keep
 
 
+def full(f: Callable[..., DataFrame], *sizes: int) -> None:
+    """Register f at the reference's sizes as NAME_full. These have no SQL, which is too slow there; the small ones are held against theirs."""
+    QUERIES[f"{f.__name__}_full"] = lambda spark, d: tidy(f(spark, d, *sizes))
+
+
 # -- renderers and passages
 
 
@@ -280,14 +285,14 @@ pool AS (SELECT title, min(id) AS neg_id, {h("'5'", "title")} AS hh FROM rec GRO
 neg AS (SELECT query_id, rank, neg_id, false AS filled FROM mined UNION ALL SELECT query_id, have + r, neg_id, true FROM fi WHERE have + r <= {K})"""
 
 
-def _negatives(spark, d):
+def _negatives(spark, d, k=K):
     own = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"), F.lit("#"), (F.col("item_id") % 7).cast("string")).alias("title"))
-    return bm25.hard_negatives(_scored(spark, d), _docs(spark, d), own, K), own
+    return bm25.hard_negatives(_scored(spark, d), _docs(spark, d), own, k), own
 
 
 @query(f"WITH {_NEG} SELECT query_id, rank, neg_id, filled FROM neg")
-def hard_negatives(spark, d):
-    return _negatives(spark, d)[0]
+def hard_negatives(spark, d, k=K):
+    return _negatives(spark, d, k)[0]
 
 
 @query(f"WITH {_NEG} SELECT count(*) FILTER (filled) AS filled, count(*) AS n, count(DISTINCT query_id) AS queries FROM neg")
@@ -306,12 +311,12 @@ _CAND = _NEG.replace("WITH ", "") + f""", bod AS (SELECT id, body, 512 - {_count
 
 
 @query(f"WITH {_CAND}, ok AS (SELECT query_id FROM us GROUP BY 1 HAVING count(*) >= 5) SELECT query_id, u AS cand, neg_id FROM us SEMI JOIN ok USING (query_id) WHERE u <= 5")
-def candidate_lists(spark, d):
-    neg, _ = _negatives(spark, d)
+def candidate_lists(spark, d, k=K, size=5):
+    neg, _ = _negatives(spark, d, k)
     b = recs(spark, d).select(F.col("id").alias("neg_id"), B.budget_of(F.col("question"), F.col("pairs"), B.word_count).alias("b")).filter(F.col("b") >= B.FLOOR)
     w = Window.partitionBy("query_id")
     usable = neg.join(b, "neg_id").withColumns({"cand": F.row_number().over(w.orderBy("rank")), "n": F.count(F.lit(1)).over(w)})
-    return usable.filter("n >= 5 AND cand <= 5").select("query_id", "cand", "neg_id")
+    return usable.filter((F.col("n") >= size) & (F.col("cand") <= size)).select("query_id", "cand", "neg_id")
 
 
 @query(f"WITH {_CAND} SELECT count(DISTINCT query_id) AS queries, (SELECT count(*) FROM neg) - count(*) AS over_budget, (SELECT count(*) FROM (SELECT query_id FROM us GROUP BY 1 HAVING count(*) >= 5)) AS kept FROM us")
@@ -323,11 +328,11 @@ def candidate_drop_stats(spark, d):
 
 
 @query(f"WITH {_NEG}, ok AS (SELECT query_id FROM neg WHERE rank <= 4 GROUP BY 1 HAVING count(*) = 4) SELECT query_id, rank, neg_id, rec.title FROM neg SEMI JOIN ok USING (query_id) JOIN rec ON rec.id = neg_id WHERE rank <= 4")
-def train_lists(spark, d):
-    neg, _ = _negatives(spark, d)
-    first = neg.filter("rank <= 4")
-    full = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 4").select("query_id")
-    return first.join(full, "query_id", "left_semi").join(recs(spark, d).select(F.col("id").alias("neg_id"), "title"), "neg_id").select("query_id", "rank", "neg_id", "title")
+def train_lists(spark, d, k=K, size=4):
+    neg, _ = _negatives(spark, d, k)
+    first = neg.filter(F.col("rank") <= size)
+    whole = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == size).select("query_id")
+    return first.join(whole, "query_id", "left_semi").join(recs(spark, d).select(F.col("id").alias("neg_id"), "title"), "neg_id").select("query_id", "rank", "neg_id", "title")
 
 
 # -- score axis
@@ -391,11 +396,11 @@ def _indexed(spark, d):
 @query(f"""WITH {gold_sql()}{PAIRS}, {_IDX}, dr AS (SELECT i, {h("'1'", "'i'", "i")} % n AS a, {h("'1'", "'j'", "i")} % n AS b FROM (SELECT range AS i FROM range(2000)) CROSS JOIN (SELECT max(n) AS n FROM ix)),
 w AS (SELECT idx, pair, a, b FROM p JOIN ix ON doc_id = record_id), f AS (SELECT x.pair, sign(x.a - y.a) * sign(x.b - y.b) < 0 AS flip FROM dr JOIN w x ON x.idx = dr.a JOIN w y ON y.idx = dr.b AND y.pair = x.pair WHERE dr.a <> dr.b)
 SELECT pair, round(count(*) FILTER (flip) * 100.0::DOUBLE / count(*), 6) AS flip_pct FROM f GROUP BY 1""")
-def cross_flip_rate(spark, d):
+def cross_flip_rate(spark, d, size=2000):
     ix = _indexed(spark, d)
     n = ix.agg((F.max("idx") + 1).alias("n"))
     pick = lambda name: F.pmod(corpus.hashed(1, F.lit(name), "s"), "n").alias(name)
-    sampled = n.select(F.explode(F.sequence(F.lit(0), F.lit(1999))).alias("s"), "n").select(pick("i"), pick("j")).filter("i <> j")
+    sampled = n.select(F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("s"), "n").select(pick("i"), pick("j")).filter("i <> j")
     return effect.flip_rate(gold_scores(spark, d).join(ix, "record_id"), sampled)
 
 
@@ -512,57 +517,57 @@ _CI = "round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6
 
 
 @query(f"WITH {led_sql()}, {_draws()}{_VAL}, r AS (SELECT b, avg(rr) AS x FROM dr JOIN va USING (idx) GROUP BY b) SELECT round(avg(x), 6) AS mean, {_CI}, count(*) AS n FROM r")
-def bootstrap_mean_ci(spark, d):
-    return resample.interval(resample.replicate_means(_values(spark, d), ["rr"], N_BOOT), "rr")
+def bootstrap_mean_ci(spark, d, n_boot=N_BOOT):
+    return resample.interval(resample.replicate_means(_values(spark, d), ["rr"], n_boot), "rr")
 
 
 @query(f"WITH {led_sql(TWO)}, {_draws()}{_VAL}, df AS (SELECT idx, max(rr) FILTER (arm = 'winner') - max(rr) FILTER (arm = 'untrained') AS v FROM va GROUP BY idx), r AS (SELECT b, avg(v) AS x FROM dr JOIN df USING (idx) GROUP BY b), i AS (SELECT round(avg(x), 6) AS mean, {_CI} FROM r) SELECT mean, lo, hi, lo > -0.03 AS non_inferior FROM i")
-def paired_rr_delta(spark, d):
+def paired_rr_delta(spark, d, n_boot=N_BOOT):
     v = _values(spark, d, TWO)
     side = lambda a: F.max(F.when(F.col("arm") == a, F.col("rr")))
     diff = v.groupBy("idx").agg((side("winner") - side("untrained")).alias("v"))
-    return resample.interval(resample.replicate_means(diff, ["v"], N_BOOT), "v").select("mean", "lo", "hi", (F.round("lo", 6) > resample.NI_MARGIN).alias("non_inferior"))
+    return resample.interval(resample.replicate_means(diff, ["v"], n_boot), "v").select("mean", "lo", "hi", (F.round("lo", 6) > resample.NI_MARGIN).alias("non_inferior"))
 
 
 _BD = f"""WITH {gold_sql(TWO)}{PAIRS}, {_draws()}, di AS (SELECT arm, idx, pair, diff FROM p JOIN ix ON doc_id = record_id), m AS (SELECT arm, b, pair, avg(diff) AS mu, count(*) AS n, sum(diff) AS s, sum(diff * diff) AS q FROM dr JOIN di USING (idx) GROUP BY ALL),
 r AS (SELECT arm, b, max(abs(s / n / (sqrt(greatest(q / n - (s / n) * (s / n), 0)) + 1e-12))) AS d FROM m GROUP BY ALL)"""
 
 
-def _replicated_d(spark, d):
+def _replicated_d(spark, d, n_boot=N_BOOT):
     s = gold_scores(spark, d, TWO)
     diffs = effect.format_pairs(s, ["arm", "record_id"]).join(_indexed(spark, d), "record_id").select("arm", "idx", "pair", (F.col("a") - F.col("b")).alias("diff"))
-    return resample.replicate_d(diffs, N_BOOT, 0, ("arm",))
+    return resample.replicate_d(diffs, n_boot, 0, ("arm",))
 
 
 @query(f"{_BD} SELECT arm, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, count(*) AS n FROM r GROUP BY 1")
-def bootstrap_max_d_ci(spark, d):
-    return resample.interval(_replicated_d(spark, d), "d", keys=("arm",))
+def bootstrap_max_d_ci(spark, d, n_boot=N_BOOT):
+    return resample.interval(_replicated_d(spark, d, n_boot), "d", keys=("arm",))
 
 
 @query(f"{_BD}, x AS (SELECT b, max(d) FILTER (arm = 'winner') - max(d) FILTER (arm = 'untrained') AS x FROM r GROUP BY b) SELECT round(avg(x), 6) AS mean, {_CI}, count(*) AS n FROM x")
-def bootstrap_delta_max_d(spark, d):
-    r = _replicated_d(spark, d)
+def bootstrap_delta_max_d(spark, d, n_boot=N_BOOT):
+    r = _replicated_d(spark, d, n_boot)
     side = lambda a: F.max(F.when(F.col("arm") == a, F.col("d")))
     return resample.interval(r.groupBy("b").agg((side("winner") - side("untrained")).alias("x")), "x")
 
 
 @query(f"{_BD} SELECT arm, round((1 + count(*) FILTER (d <= 0.5)) / (count(*) + 1.0::DOUBLE), 6) AS p FROM r GROUP BY 1")
-def bootstrap_p_above(spark, d):
-    return resample.p_above(_replicated_d(spark, d), "d", 0.5, ("arm",))
+def bootstrap_p_above(spark, d, n_boot=N_BOOT):
+    return resample.p_above(_replicated_d(spark, d, n_boot), "d", 0.5, ("arm",))
 
 
 @query(f"""WITH {led_sql()}, {_draws()}{_VAL}, r AS (SELECT b, count(*) FILTER (k > 0 AND k < 5) * 100.0::DOUBLE / nullif(count(*) FILTER (k > 0), 0) AS x FROM dr JOIN va USING (idx) GROUP BY b) SELECT round(avg(x), 6) AS mean, {_CI}, count(x) AS n FROM r WHERE x IS NOT NULL""")
-def bootstrap_inconsistency_ci(spark, d):
+def bootstrap_inconsistency_ci(spark, d, n_boot=N_BOOT):
     v = _values(spark, d).select("idx", (F.col("k") > 0).cast("double").alias("a"), F.when((F.col("k") > 0) & (F.col("k") < 5), 1.0).otherwise(0.0).alias("i"))
-    r = resample.replicate_means(v, ["a", "i"], N_BOOT).withColumn("x", F.try_divide(F.col("i") * 100, "a")).filter("x IS NOT NULL")
+    r = resample.replicate_means(v, ["a", "i"], n_boot).withColumn("x", F.try_divide(F.col("i") * 100, "a")).filter("x IS NOT NULL")
     return resample.interval(r, "x")
 
 
 @query(f"WITH {led_sql(TWO)}, {_IDX}{_VAL}, df AS (SELECT idx, max(rr) FILTER (arm = 'winner') - max(rr) FILTER (arm = 'untrained') AS v FROM va GROUP BY idx), o AS (SELECT round(avg(v), 9) AS observed FROM df), pm AS (SELECT perm, round(abs(avg(CASE WHEN {h(chr(39) + '0' + chr(39), chr(39) + 'sign' + chr(39), 'perm', 'idx')} % 2 = 0 THEN v ELSE -v END)), 9) AS m FROM df CROSS JOIN (SELECT range AS perm FROM range(40)) GROUP BY perm) SELECT round(observed, 6) AS observed, round((1 + count(*) FILTER (m >= abs(observed))) / (count(*) + 1.0::DOUBLE), 6) AS p, round(1 / (count(*) + 1.0::DOUBLE), 6) AS p_floor FROM pm CROSS JOIN o GROUP BY observed")
-def sign_flip_permutation(spark, d):
+def sign_flip_permutation(spark, d, n_permutations=40):
     v = _values(spark, d, TWO)
     side = lambda a: F.max(F.when(F.col("arm") == a, F.col("rr")))
-    return resample.sign_flips(v.groupBy("idx").agg((side("winner") - side("untrained")).alias("v")), "v", 40)
+    return resample.sign_flips(v.groupBy("idx").agg((side("winner") - side("untrained")).alias("v")), "v", n_permutations)
 
 
 @query("""WITH g AS (SELECT event_type AS model, round((1 + count(*) FILTER (value > 99)) / (count(*) + 1.0::DOUBLE), 9) AS p FROM events GROUP BY 1), s AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, model) + 1) * p AS step FROM g), m AS (SELECT model, p, least(1.0::DOUBLE, max(step) OVER (ORDER BY p, model ROWS UNBOUNDED PRECEDING)) AS hp FROM s) SELECT model, round(p, 6) AS p, round(hp, 6) AS holm_p, hp < 0.05 AS significant FROM m""")
@@ -576,13 +581,13 @@ _SEEDS = [("m1", "control", 0, 50, 3), ("m1", "control", 1, 50, 3), ("m1", "winn
 
 @query(f"""WITH {led_sql(_SEEDS)}, {_draws(30)}, v AS (SELECT seed, idx, avg(rr) FILTER (arm = 'winner') - avg(rr) FILTER (arm = 'control') AS v FROM led JOIN ix ON doc_id = query_id GROUP BY ALL), ps AS (SELECT seed AS sidx, b, avg(v) AS value FROM dr JOIN v USING (idx) GROUP BY ALL),
 sd AS (SELECT b, j, {h(chr(39) + '0' + chr(39), chr(39) + 'seeds' + chr(39), 'b', 'j')} % 2 AS sidx FROM (SELECT range AS b FROM range(30)) CROSS JOIN (SELECT range AS j FROM range(2))), r AS (SELECT b, avg(value) AS x FROM sd JOIN ps USING (b, sidx) GROUP BY b) SELECT round(avg(x), 6) AS mean, {_CI}, count(*) AS n FROM r""")
-def two_level_seed_bootstrap(spark, d):
+def two_level_seed_bootstrap(spark, d, n_boot=30):
     side = lambda a: F.avg(F.when(F.col("arm") == a, F.col("rr")))
     v = led(spark, d, _SEEDS).groupBy("seed", F.col("query_id").alias("record_id")).agg((side("winner") - side("control")).alias("v")).join(_indexed(spark, d), "record_id")
     wide = v.groupBy("idx").agg(*[F.max(F.when(F.col("seed") == s, F.col("v"))).alias(f"v{s}") for s in (0, 1)])
-    means = resample.replicate_means(wide, ["v0", "v1"], 30)
+    means = resample.replicate_means(wide, ["v0", "v1"], n_boot)
     per_seed = means.select("b", F.explode(F.array(*[F.struct(F.lit(s).alias("sidx"), F.col(f"v{s}").alias("value")) for s in (0, 1)])).alias("x")).select("b", "x.sidx", "x.value")
-    return resample.interval(resample.two_level(per_seed, 30, 2), "value")
+    return resample.interval(resample.two_level(per_seed, n_boot, 2), "value")
 
 
 @query("""WITH r AS (SELECT round(l_discount, 2) AS value, round(avg(l_extendedprice) / 40000, 9) AS d, round(-avg(l_tax), 9) AS m FROM lineitem GROUP BY 1), c AS (SELECT value, d, d - 0.01 AS d_lo, d + 0.01 AS d_hi, m + 0.0102 AS mrr_lo, m + 0.03 AS mrr_hi FROM r), s AS (SELECT *, mrr_lo > -0.03 AS survives FROM c), l AS (SELECT * FROM s WHERE survives ORDER BY d, value LIMIT 1),
@@ -591,3 +596,14 @@ def sweep_selection(spark, d):
     r = table(spark, d, "lineitem").groupBy(F.round("l_discount", 2).alias("value")).agg(F.round(F.avg("l_extendedprice") / 40000, 9).alias("d"), F.round(-F.avg("l_tax"), 9).alias("m"))
     rows = r.select("value", "d", (F.col("d") - 0.01).alias("d_lo"), (F.col("d") + 0.01).alias("d_hi"), (F.col("m") + 0.0102).alias("mrr_lo"), (F.col("m") + 0.03).alias("mrr_hi"))
     return resample.select_winner(rows).select("value", "d", "survives", "tied", "winner")
+
+
+# -- at the reference's sizes
+
+full(hard_negatives, 25)
+full(candidate_lists, 25, 15)
+full(train_lists, 25, 7)
+full(cross_flip_rate, 20_000)
+for _f in (bootstrap_mean_ci, paired_rr_delta, bootstrap_max_d_ci, bootstrap_delta_max_d, bootstrap_p_above, bootstrap_inconsistency_ci, two_level_seed_bootstrap):
+    full(_f, 10_000)
+full(sign_flip_permutation, 20_000)
