@@ -34,3 +34,25 @@ def test_against_brute_force(spark):
     flips = [abs(sum(v if hashed(0, "sign", p, i) % 2 == 0 else -v for i, v in enumerate(VALUES)) / n) for p in range(20_000)]
     as_extreme = sum(round(m, 9) >= round(sum(VALUES) / n, 9) for m in flips)
     assert resample.sign_flips(values, "v", 20_000).first()["p"] == pytest.approx((1 + as_extreme) / 20_001)
+
+
+def test_study_tables(spark, sf):
+    for name in ("contrast_table_full", "agreement_table_full"):
+        rows = catalogue.QUERIES[name](spark, sf).collect()
+        assert [r["model"] for r in sorted(rows)] == ["m1", "m2"] and all(r["ci_lo"] <= r["diff"] <= r["ci_hi"] and r["p"] <= r["holm_p"] and r["resolved"] == (r["holm_p"] < 0.05) for r in rows)
+    means = {r["model"]: r["mean"] for r in catalogue.QUERIES["contrast_table"](spark, sf).collect()}
+    assert {r["model"]: r["diff"] for r in catalogue.QUERIES["contrast_table_full"](spark, sf).collect()} == pytest.approx(means, abs=2e-6)
+    mixed = {(r["model"], r["arm"]): r["mixed"] for r in catalogue.QUERIES["levels_table"](spark, sf).collect()}
+    for r in catalogue.QUERIES["guardrail_table_full"](spark, sf).collect():
+        assert r["delta"] == pytest.approx(r["mixed_top1"] - r["uniform_best_mrr"], abs=2e-6) and r["kept"] == (r["delta"] > -0.03)
+        assert r["arm"] != "untrained" or r["mixed_top1"] == mixed[r["model"], "untrained"]
+
+
+def test_paired_by_hand(spark):
+    from lumiform.operators import study
+
+    schema = "model string, query_id long, diff double"
+    r = study.paired(spark.createDataFrame([("a", i, 0.5) for i in range(20)] + [("b", i, (-1.0) ** i) for i in range(20)], schema), 200, 400).orderBy("model").collect()
+    assert (r[0]["diff"], r[0]["ci_lo"], r[0]["ci_hi"], r[0]["resolved"]) == (0.5, 0.5, 0.5, True) and r[0]["holm_p"] == pytest.approx(2 * r[0]["p"])
+    assert (r[1]["diff"], r[1]["p"], r[1]["resolved"]) == (0.0, 1.0, False)
+    assert study.paired(spark.createDataFrame([], schema), 10, 10).count() == 0
