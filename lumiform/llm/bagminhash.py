@@ -256,8 +256,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rest = placed.join(mixed, "bucket").join(nodes.select("node", "bands", "registers"), "node").join(sets, "node")
     more = written(links_across(rest, similarity), "links")
     twins = sketches.filter("doc_id IS NOT NULL").join(nodes.select("same1", "same2", "node"), ["same1", "same2"])
-    # an id that stands on several texts links their nodes
-    linked = twins.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(nodes.select(F.col("node").alias("a")).distinct(), "a")
+    # an id that stands on several texts links their nodes, be it a node itself or not
+    several = twins.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    linked = twins.join(several, "doc_id").filter("lo < node").select(F.col("lo").alias("a"), F.col("node").alias("b"))
     later = more.unionByName(linked)
     if not later.isEmpty():
         found = components(edges.unionByName(later.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))

@@ -61,6 +61,11 @@ def test_nulls_ids_on_several_texts_and_empty(spark):
     assert B.classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_an_id_links_its_texts_though_none_has_it_as_least(spark):
+    a, b = "one two three four five six seven", "completely other words stand in this text here"
+    assert classes(spark, [(3, a), (7, a), (5, b), (7, b), (9, "and a third one that is alone")]) == [(3, 3), (5, 3), (7, 3), (7, 3), (9, 9)]
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {r.doc_id: r.class_id for r in B.op3_near_dedup(spark, sf).collect()} == near_classes(rows)
