@@ -8,8 +8,8 @@ a time by which the registers of a document are very likely full; documents that
 
 Documents with the same words are one node. In each band bucket a hub, another one in every band, is compared with the
 bucket's other nodes, so a bucket of any size costs a pair a node. In buckets that still hold different components the
-pairs across components are compared in blocks, and only links leave them, so no candidate pair of different texts stays
-unexamined.
+signatures of pairs across components are compared in blocks; pairs that may be similar leave them as ids and are verified
+like the others, so no candidate pair of different texts that could join two classes stays unexamined.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiform.llm.common import chunks, dropped, table, written
-from lumiform.llm.textcore import buffer_of, mix, shingles, words
+from lumiform.llm.common import chunks, dropped, spread_join, table, written
+from lumiform.llm.textcore import buffer_of, mix, range_hash, shingles, words
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -37,8 +37,9 @@ ERRORS = 4.0
 
 
 def multisets(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: distinct shingles (sorted), their counts, offsets by text; and two 64-bit hashes of its word sequence."""
-    w = words(*buffer_of(values, lower=True))
+    """Of each text: distinct shingles (sorted), their counts, offsets by text; and two 64-bit hashes of its word sequence, from independent hashes of the words."""
+    data, offsets = buffer_of(values, lower=True)
+    w = words(data, offsets)
     h, ptr = shingles(w, WORDS)
     doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
     order = np.lexsort((h, doc))
@@ -49,8 +50,8 @@ def multisets(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     counts = np.diff(np.append(at, len(h)))
     place = (np.arange(len(w.hash)) - np.repeat(w.ptr[:-1], np.diff(w.ptr))).astype(np.uint64)
     keys = []
-    for salt in (0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash ^ mix(place + np.uint64(salt))), dtype=np.uint64)])
+    for word, salt in ((w.hash, 0x8CB92BA72F3D8DD7), (range_hash(data, w.start, w.end, 1), 0xABC98388FB8FAC03)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(word ^ mix(place + np.uint64(salt))), dtype=np.uint64)])
         keys.append(mix(sums[w.ptr[1:]] - sums[w.ptr[:-1]] + np.diff(w.ptr).astype(np.uint64)))
     return h[at], counts, np.searchsorted(doc[at], np.arange(len(ptr))), keys[0], keys[1]
 
@@ -150,7 +151,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap to `similarity` or more."""
+    """The pairs (a, b) whose multisets overlap to `similarity` or more. pairs: distinct and written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,106 +166,123 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
             yield batch.filter(pa.array(keep)).select([0, 1])
 
     left, right = sets.select(F.col("node").alias("a"), F.col("codes").alias("x")), sets.select(F.col("node").alias("b"), F.col("codes").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    both = spread_join(spread_join(pairs, left, ["a"], ["b"], times(pairs, "a")), right, ["b"], ["a"], times(pairs, "b")).select("a", "b", "x", "y")
     sizes = [F.octet_length(c) for c in ("x", "y")]
-    return both.filter(F.least(*sizes) >= similarity * F.greatest(*sizes)).mapInArrow(run, "a long, b long").distinct()
+    return both.filter(F.least(*sizes) >= similarity * F.greatest(*sizes)).mapInArrow(run, "a long, b long")
 
 
-def links_across(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between nodes of one bucket and different labels. rows: bucket, n (the bucket's size), node, label, bands, registers, codes.
+def pairs_across(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of nodes of one bucket and different labels that may be similar. rows: bucket, n (the bucket's size), node, label, bands, registers.
 
-    A bucket is cut into blocks of BLOCK nodes, and pairs of blocks are compared in memory, each by a task of its own; only links become rows. A pair that
-    shares several buckets is looked at in the first of them. Signatures go first: a pair of `similarity` fails them by ERRORS standard errors, or never."""
+    A bucket is cut into blocks of BLOCK nodes, and the signatures of pairs of blocks are compared in memory, each by a task of its own. A pair that
+    shares several buckets is looked at in the first of them. A pair of `similarity` fails by ERRORS standard errors, or never."""
+    least = similarity - ERRORS * np.sqrt(similarity * (1 - similarity) / REGISTERS)
 
     def run(key: tuple, block: pa.Table) -> pa.Table:
         bucket, i, j = (k.as_py() for k in key)
         block = block.combine_chunks()
         node, label, side = (block.column(c).to_numpy() for c in ("node", "label", "side"))
-        bands = np.array(block.column("bands").to_pylist(), np.int64).reshape(len(node), BANDS)
-        registers = np.array([np.frombuffer(x, np.uint8) for x in block.column("registers").to_pylist()]).reshape(len(node), REGISTERS)
-        codes = [np.frombuffer(x, np.uint64) for x in block.column("codes").to_pylist()]
+        bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+        registers = np.frombuffer(b"".join(block.column("registers").to_pylist()), np.uint8).reshape(len(node), REGISTERS)
         here = int(np.argmax(bands[0] == bucket))
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        out = []
+        a, b = [], []
         for p in left:
             q = right[(label[right] != label[p]) & ((node[right] > node[p]) | (i != j))]
             q = q[~(bands[q, :here] == bands[p, :here]).any(axis=1)]
-            agree = (registers[q] == registers[p]).mean(axis=1)
-            for r in q[agree >= similarity - ERRORS * np.sqrt(similarity * (1 - similarity) / REGISTERS)]:
-                both = len(np.intersect1d(codes[p], codes[r], assume_unique=True))
-                if both >= similarity * (len(codes[p]) + len(codes[r]) - both):
-                    out.append((min(node[p], node[r]), max(node[p], node[r])))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            q = q[(registers[q] == registers[p]).mean(axis=1) >= least]
+            a.append(np.minimum(node[p], node[q]))
+            b.append(np.maximum(node[p], node[q]))
+        empty = [np.zeros(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(a or empty), pa.int64()), "b": pa.array(np.concatenate(b or empty), pa.int64())})
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     side = F.pmod(F.xxhash64("node"), blocks).cast("int")
     placed = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    keyed = placed.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "label", "bands", "registers", "codes")
+    keyed = placed.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "label", "bands", "registers")
     return keyed.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def times(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node of its component, for every node of an edge (a, b).
 
     By contraction: each node points to its least neighbour or itself, pointers are followed to their roots, and the edges between different
-    roots are the next, smaller, round's. Each step is a written table; a round costs two joins of its edges."""
+    roots are the next, smaller, round's. Each step is a written table; a round costs two joins of its edges, dealt so that a node of many
+    edges is no single task's."""
     left, labels = written(edges.select("a", "b").distinct(), "edges"), None
     while True:
         both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "up")
         while True:
             top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            higher = written(up.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "up")
+            higher = written(spread_join(up, top, ["up"], ["node"], times(up, "up")).select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "up")
             moved = not higher.filter("moved").isEmpty()
             dropped(up)
             up = higher
             if not moved:
                 break
         if labels is None:
-            labels = up.select("node", F.col("up").alias("label"))
+            labels = written(up.select("node", F.col("up").alias("label")), "labels")
         else:
-            labels = labels.join(up.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-        ends = left.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
+            roots = up.select(F.col("node").alias("label"), "up")
+            moved_on = spread_join(labels, roots, ["label"], ["node"], times(labels, "label")).select("node", F.col("up").alias("label"))
+            before, labels = labels, written(moved_on.unionByName(labels.join(roots, "label", "left_anti").select("node", "label")), "labels")
+            dropped(before)
+        ends = spread_join(left, up.select(F.col("node").alias("a"), F.col("up").alias("x")), ["a"], ["b"], times(left, "a"))
+        ends = spread_join(ends, up.select(F.col("node").alias("b"), F.col("up").alias("y")), ["b"], ["a"], times(left, "b"))
         rest = written(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        dropped(left)
+        dropped(left, up)
         left = rest
         if left.isEmpty():
-            return written(labels, "labels")
+            return labels
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and class_id of every row of docs: classes are connected by pairs of similarity (weighted Jaccard of 5-word shingle multisets,
-    lower case) of at least `similarity`; class_id is the least doc_id. Texts of the same words, all texts without words among them, are
-    one class. A text of fewer than 5 words has one shingle. Rows without doc_id belong to no class (null); rows with the same id are one
-    document and join the classes of their texts. An empty table gives no rows. Other columns are ignored."""
+    """doc_id, class_id and n_links of every row of docs: classes are connected by pairs of similarity (weighted Jaccard of 5-word shingle
+    multisets, lower case) of at least `similarity`; class_id is the least doc_id. n_links counts the verified links of the row's text to
+    different texts: each connects, and a class of k different texts has at least k - 1, but pairs within a class that other links already
+    connect aren't all examined.
+
+    Texts of the same words, all texts without words among them, are one class. A text of fewer than 5 words has one shingle. Texts are read
+    whole, however long. Rows without doc_id belong to no class (null, 0 links); rows with the same id are one document and join the classes
+    of their texts; repeated rows give repeated results. An empty table gives no rows. Other columns are ignored, whatever their names."""
     sketches = written(sketch(docs), "sketches")
-    same = sketches.filter("doc_id IS NOT NULL").groupBy("same1", "same2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
-    nodes = written(same, "nodes")
+    same = ["same1", "same2"]
+    known = sketches.filter("doc_id IS NOT NULL")
+    nodes = written(known.groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("n_")), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("bucket"))
     draw = F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("node"))
-    hubs = keys.groupBy("bucket").agg(F.min(draw)["node"].alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "hub")
-    crowded = written(keys.join(hubs, "bucket"), "buckets")
+    hubs = written(keys.groupBy("bucket").agg(F.min(draw)["node"].alias("hub"), F.count(F.lit(1)).alias("n_")).filter("n_ > 1"), "hubs")
+    crowded = written(spread_join(keys, hubs.drop("n_"), ["bucket"], ["node"], hubs.select("bucket", "n_")), "buckets")
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     pairs = written(crowded.filter("hub <> node").select(F.col("hub").alias("x"), F.col("node").alias("y")).select(*pair).distinct(), "pairs")
     needed = crowded.select(F.col("node").alias("doc_id")).distinct()
     sets = written(shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id")), "sets")
-    edges = written(verified(pairs, sets, similarity), "links")
+    edges = written(verified(pairs, sets, similarity).distinct(), "links")
     found = components(edges)
     # buckets that hold different components
     placed = crowded.select("bucket", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("bucket", "n")
-    rest = placed.join(mixed, "bucket").join(nodes.select("node", "bands", "registers"), "node").join(sets, "node")
-    more = written(links_across(rest, similarity), "links")
-    twins = sketches.filter("doc_id IS NOT NULL").join(nodes.select("same1", "same2", "node"), ["same1", "same2"])
+    mixed = written(placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n_")).filter("lo < hi").select("bucket", "n_"), "mixed")
+    rest = spread_join(placed, mixed.withColumnRenamed("n_", "n"), ["bucket"], ["node"], mixed).join(nodes.select("node", "bands", "registers"), "node")
+    more = written(verified(written(pairs_across(rest, similarity), "pairs"), sets, similarity).distinct(), "links")
+    twins = written(spread_join(known.select("doc_id", *same), nodes.select(*same, "node"), same, ["doc_id"], nodes.select(*same, "n_")).select("doc_id", "node"), "members")
     # an id that stands on several texts links their nodes, be it a node itself or not
     several = twins.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     linked = twins.join(several, "doc_id").filter("lo < node").select(F.col("lo").alias("a"), F.col("node").alias("b"))
-    later = more.unionByName(linked)
-    if not later.isEmpty():
-        found = components(edges.unionByName(later.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-    out = twins.join(found, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
-    return out.unionByName(sketches.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+    links = edges.unionByName(more)
+    if not (more.isEmpty() and linked.isEmpty()):
+        found = components(links.unionByName(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    ends = links.distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    facts = nodes.select("node").distinct().join(found, "node", "left").join(ends, "node", "left")
+    out = spread_join(twins, facts, ["node"], ["doc_id"], nodes.groupBy("node").agg(F.sum("n_").alias("n_")))
+    out = out.select("doc_id", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.unionByName(sketches.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, class_id, n_links."""
     return classes(table(spark, sf_dir, "documents"))

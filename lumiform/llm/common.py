@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, whose one process is driver and executor,
+    may leave it unset and gets a folder of its own; a cluster may not."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="lumiform-")
         shared_dir.own = found
     return found
@@ -87,6 +90,40 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_000_00
             at = to
 
 
+#: A key that holds more than one in so many rows is dealt to several tasks; there are at most so many such keys.
+SHARES = 1000
+#: A task gets at least about so many rows of a hot key.
+LEAST_ROWS = 32
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], by: list[str], counts: DataFrame) -> DataFrame:
+    """rows joined with keyed on keys, which meet in one row of keyed at most. counts: keys and n_, about how many of rows have them; it is read
+    twice. A hot key's rows go to as many tasks as it holds thousandths of all rows (or LEAST_ROWS rows), dealt by a hash of the columns `by`, and its row of keyed
+    is copied to each. Hot keys are fewer than SHARES by their definition, so they may be broadcast."""
+    total = counts.agg(F.sum("n_")).first()[0] or 0
+    part = max(total / SHARES, LEAST_ROWS)
+    parts = F.ceil(F.col("n_") / F.lit(part)).cast("int")
+    hot = F.broadcast(counts.filter(F.col("n_") > F.lit(part)).select(*keys, parts.alias("parts_")))
+    dealt = rows.join(hot, keys, "left").withColumn("salt_", F.pmod(F.xxhash64(*by), F.coalesce("parts_", F.lit(1))).cast("int")).drop("parts_")
+    copied = keyed.join(hot, keys, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("parts_", F.lit(1)) - 1))).drop("parts_")
+    return dealt.join(copied, [*keys, "salt_"]).drop("salt_")
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, or the first of name_2, name_3, ... that columns lack."""
+    taken = {c.lower() for c in columns}
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(2, len(taken) + 3))) if x.lower() not in taken)
+
+
+def whole_rows(df: DataFrame, name: str = "row") -> Column:
+    """A struct of all columns of df, so that columns made beside it can't clash with them."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns]).alias(name)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """An equi-join condition under which null keys meet each other."""
     out = F.lit(True)

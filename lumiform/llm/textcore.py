@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lumiform.llm.common import worker_cache
-
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+ALL = (1 << 64) - 1
+#: Masks that keep the first 0 to 8 bytes of a lane.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Byte ranges longer than this are hashed one by one.
+LONG = 64
 
 
 class Words(NamedTuple):
@@ -31,9 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * BASE) | np.uint64(1)
-
-
 def buffer_of(values: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and the offsets of its rows; null counts as empty."""
     values = pc.fill_null(values, "")
@@ -47,35 +47,31 @@ def buffer_of(values: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverses modulo 2**64 for i < n, kept while they grow."""
-    held = worker_cache().get("powers")
-    if held is None or len(held[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        both = []
-        for factor in (BASE, inverse):
-            x = np.full(size, factor, np.uint64)
-            x[0] = 1
-            both.append(np.cumprod(x, dtype=np.uint64))
-        held = worker_cache()["powers"] = tuple(both)
-    return held[0][:n], held[1][:n]
-
-
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] = the polynomial of bytes i..j-1, times BASE**i."""
-    p, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * p[:-1], dtype=np.uint64, out=out[1:])
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place on as one number (little-endian); beyond the end they are 0."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    return np.ndarray((len(data) + 9,), "<u8", buffer=padded, strides=(1,))
+
+
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges; equal bytes, equal hashes, wherever they stand, and another seed gives independent ones.
+
+    Eight bytes at a time go through a bijection of 64 bits, so ranges of one length of up to 8 bytes never collide, and no
+    structure of longer ones survives; ranges beyond LONG bytes are hashed by BLAKE2b."""
+    x, size = lanes(data), (end - start).astype(np.int64)
+    out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed * 0x9E3779B97F4A7C15 & ALL))
+    out = mix(out ^ (x[start] & MASKS[np.minimum(size, 8)]))
+    live, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(live):
+        out[live] = mix(out[live] ^ (x[start[live] + at] & MASKS[np.minimum(size[live] - at, 8)]))
+        at += 8
+        live = live[size[live] > at]
+    salt = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=salt).digest(), "little")
     return out
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges; equal bytes, equal hashes, wherever they stand."""
-    _, inverse = powers(len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
 def word_bytes(data: np.ndarray) -> np.ndarray:
     """True for bytes of words: ASCII letters, digits, underscore, and non-ASCII characters but for
     Latin-1 signs (U+0080 to U+00BF), general punctuation (U+2000 to U+207F) and CJK punctuation (U+3000 to U+303F)."""
@@ -106,7 +102,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     fresh[offsets] = True
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | fresh[:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | fresh[1:])) + 1
-    return Words(start, end, range_hash(prefix_sums(data), start, end), np.searchsorted(start, offsets))
+    return Words(start, end, range_hash(data, start, end), np.searchsorted(start, offsets))
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Token counts: ids of a byte-level BPE vocabulary at array speed, and the exact length histogram.
 
 A chunk of text is cut into the vocabulary's pre-tokens by array operations over code points; each distinct
-pre-token is encoded once a worker and found again by its hash. The ids equal those of the `tokenizers` library
+pre-token is encoded once a worker and found again by its bytes. The ids equal those of the `tokenizers` library
 (tests/llm/test_tokens.py compares them); strings of special tokens inside a text are ordinary text.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumiform.llm.common import chunks, table, worker_cache, written
-from lumiform.llm.textcore import BASE, mix, powers, ragged
+from lumiform.llm.textcore import buffer_of, ragged, range_hash
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: The code points with Unicode's White_Space property.
@@ -109,20 +109,19 @@ def pretokens(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def encode(values: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of every text, one after another, and the offsets of the texts. Null counts as empty."""
     values = pc.fill_null(values, "")
-    texts = "".join(values.to_pylist())
+    data, _ = buffer_of(values)
     lengths = pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
     text_ends = np.cumsum(lengths)
-    if not texts:
+    if not len(data):
         return np.zeros(0, np.uint32), np.zeros(len(values) + 1, np.int64)
-    points = np.frombuffer(texts.encode("utf-32-le"), np.uint32)
+    raw = data.tobytes()
+    points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
     start = pretokens(points, text_ends)
-    end = np.append(start[1:], len(points))
-    p, inverse = powers(len(points) + 1)
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * BASE * p[:-1], dtype=np.uint64, out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-    distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-    ids, at, size = known(texts, distinct, start[where], end[where], path)
+    byte_at = np.flatnonzero((data & 0xC0) != 0x80)  # where each code point begins
+    first = byte_at[start]
+    last = np.append(first[1:], len(data))
+    _, where, back = np.unique(range_hash(data, first, last), return_index=True, return_inverse=True)
+    ids, at, size = known(raw, first[where].tolist(), last[where].tolist(), path)
     counts = size[back]
     out = ids[ragged(at[back], counts)]
     # ids before each text
@@ -130,17 +129,18 @@ def encode(values: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return out, before[np.searchsorted(start, np.concatenate([[0], text_ends]))]
 
 
-def known(texts: str, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of distinct pre-tokens: all ids in one array, and each pre-token's first place and number in it."""
-    memory = worker_cache().setdefault(("known", path), {"place": {}, "at": np.zeros(1 << 16, np.int64), "size": np.zeros(1 << 16, np.int64), "ids": np.zeros(1 << 18, np.uint32), "used": 0})
-    if len(memory["place"]) > REMEMBERED:
-        memory["place"], memory["used"] = {}, 0
+def known(raw: bytes, start: list[int], end: list[int], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of distinct pre-tokens (byte ranges of raw): all ids in one array, and each pre-token's first place and number in it."""
+    memory = worker_cache().setdefault(("known", path), {"place": {}, "at": np.zeros(1 << 16, np.int64), "size": np.zeros(1 << 16, np.int64), "ids": np.zeros(1 << 18, np.uint32), "used": 0, "bytes": 0})
+    if len(memory["place"]) > REMEMBERED or memory["bytes"] > 64 << 20:
+        memory["place"], memory["used"], memory["bytes"] = {}, 0, 0
     place = memory["place"]
-    found = [place.get(h, -1) for h in hashes.tolist()]
+    keys = [raw[a:b] for a, b in zip(start, end, strict=True)]
+    found = [place.get(k, -1) for k in keys]
     missing = [i for i, f in enumerate(found) if f < 0]
     if missing:
         encode_one = encoder(path).encode_ordinary
-        fresh = [encode_one(texts[start[i] : end[i]]) for i in missing]
+        fresh = [encode_one(keys[i].decode("utf-8")) for i in missing]
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         used, n = memory["used"], len(place)
         total = int(sizes.sum())
@@ -152,15 +152,17 @@ def known(texts: str, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, pa
         memory["at"][n : n + len(fresh)] = used + np.cumsum(sizes) - sizes
         memory["size"][n : n + len(fresh)] = sizes
         memory["used"] = used + total
+        memory["bytes"] += sum(len(keys[i]) for i in missing)
         for k, i in enumerate(missing):
-            place[int(hashes[i])] = n + k
+            place[keys[i]] = n + k
             found[i] = n + k
     index = np.asarray(found, np.int64)
     return memory["ids"], memory["at"][index], memory["size"][index]
 
 
 def token_lengths(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """One row a document, in no order: n_tokens, the number of ids of its whole text (null: 0)."""
+    """One row for every row of docs, in no order: n_tokens, the number of ids of its whole text, however long (null or empty: 0). Repeated rows
+    count each; an empty table gives no rows; other columns are ignored, whatever their names."""
     path = path or default_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,16 +201,14 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
 
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: documents that fit, documents cut, tokens left after the cut."""
-    spark = histogram.sparkSession
-    wanted = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    joined = wanted.join(histogram, F.lit(True), "left")
-    fits = F.col("n_tokens") <= F.col("context_limit")
-    return joined.groupBy("context_limit").agg(
-        F.coalesce(F.sum(F.when(fits, F.col("n_docs"))), F.lit(0)).alias("docs_fit"),
-        F.coalesce(F.sum(F.when(~fits, F.col("n_docs"))), F.lit(0)).alias("docs_cut"),
-        F.coalesce(F.sum(F.least("n_tokens", "context_limit") * F.col("n_docs")), F.lit(0)).alias("tokens_kept"),
+    """For each context limit: documents that fit, documents cut, tokens left after the cut. One pass over the histogram, whatever the number of limits."""
+    one = lambda x: F.struct(
+        F.lit(int(x)).cast("long").alias("context_limit"),
+        F.coalesce(F.sum(F.when(F.col("n_tokens") <= x, F.col("n_docs"))), F.lit(0)).alias("docs_fit"),
+        F.coalesce(F.sum(F.when(F.col("n_tokens") > x, F.col("n_docs"))), F.lit(0)).alias("docs_cut"),
+        F.coalesce(F.sum(F.least("n_tokens", F.lit(int(x)).cast("long")) * F.col("n_docs")), F.lit(0)).alias("tokens_kept"),
     )
+    return histogram.agg(F.array(*map(one, limits)).alias("at_")).select(F.inline("at_"))
 
 
 def quantile_length(histogram: DataFrame, q: float) -> DataFrame:
@@ -217,4 +217,5 @@ def quantile_length(histogram: DataFrame, q: float) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact length histogram of all documents."""
     return length_histogram(token_lengths(table(spark, sf_dir, "documents")))

@@ -47,17 +47,18 @@ def repeats(rows, n=100):
     return out
 
 
-def spread_lines(rows, sites, share):
-    """doc_id: text without the lines that stand on so many sites."""
-    where = {}
+def spread_lines(rows, sites):
+    """doc_id: text without the lines that stand on so many sites, each distinct text on its least one."""
+    home, where = {}, {}
     for _, text, site in rows:
+        if site is not None:
+            home[text] = min(home.get(text, site), site)
+    for text, site in home.items():
         for line in (text or "").split("\n"):
-            if line.strip(" ") and site is not None:
+            if line.strip(" "):
                 where.setdefault(line.strip(" "), set()).add(site)
     out = {}
     for d, text, _ in rows:
-        lines = (text or "").split("\n")
-        kept = [x for x in lines if len(where.get(x.strip(" "), ())) < sites]
-        weigh = lambda xs: sum(len(x.strip(" ")) for x in xs)
-        out[d] = "\n".join(kept) if len(kept) < len(lines) and weigh(kept) >= (1 - share) * weigh(lines) else text
+        kept = [x for x in (text or "").split("\n") if len(where.get(x.strip(" "), ())) < sites]
+        out[d] = None if text is None else "\n".join(kept)
     return out

@@ -7,7 +7,7 @@ from brute import near_classes, shingles
 
 from lumiform.llm import bagminhash as B
 
-SCHEMA = "doc_id long, text string, class_id int"
+SCHEMA = "doc_id long, text string, class_id int, n_links string, node int"
 
 
 def weighted(a, b):
@@ -40,7 +40,7 @@ def family(draw, size, words, edits):
 
 
 def classes(spark, rows):
-    return sorted((r.doc_id if r.doc_id is not None else -99, r.class_id) for r in B.classes(spark.createDataFrame([(d, t, 0) for d, t in rows], SCHEMA)).collect())
+    return sorted((r.doc_id if r.doc_id is not None else -99, r.class_id) for r in B.classes(spark.createDataFrame([(d, t, 0, "x", 1) for d, t in rows], SCHEMA)).collect())
 
 
 @pytest.mark.parametrize("block", [256, 7])
@@ -54,6 +54,24 @@ def test_classes_against_all_pairs(spark, monkeypatch, block):
     assert classes(spark, rows) == sorted(near_classes(rows).items())
 
 
+def test_structured_long_words_and_texts_stay_apart(spark):
+    bits = [bin(i).count("1") % 2 for i in range(8192)]
+    rows = []
+    for n in (1024, 2048, 4096, 8192):
+        for flip in (0, 1):
+            rows.append((len(rows), "".join("ab"[b ^ flip] for b in bits[:n])))
+            rows.append((len(rows), " ".join(("left", "right")[b ^ flip] for b in bits[:n])))
+    assert classes(spark, rows) == sorted(near_classes(rows).items()) and len({c for _, c in classes(spark, rows)}) >= 8
+
+
+def test_very_long_text_and_links(spark):
+    draw = random.Random(9)
+    long = " ".join(f"v{draw.randrange(10**6)}" for _ in range(60000))
+    rows = [(1, long), (2, long.replace("v1", "u1", 200)), (3, long), (4, "short and other")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in B.classes(spark.createDataFrame([(d, t, 0, "x", 1) for d, t in rows], SCHEMA)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (4, 0)}
+
+
 def test_nulls_ids_on_several_texts_and_empty(spark):
     a, b = "one two three four five six seven", "completely other words stand in this text here"
     rows = [(None, a), (1, a), (2, None), (3, ""), (4, a), (4, b), (5, b), (5, b)]
