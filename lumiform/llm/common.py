@@ -50,14 +50,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def released(spark: SparkSession, path: str | None = None) -> None:
-    """Let Spark delete the shuffle files of finished jobs now, rather than when the driver next happens to collect garbage.
-    path: a folder to delete when the driver ends."""
-    if path:
-        atexit.register(_delete, spark, path)
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, rather than when the driver next happens to collect garbage."""
     spark.sparkContext._jvm.System.gc()
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """df as a written table bucketed by keys, so that joins on them don't shuffle it again. Its entry in the catalogue and its folder go when the driver ends."""
+    spark = df.sparkSession
+    name = f"lumiform_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lumiform/{name}"
+    df.write.option("compression", "zstd").bucketBy(partitions(spark), *keys).option("path", path).saveAsTable(name)
+
+    def drop() -> None:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # the session may have ended
+            pass
+        _delete(spark, path)
+
+    atexit.register(drop)
+    return spark.table(name)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of `written` that nothing lazy reads any more."""
     for t in tables:

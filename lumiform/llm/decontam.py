@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumiform.llm.common import chunks, table, written
-from lumiform.llm.textcore import buffer_of, mix, prefix_sums, range_hash, words
+from lumiform.llm.textcore import buffer_of, mix, range_hash, words
 
 WINDOW = 8
 #: Items of fewer template tokens than WINDOW match as a whole; below this they say too little to be recognised and are left out.
@@ -38,7 +38,7 @@ UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g
 
 def hashes_of(terms: list[str]) -> np.ndarray:
     data, offsets = buffer_of(pa.array(terms))
-    return np.sort(range_hash(prefix_sums(data), offsets[:-1], offsets[1:]))
+    return np.sort(range_hash(data, offsets[:-1], offsets[1:]))
 
 
 class Template(NamedTuple):
@@ -81,7 +81,7 @@ def canonical(values: pa.Array) -> Template:
     unit = ~number & after_number & within(low.hash, hashes_of(UNITS))
     size = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16)
     tail, low_tail = (np.minimum(x.start + size[r[x.start]], x.end) for x, r in ((w, raw), (low, low_raw)))
-    rest = range_hash(prefix_sums(raw), tail, w.end) == range_hash(prefix_sums(low_raw), low_tail, low.end)
+    rest = range_hash(raw, tail, w.end) == range_hash(low_raw, low_tail, low.end)
     capital = (w.hash != low.hash) & ~digits & rest & (tail < w.end)  # not words in capitals throughout
     name = capital & ~opens & ~number & ~unit
     kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, WORD))).astype(np.int8)
@@ -93,7 +93,7 @@ def canonical(values: pa.Array) -> Template:
     # values of merged tokens: the hashes of their parts, summed with their order
     lead = np.flatnonzero(~goes_on)
     part = np.arange(n) - np.repeat(lead, np.diff(np.append(lead, n)))
-    value = np.add.reduceat(low.hash * (part.astype(np.uint64) * np.uint64(2) + np.uint64(1)), lead)
+    value = np.add.reduceat(mix(low.hash ^ mix(part.astype(np.uint64) + np.uint64(0x51ED270B))), lead)
     kind = kind[lead]
     code = np.where(kind == WORD, value, mix(kind.astype(np.uint64) + np.uint64(0x51ED270B)))
     return Template(code, kind, value, np.searchsorted(lead, w.ptr), low.hash, np.append(lead, n))

@@ -5,8 +5,8 @@ round ranks only anchors: the leftmost least hash of the SEED-byte strings insid
 windows have equal anchors at equal offsets, so a window can repeat only if its anchor's seed does. Spark sorts and
 counts the pairs of seed rank and position; positions with a unique rank drop out, nearly all of them. The windows of
 the remaining anchors meet by seed and are ranked at growing offsets: pairs of ranks of 25 bytes give ranks of 50, pairs
-of these ranks of 100, with unique positions dropped after each round. What then shares a rank is equal, and all but the
-least position of a rank repeat.
+of these ranks of 100, with unique positions dropped after each round. What then shares a rank is compared byte by byte,
+and all but the least position of a rank repeat.
 
 Texts that occur several times are ranked once: each later copy is covered as a whole. Seeds with many occurrences are
 salted: salts find repeats on their own, and only their least positions meet again.
@@ -15,7 +15,6 @@ salted: salts find repeats on their own, and only their least positions meet aga
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiform.llm.common import dropped, partitions, released, shared_dir, table, written
-from lumiform.llm.textcore import mix, prefix_sums, powers
+from lumiform.llm.common import bucketed, dropped, partitions, released, spread_join, table, written
+from lumiform.llm.textcore import lanes, mix
 
 THRESHOLD = 100
 SEED = 32
@@ -34,6 +33,21 @@ FIRST_RANK = 25
 GROUP = 4000
 #: Bytes of context of which the windows are ranked at once; a group is never split.
 BLOCK = 500_000
+#: Where lanes of 8 bytes begin that cover SEED, FIRST_RANK and THRESHOLD bytes.
+SEED_LANES = (0, 8, 16, 24)
+RANK_LANES = (0, 8, 16, 17)
+WHOLE_LANES = (*range(0, 96, 8), 92)
+
+
+def lane_hash(x: np.ndarray, at: np.ndarray | slice, places: tuple[int, ...], seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes that the lanes at `places` behind each position of `at` cover; a step is a bijection of what it adds."""
+    h = None
+    for k, place in enumerate(places):
+        part = x[at + place] if isinstance(at, np.ndarray) else x[at.start + place : at.stop + place]
+        h = part + np.uint64(seed * 0x8CB92BA72F3D8DD7 & (1 << 64) - 1) if h is None else h + part
+        h *= np.uint64((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)[k % 4])
+        h ^= h >> np.uint64(32 if k % 2 else 29)
+    return h
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -41,12 +55,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n, span = len(data), THRESHOLD - SEED + 1
     if n < THRESHOLD:
         return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-    sums = prefix_sums(data)
-    _, inverse = powers(n + 1)
-    h = (sums[SEED:] - sums[:-SEED]) * inverse[: n - SEED + 1]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
+    h = lane_hash(lanes(data), slice(0, n - SEED + 1), SEED_LANES)
     low = np.uint64((1 << 30) - 1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     reach = 1
@@ -103,20 +112,30 @@ def repeated(ranks: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return live[keep[back]], dense[~alone][back]
 
 
-def double(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which of the window starts (places in data) have a window that another has too: their indices, ranks, and the windows' hashes."""
-    sums = prefix_sums(data)
-    _, inverse = powers(len(data) + 1)
-    piece = lambda at, size: mix((sums[at + size] - sums[at]) * inverse[at])
+def double(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the window starts (places in data) have a window that another has too: their indices and ranks."""
+    x = lanes(data)
+    piece = lambda at: lane_hash(x, at, RANK_LANES)
     pair = lambda a, b: mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
-    live = np.arange(len(starts))
-    quarter = [piece(starts + k * FIRST_RANK, FIRST_RANK) for k in range(4)]
-    half = pair(quarter[0], quarter[1])  # ranks of 50 bytes at the start ...
-    live, ranks = repeated(half, live)
-    rest = pair(quarter[2][live], quarter[3][live])  # ... and 50 further on
-    whole = pair(half[live], rest)
+    half = pair(piece(starts), piece(starts + FIRST_RANK))  # ranks of 50 bytes at the start ...
+    live, _ = repeated(half, np.arange(len(starts)))
+    on = starts[live] + 2 * FIRST_RANK
+    whole = pair(half[live], pair(piece(on), piece(on + FIRST_RANK)))  # ... and 50 further on
     live, ranks = repeated(whole, live)
-    return live, ranks, whole
+    return live, exact_ranks(x, starts[live], ranks)
+
+
+def exact_ranks(x: np.ndarray, at: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The ranks, after neighbours of one rank were compared on their bytes; ranks of the bytes themselves should any differ."""
+    order = np.argsort(ranks, kind="stable")
+    r, p = ranks[order], at[order]
+    same, equal = r[1:] == r[:-1], np.ones(max(len(r) - 1, 0), bool)
+    for k in WHOLE_LANES:
+        part = x[p + k]
+        equal &= part[1:] == part[:-1]
+    if (same & ~equal).any():
+        ranks = np.unique(np.column_stack([x[at + k] for k in WHOLE_LANES]), axis=0, return_inverse=True)[1].ravel()
+    return ranks
 
 
 def rank_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +178,7 @@ def rank_block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     row = np.repeat(np.arange(len(doc)), count)
     place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     starts = offsets[:-1][row] + place
-    live, ranks, hashes = double(data, starts)
+    live, ranks = double(data, starts)
     r = row[live]
     pos = start[r] + place[live]
     order = np.lexsort((pos, h2[r], h1[r], doc[r], ranks))
@@ -179,12 +198,9 @@ def rank_block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     again = np.flatnonzero(salted[row] & ~covered)
     if len(again):
         at, r = starts[again], row[again]
-        sums = prefix_sums(data)
-        _, inverse = powers(len(data) + 1)
-        raw = (sums[at + THRESHOLD] - sums[at]) * inverse[at]
-        other = (sums[at + 60] - sums[at]) * inverse[at]
+        one, two = (mix(lane_hash(lanes(data), at, WHOLE_LANES, seed)).view(np.int64) for seed in (1, 2))
         k = len(again)
-        yield pa.RecordBatch.from_arrays([pa.array(h1[r]), pa.array(h2[r]), none(k), none(k), pa.array(mix(raw).view(np.int64)), pa.array(mix(other ^ np.uint64(0xABC98388FB8FAC03)).view(np.int64)), pa.array(doc[r]), pa.array(start[r] + place[again])], NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(h1[r]), pa.array(h2[r]), none(k), none(k), pa.array(one), pa.array(two), pa.array(doc[r]), pa.array(start[r] + place[again])], NAMES)
 
 
 def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,57 +232,58 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, stop) of every row of docs: the bytes of its whole text (UTF-8; null: empty)
-    that a 100-byte string covers which also starts earlier: in a document of smaller doc_id, or earlier in the same one.
+    that a 100-byte string covers which also starts earlier: in a document of smaller doc_id, or earlier in the same one. Texts may be of any length.
 
     Texts of one id are ordered by a hash of them; rows of the same id and text are one document and get equal results. Rows without
     doc_id have no place in the order: nothing is removed from them and they remove nothing. An empty table gives no rows. Other columns
-    are ignored."""
+    are ignored, whatever their names."""
     spark = docs.sparkSession
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("bytes")).withColumns({"h1": F.xxhash64("bytes"), "h2": F.hash("bytes"), "n_bytes": F.octet_length("bytes").cast("long")})
-    ids = keyed.select("doc_id", "h1", "h2", "n_bytes", F.when((F.col("n_bytes") < THRESHOLD) | F.col("doc_id").isNull(), F.sha2("bytes", 256)).alias("own"))
-    ranked = keyed.filter((F.col("n_bytes") >= THRESHOLD) & F.col("doc_id").isNotNull())
-    once = ranked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.first("bytes").alias("bytes"))
-    # bucketed by text, so that its later joins don't shuffle texts again
-    name = f"lumiform_texts_{uuid.uuid4().hex}"
-    once.write.option("compression", "zstd").bucketBy(partitions(spark), "h1", "h2").option("path", f"{shared_dir(spark)}/lumiform/{name}").saveAsTable(name)
-    released(spark, f"{shared_dir(spark)}/lumiform/{name}")
-    texts = spark.table(name)
-
-    found = texts.select("h1", "h2", "bytes").mapInArrow(find_anchors, "seed long, h1 long, h2 int, at long")
-    common = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    alive = written(found.join(common, "seed"), "anchors")
+    text_key = ["h1", "h2"]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("bytes")).withColumns({"h1": F.xxhash64("bytes"), "h2": F.xxhash64(F.lit(1), "bytes"), "n_bytes": F.octet_length("bytes").cast("long")})
+    judged_here = (F.col("n_bytes") >= THRESHOLD) & F.col("doc_id").isNotNull()
+    once = keyed.filter(judged_here).groupBy(*text_key).agg(F.min("doc_id").alias("first_id"), F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_"))
+    texts = bucketed(once, "texts", text_key)  # its later joins don't shuffle texts again
+    released(spark)
+
+    found = texts.select(*text_key, "bytes").mapInArrow(find_anchors, "seed long, h1 long, h2 long, at long")
+    common = written(found.groupBy("seed").agg(F.count(F.lit(1)).alias("n_")).filter("n_ > 1"), "seeds")
+    alive = written(spread_join(found, common.withColumnRenamed("n_", "n"), ["seed"], ["h1", "at"], common), "anchors")
     released(spark)
-    listed = alive.groupBy("h1", "h2").agg(F.collect_list(F.struct("seed", "n", "at")).alias("list"))
-    spread = texts.join(listed, ["h1", "h2"])
-    spread = spread.select("h1", "h2", F.col("first_id").alias("doc_id"), "bytes", F.explode("list").alias("a"))
-    spread = spread.select("a.seed", "a.n", "doc_id", "h1", "h2", F.shiftright("a.at", 8).alias("start"), F.expr("substring(bytes, cast(shiftright(a.at, 8) + 1 as int), cast((a.at & 255) + 99 as int))").alias("context"))
+    listed = alive.groupBy(*text_key).agg(F.collect_list(F.struct("seed", "n", "at")).alias("list"))
+    spread = texts.join(listed, text_key)
+    spread = spread.select(*text_key, F.col("first_id").alias("doc_id"), "bytes", F.explode("list").alias("a"))
+    spread = spread.select("a.seed", "a.n", "doc_id", *text_key, F.shiftright("a.at", 8).alias("start"), F.expr("substring(bytes, cast(shiftright(a.at, 8) + 1 as int), cast((a.at & 255) + 99 as int))").alias("context"))
     salts = F.ceil(F.col("n") / GROUP)
     spread = spread.withColumns({"salted": F.col("n") > GROUP, "salt": F.pmod(F.xxhash64("h1", "start"), salts).cast("int")})
-    met = spread.select("seed", "salt", "salted", "doc_id", "h1", "h2", "start", "context").repartition(partitions(spark), "seed", "salt").sortWithinPartitions("seed", "salt")
-    ranks = written(met.mapInArrow(rank_windows, "h1 long, h2 int, start long, stop long, one1 long, one2 long, doc_id long, pos long"), "ranks")
-    dropped(alive)
+    met = spread.select("seed", "salt", "salted", "doc_id", *text_key, "start", "context").repartition(partitions(spark), "seed", "salt").sortWithinPartitions("seed", "salt")
+    ranks = written(met.mapInArrow(rank_windows, "h1 long, h2 long, start long, stop long, one1 long, one2 long, doc_id long, pos long"), "ranks")
+    dropped(alive, common)
     released(spark)
     # least positions of salted seeds' windows meet once more
     least = ranks.filter("start IS NULL")
-    first = least.groupBy("one1", "one2").agg(F.min(F.struct("doc_id", "h1", "h2", "pos")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    later = least.join(first, ["one1", "one2"]).filter(F.struct("doc_id", "h1", "h2", "pos") != F.col("m")).select("h1", "h2", F.col("pos").alias("start"), (F.col("pos") + THRESHOLD).alias("stop"))
-    runs = ranks.filter("start IS NOT NULL").select("h1", "h2", "start", "stop").unionByName(later)
-    spans = runs.groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    first = least.groupBy("one1", "one2").agg(F.min(F.struct("doc_id", *text_key, "pos")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    later = least.join(first, ["one1", "one2"]).filter(F.struct("doc_id", *text_key, "pos") != F.col("m")).select(*text_key, F.col("pos").alias("start"), (F.col("pos") + THRESHOLD).alias("stop"))
+    runs = ranks.filter("start IS NOT NULL").select(*text_key, "start", "stop").unionByName(later)
+    spans = runs.groupBy(*text_key).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     kind = "array<struct<start:bigint,stop:bigint>>"
-    judged = texts.join(spans, ["h1", "h2"], "left").select("h1", "h2", "bytes", "spans").mapInArrow(finish, f"h1 long, h2 int, n_removed long, n_spans long, kept_sha256 string, spans {kind}")
-    judged = judged.join(texts.select("h1", "h2", "first_id"), ["h1", "h2"])
-    out = ids.join(judged.withColumnsRenamed({"h1": "k1", "h2": "k2"}), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("own").isNull(), "left")
+    judged = texts.join(spans, text_key, "left").select(*text_key, "bytes", "spans").mapInArrow(finish, f"h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, spans {kind}")
+    judged = judged.join(texts.select(*text_key, "first_id"), text_key)
+    members = spread_join(keyed.filter(judged_here).select("doc_id", *text_key, "n_bytes"), judged, text_key, ["doc_id"], texts.select(*text_key, "n_"))
     copy = F.col("doc_id") > F.col("first_id")
     empty = hashlib.sha256(b"").hexdigest()
-    return out.select(
+    members = members.select(
         "doc_id", "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.coalesce("own", F.when(copy, F.lit(empty)).otherwise(F.col("kept_sha256"))).alias("kept_sha256"),
-        F.when(copy, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))).otherwise(F.coalesce("spans", F.array().cast(kind))).alias("spans"),
+        F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(copy, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
+        F.when(copy, F.lit(empty)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        F.when(copy, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))).otherwise(F.col("spans")).alias("spans"),
     )
+    none = F.lit(0).cast("long")
+    others = keyed.filter(~judged_here).select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.sha2("bytes", 256).alias("kept_sha256"), F.array().cast(kind).alias("spans"))
+    return members.unionByName(others)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return repeats(table(spark, sf_dir, "documents")).drop("spans")
