@@ -1,7 +1,8 @@
 """Media columns: TIFF. A reader that gives one row a page, and the writer that the round trip needs.
 
 The reader walks the chain of image directories (either byte order), decodes strips or tiles that are stored plain,
-as PackBits, LZW or deflate, undoes horizontal differencing and returns the samples of each page, row by row.
+as PackBits, LZW or deflate, unpacks samples of 1, 2, 4, 8, 16, 32 or 64 bits, undoes horizontal differencing and the
+floating-point predictor and returns the samples of each page, row by row.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ from lumiform.llm.common import chunks, table
 
 #: TIFF tags.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
-PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 317, 322, 323, 324, 325
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES, FORMAT = 317, 322, 323, 324, 325, 339
+#: Predictors (none, horizontal differencing, floating point) and the sample format that means floating point.
+NONE, HORIZONTAL, FLOATING, IEEE = 1, 2, 3, 3
+#: Bytes of a page's samples that the reader gives at most: what a binary column can hold.
+LARGEST = (1 << 31) - 1
 #: Codes of compressions.
 PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 #: Struct codes of field types.
@@ -33,9 +38,9 @@ class TiffError(ValueError):
 # -- codecs
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, limit: int = LARGEST) -> bytes:
     out, at, n = bytearray(), 0, len(data)
-    while at < n:
+    while at < n and len(out) < limit:
         head = data[at]
         at += 1
         if head < 128:
@@ -50,33 +55,31 @@ def packbits_decode(data: bytes) -> bytes:
 def packbits_encode(data: bytes) -> bytes:
     """Runs of 3 bytes or more as repeats, the rest as literals of up to 128 bytes."""
     x = np.frombuffer(data, np.uint8)
-    edges = np.flatnonzero(np.diff(x)) + 1
-    starts, ends = np.concatenate([[0], edges]).tolist(), np.concatenate([edges, [len(x)]]).tolist()
-    out, plain = bytearray(), bytearray()
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1]) if len(x) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(x)))
+    out, at = bytearray(), 0
 
-    def flush() -> None:
-        for i in range(0, len(plain), 128):
-            part = plain[i : i + 128]
+    def literal(to: int) -> None:
+        for i in range(at, to, 128):
+            part = data[i : min(i + 128, to)]
             out.append(len(part) - 1)
             out.extend(part)
-        plain.clear()
 
-    for a, b in zip(starts, ends, strict=True) if len(x) else ():
-        if b - a < 3:
-            plain += data[a:b]
-            continue
-        flush()
-        for i in range(a, b, 128):
-            n = min(128, b - i)
+    for k in np.flatnonzero(sizes >= 3).tolist():
+        a, size = int(starts[k]), int(sizes[k])
+        literal(a)
+        for i in range(0, size, 128):
+            n = min(128, size - i)
             out += bytes((257 - n if n > 1 else 0, data[a]))
-    flush()
+        at = a + size
+    literal(len(data))
     return bytes(out)
 
 
 CLEAR, END, FIRST, WIDEST = 256, 257, 258, 12
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, limit: int = LARGEST) -> bytes:
     """LZW as in TIFF: most significant bit first; codes widen one code early."""
     out, words, width = bytearray(), [], 9
     acc = bits = 0
@@ -108,6 +111,8 @@ def lzw_decode(data: bytes) -> bytes:
             else:
                 raise TiffError("LZW: unknown code")
             out += word
+            if len(out) >= limit:
+                break
             last = word
             if len(words) >= (1 << width) - 1 and width < WIDEST:
                 width += 1
@@ -156,7 +161,12 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-DECODERS = {PLAIN: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: packbits_decode}
+def inflate(data: bytes, limit: int = LARGEST) -> bytes:
+    return zlib.decompressobj().decompress(data, limit)
+
+
+#: Each reads at least `limit` bytes where there are so many, and not much more.
+DECODERS = {PLAIN: lambda x, limit: x, LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: packbits_decode}
 ENCODERS = {PLAIN: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: packbits_encode}
 
 
@@ -181,77 +191,110 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
             tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
             if kind not in TYPES:
                 continue
-            code = TYPES[kind] * n if len(TYPES[kind]) > 1 else f"{n}{TYPES[kind]}"
+            code = f"{n * len(TYPES[kind])}{TYPES[kind][0]}"
             size = struct.calcsize(order + code)
             where = at + 2 + 12 * i + 8 if size <= 4 else struct.unpack_from(order + "I", data, at + 2 + 12 * i + 8)[0]
             if where + size > len(data):
                 raise TiffError(f"field {tag} outside the file")
+            if not n:
+                continue
             fields[tag] = struct.unpack_from(order + code, data, where)
         yield order, fields
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * count)[0]
 
 
+def unpacked(raw: bytes, bits: int, tall: int, values: int, order: str) -> np.ndarray:
+    """Rows of `values` samples each; samples of less than a byte fill bytes from their highest bit, and a row begins with a byte."""
+    if bits >= 8:
+        return np.frombuffer(raw, f"{order}u{bits // 8}", tall * values).reshape(tall, values)
+    line = -(-values * bits // 8)
+    split = np.unpackbits(np.frombuffer(raw, np.uint8, tall * line).reshape(tall, line), axis=1)[:, : values * bits].reshape(tall, values, bits)
+    return (split << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+
+
+def unpredicted(block: np.ndarray, raw: bytes, predictor: int, bits: int) -> np.ndarray:
+    """block (height, width, samples) with its predictor undone. The floating-point one has differences of bytes, the highest bytes of a row first."""
+    if predictor == HORIZONTAL:
+        out = np.cumsum(block, axis=1, dtype=block.dtype.newbyteorder("="))
+        return out & np.uint8((1 << bits) - 1) if bits < 8 else out
+    if predictor == FLOATING:
+        tall, across, depth = block.shape
+        size = bits // 8
+        line = np.frombuffer(raw, np.uint8, tall * across * depth * size).reshape(tall, -1, depth)
+        planes = np.cumsum(line, axis=1, dtype=np.uint8).reshape(tall, size, across * depth)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">u{size}").reshape(block.shape)
+    return block
+
+
 def decode_page(data: bytes, order: str, fields: dict[int, tuple]) -> np.ndarray:
-    """Samples of a page: an array of height, width, samples."""
+    """Samples of a page: an array of height, width, samples. What the header says is held against the file before anything is allocated."""
     one = lambda tag, other: fields.get(tag, (other,))[0]
     width, height, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
-    code, predictor = one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
-    if not width or not height:
+    code, predictor = one(COMPRESSION, PLAIN), one(PREDICTOR, NONE)
+    if any(not isinstance(x, int) or x < 1 for x in (width, height, samples)):
         raise TiffError("a page without size")
-    if bits not in (8, 16) or len(set(fields.get(BITS, (bits,)))) > 1:
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(fields.get(BITS, (bits,)))) > 1:
         raise TiffError(f"{bits} bits a sample aren't supported")
     if code not in DECODERS:
         raise TiffError(f"compression {code} isn't supported")
-    if predictor not in (1, 2):
+    if predictor not in (NONE, HORIZONTAL, FLOATING) or (predictor == FLOATING and (bits < 16 or one(FORMAT, 1) != IEEE)):
         raise TiffError(f"predictor {predictor} isn't supported")
-    kind = np.dtype(f"{order}u{bits // 8}")
+    kind = np.dtype(f"{order}u{max(bits // 8, 1)}")
+    if width * height * samples * kind.itemsize > LARGEST:
+        raise TiffError("a page of more bytes than a column holds")
     apart = one(PLANAR, 1) == 2 and samples > 1
-    depth = 1 if apart else samples
-    out = np.zeros((height, width, samples), kind)
+    depth, planes = (1, samples) if apart else (samples, 1)
     tiled = TILE_AT in fields
-    across = one(TILE_WIDTH, width) if tiled else width
-    down = one(TILE_HEIGHT, height) if tiled else min(one(STRIP_ROWS, height), height)
+    across = one(TILE_WIDTH, 0) if tiled else width
+    down = one(TILE_HEIGHT, 0) if tiled else min(one(STRIP_ROWS, height), height)
+    if any(not isinstance(x, int) or x < 1 for x in (across, down)):
+        raise TiffError("strips or tiles without size")
+    need = (-(-across * depth * bits // 8)) * down
+    if need > LARGEST:
+        raise TiffError("strips or tiles of more bytes than a column holds")
     places, sizes = (fields.get(t) for t in ((TILE_AT, TILE_BYTES) if tiled else (STRIP_AT, STRIP_BYTES)))
     columns, rows = -(-width // across), -(-height // down)
-    if not places or not sizes or len(places) != len(sizes) or len(places) < columns * rows * (samples if apart else 1):
+    if not places or not sizes or len(places) != len(sizes) or len(places) < columns * rows * planes:
         raise TiffError("strips or tiles are missing")
-    for i, (at, size) in enumerate(zip(places, sizes, strict=True)):
-        plane, k = divmod(i, columns * rows)
-        if plane >= (samples if apart else 1):
-            break
-        y, x = k // columns * down, k % columns * across
+    blocks = []
+    for i, (at, size) in enumerate(zip(places[: columns * rows * planes], sizes, strict=False)):
+        y = i % (columns * rows) // columns * down
         tall = down if tiled else min(down, height - y)
-        if at + size > len(data):
+        if at < 0 or size < 0 or at + size > len(data):
             raise TiffError("a strip or tile outside the file")
-        need = tall * across * depth * kind.itemsize
         try:
-            raw = DECODERS[code](data[at : at + size])
+            raw = DECODERS[code](data[at : at + size], max(need, 1))
         except zlib.error as e:
             raise TiffError(str(e)) from e
-        if len(raw) < need:
+        if len(raw) < (-(-across * depth * bits // 8)) * tall:
             raise TiffError("a strip or tile is too short")
-        block = np.frombuffer(raw[:need], kind).reshape(tall, across, depth)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
-        part = block[: height - y, : width - x]
+        block = unpacked(raw, bits, tall, across * depth, order).reshape(tall, across, depth)
+        blocks.append(unpredicted(block, raw, predictor, bits)[: height - y])
+    out = np.zeros((height, width, samples), kind)
+    for i, block in enumerate(blocks):
+        plane, k = divmod(i, columns * rows)
+        y, x = k // columns * down, k % columns * across
+        part = block[:, : width - x]
         if apart:
-            out[y : y + tall, x : x + across, plane] = part[:, :, 0]
+            out[y : y + len(part), x : x + across, plane] = part[:, :, 0]
         else:
-            out[y : y + tall, x : x + across] = part
+            out[y : y + len(part), x : x + across] = part
     return out
 
 
 def read_pages(data: bytes) -> Iterator[tuple[int, dict, np.ndarray | None, str | None]]:
     """Page number, facts, samples, and None or what is wrong; never raises for bad data."""
     page = -1
+    whole = lambda x: x if isinstance(x, int) and 0 <= x < 1 << 31 else None
     try:
         for page, (order, fields) in enumerate(directories(data)):
             facts = {"width": fields.get(WIDTH, (0,))[0], "height": fields.get(HEIGHT, (0,))[0], "bits": fields.get(BITS, (1,))[0], "samples": fields.get(SAMPLES, (1,))[0], "compression": fields.get(COMPRESSION, (1,))[0], "predictor": fields.get(PREDICTOR, (1,))[0]}
+            facts = {name: whole(value) for name, value in facts.items()}
             try:
                 yield page, facts, decode_page(data, order, fields), None
-            except (TiffError, struct.error) as e:
+            except (TiffError, struct.error, MemoryError) as e:
                 yield page, facts, None, str(e)
-    except (TiffError, struct.error) as e:
+    except (TiffError, struct.error, MemoryError) as e:
         yield page + 1, {}, None, str(e)
 
 
@@ -273,8 +316,9 @@ PAGE_SCHEMA = "page int, width long, height long, bits int, samples int, compres
 def decode_pages(media: DataFrame, key: str, column: str) -> DataFrame:
     """One row for every page of the TIFF files in `column`: the key, then PAGE_SCHEMA; pixels are the samples row by row.
 
-    A null file gives no row. What can't be decoded gives a row with `error` and null pixels: one for the page, or one for
-    the rest of a file whose directories are broken. Repeated rows give repeated pages; other columns are ignored.
+    A null file gives no row. What can't be decoded, an empty file too, gives a row with `error` and null pixels: one for the page, or one
+    for the rest of a file whose directories are broken; sizes that don't fit 31 bits are null. A page may have up to LARGEST bytes. Null
+    keys and repeated rows give their pages like others; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     kind = media.schema[key].dataType.simpleString()
     names = ["page", "width", "height", "bits", "samples", "compression", "predictor", "pixels", "feature", "error"]
@@ -340,19 +384,20 @@ def write_page(pixels: bytes, width: int, code: int = DEFLATE, predictor: int =
 PAGE_WIDTH = 64
 
 
+TILE = (64, 256)
+#: Every compression with and without differencing, in strips and in tiles.
+FORMS = [(code, predictor, tile) for code in (LZW, PACKBITS, DEFLATE, PLAIN) for predictor in (NONE, HORIZONTAL) for tile in (None, TILE)]
+
+
 def stored_as(payload: bytes) -> bytes:
-    """The payload as a page of 64 columns. Its size alone chooses the form, so equal payloads are equal files: LZW up to 512 bytes,
-    PackBits up to 1,024, deflate with differencing beyond, in tiles from 64 KiB."""
-    n = len(payload)
-    if n <= 512:
-        return write_page(payload, PAGE_WIDTH, LZW)
-    if n <= 1024:
-        return write_page(payload, PAGE_WIDTH, PACKBITS)
-    return write_page(payload, PAGE_WIDTH, DEFLATE, 2, (64, 256) if n >= 1 << 16 else None)
+    """The payload as a page of 64 columns. A hash of the payload chooses one of FORMS, so equal payloads are equal files and every form meets texts of every length."""
+    code, predictor, tile = FORMS[zlib.crc32(payload) % len(FORMS)]
+    return write_page(payload, PAGE_WIDTH, code, predictor, tile)
 
 
 def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: key, n_bytes of the text as UTF-8 (null: empty), media: a TIFF file of these bytes and zeros up to a positive multiple of 64."""
+    """Per document: key, n_bytes of the text as UTF-8 (null: empty), media: a TIFF file of these bytes and zeros up to a positive
+    multiple of 64. Empty and very long texts are stored whole; null keys and repeated rows give rows like others; other columns are ignored."""
     kind = docs.schema[key].dataType.simpleString()
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,6 +410,7 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as TIFF and read back: the contract's columns from the read bytes."""
     stored = encode_texts(table(spark, sf_dir, "documents"))
     facts = stored.select(F.struct("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")).alias("of"), "media")
     pages = decode_pages(facts, "of", "media")

@@ -27,6 +27,54 @@ def test_pages(code, predictor, tile):
         assert (page, error, samples.tobytes(), facts["width"]) == (0, None, data, 64)
 
 
+def test_codecs_on_bytes_written_by_hand():
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert tiff.packbits_decode(packed) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    # clear, A, B, the first new word (AB), that word and its first letter (ABA), end
+    codes = "100000000" "001000001" "001000010" "100000010" "100000100" "100000001"
+    assert tiff.lzw_decode(int(codes.ljust(56, "0"), 2).to_bytes(7, "big")) == b"ABABABA"
+
+
+def entry(tag, value, kind=4, count=1):
+    return struct.pack("<HHII", tag, kind, count, value)
+
+
+def file_of(body, *entries):
+    return struct.pack("<2sHI", b"II", 42, 8 + len(body)) + body + struct.pack("<H", len(entries)) + b"".join(entries) + bytes(4)
+
+
+def page_of(data):
+    ((_, _, samples, error),) = tiff.read_pages(data)
+    return samples, error
+
+
+def test_samples_of_less_than_a_byte():
+    bits = file_of(b"\x02\xa5\x80\x3f", entry(256, 10), entry(257, 2), entry(258, 1), entry(259, 32773), entry(273, 8), entry(279, 4), entry(278, 9))
+    assert page_of(bits)[1] == "a strip or tile is too short"
+    bits = file_of(b"\x03\xa5\x80\x3f\x40", entry(256, 10), entry(257, 2), entry(258, 1), entry(259, 32773), entry(273, 8), entry(279, 5), entry(278, 9))
+    assert page_of(bits)[0][:, :, 0].tolist() == [[1, 0, 1, 0, 0, 1, 0, 1, 1, 0], [0, 0, 1, 1, 1, 1, 1, 1, 0, 1]]
+    four = file_of(b"\x12\x30", entry(256, 3), entry(257, 1), entry(258, 4), entry(273, 8), entry(279, 2), entry(317, 2))
+    assert page_of(four)[0].ravel().tolist() == [1, 3, 6]
+
+
+def test_floating_point_predictor():
+    values = np.array([[1.5, -2.25, 1e10], [0.0, 3.25, 7.0]], np.float32)
+    rows = [np.diff(np.frombuffer(r.astype(">f4").tobytes(), np.uint8).reshape(3, 4).T.ravel(), prepend=np.uint8(0)).astype(np.uint8).tobytes() for r in values]
+    data = file_of(b"".join(rows), entry(256, 3), entry(257, 2), entry(258, 32), entry(273, 8), entry(279, 24), entry(317, 3), entry(339, 3))
+    assert (page_of(data)[0].view("<f4")[:, :, 0] == values).all()
+
+
+@pytest.mark.parametrize("wrong", [entry(278, 0), entry(256, 4_000_000_000) + entry(257, 4_000_000_000), entry(256, 0, 4, 0), entry(258, 7), entry(317, 3), entry(257, 50_000)])
+def test_headers_that_lie_give_an_error(wrong):
+    entries = {e[:2]: e for e in (entry(256, 8), entry(257, 8), entry(258, 8), entry(273, 8), entry(277, 1), entry(278, 8), entry(279, 64))}
+    entries |= {wrong[i : i + 2]: wrong[i : i + 12] for i in range(0, len(wrong), 12)}
+    assert page_of(file_of(bytes(64), *entries.values()))[1]
+
+
+def test_deflated_bombs_stop_at_what_the_page_needs():
+    assert len(tiff.inflate(zlib.compress(bytes(50_000_000)), 100)) == 100
+
+
 def big_endian_two_pages():
     """Two big-endian pages: 16-bit samples with a predictor, and three planes apart."""
     first = np.array([[1, 5, 2], [7, 7, 65535]], ">u2")
@@ -69,6 +117,14 @@ def test_query(spark, sf):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 
+def test_forms_do_not_depend_on_length():
+    for n in (64, 6400, 640000):
+        assert {zlib.crc32(i.to_bytes(2, "big") * (n // 2)) % len(tiff.FORMS) for i in range(400)} == set(range(len(tiff.FORMS)))
+    for form in range(len(tiff.FORMS)):
+        payload = next(p for p in (bytes(range(1 + i)) * 64 * 70 for i in range(200)) if zlib.crc32(p) % len(tiff.FORMS) == form)
+        assert page_of(tiff.stored_as(payload))[0].tobytes() == payload
+
+
 def test_nulls_empties_repeats_and_clashes(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2), (2, "x" * 70000, 3)], "doc_id long, text string, media int")
     pages = tiff.decode_pages(tiff.encode_texts(df), "doc_id", "media").collect()
