@@ -1,38 +1,38 @@
 """Best-fit packing by a grouping genetic algorithm on islands with elite migration.
 
-Documents are tokenised once and cut into pieces of at most CAPACITY tokens. Only the pieces' lengths are packed. An
-island is a task with at most about ISLAND pieces: it evolves a few solutions, whose genes are whole bins. Crossover
-injects well-filled bins of one parent into another, drops the bins that share pieces with them and best-fits what was
-displaced. After each epoch the elite, the bins that are full to the last SLACK tokens, settles; the pieces of the other
-bins migrate to fewer islands, where they meet pieces of other islands, until one island is left for each ISLAND pieces
-that no island could settle.
+Documents are tokenised once and cut into pieces of at most CAPACITY tokens. Only the pieces' lengths are packed, in groups
+of about GROUP pieces. ISLANDS islands evolve solutions of one group, each in a task of its own; a solution's genes are
+whole bins. Crossover injects well-filled bins of one parent into the other, drops the bins that share pieces with them and
+some of the worst, lets displaced pieces take the place of shorter ones that leave room, and best-fits what is left. After
+each epoch an island's elite, its best solution, migrates to the next island of the group and breeds there. The best
+solution of a group's islands stands: its full bins settle, and the pieces of the others meet those of other groups in the
+next level, until the last level settles all.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lumiform.llm.common import chunks, table, written
+from lumiform.llm.common import chunks, dropped, table, written
 from lumiform.llm.tokens import default_path, encode
 
 CAPACITY = 2048
 #: The id that ends every document.
 END = 0
-#: Pieces of an island, about.
-ISLAND = 3000
-#: Solutions of an island, and generations of an epoch.
-POPULATION, GENERATIONS = 4, 6
-#: A bin with at most so many free tokens is elite and settles.
-SLACK = 0
-EPOCHS = 3
+#: Pieces of a group, about, and islands that work on one.
+GROUP, ISLANDS = 3000, 3
+#: Solutions of an island, generations of an epoch, epochs of a level.
+POPULATION, GENERATIONS, EPOCHS = 4, 4, 2
+LEVELS = 3
+#: Share of a parent's bins that may be injected, and of the other's bins that go besides.
+INJECTED, WORST = 0.5, 0.1
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -109,104 +109,156 @@ def best_fit(lengths: list[int], items: list[int], bins: list[list[int]], loads:
         room.add(capacity - loads[index], index)
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """Bins of item indices. Best fit decreasing starts the population; the others start from orders that chance disturbs."""
-    draw = np.random.default_rng(seed)
-    n = len(lengths)
-    if not n:
-        return []
-    size = np.array(lengths)
-    fitness = lambda loads: float(((np.array(loads) / capacity) ** 2).mean())
-
-    def solution(order: list[int]) -> tuple[float, list[list[int]], list[int]]:
+def exchanged(lengths: list[int], free: list[int], bins: list[list[int]], loads: list[int], capacity: int) -> list[int]:
+    """Let each bin swap the piece for which a longer free one makes the bin fullest. What is free then, longest first."""
+    pool = sorted((lengths[i], i) for i in free)
+    for k, held in enumerate(bins):
+        room, best = capacity - loads[k], (0, 0, 0)
+        if not room or not pool:
+            continue
+        for at, i in enumerate(held):
+            j = bisect_right(pool, (lengths[i] + room, len(lengths))) - 1
+            if j >= 0 and pool[j][0] - lengths[i] > best[0]:
+                best = (pool[j][0] - lengths[i], at, j)
+        gain, at, j = best
+        if gain:
+            out, held[at] = held[at], pool.pop(j)[1]
+            insort(pool, (lengths[out], out))
+            loads[k] += gain
+    return [i for _, i in reversed(pool)]
+
+
+class Solution:
+    """Bins of piece indices; better ones have fewer bins, then more uneven ones."""
+
+    def __init__(self, bins: list[list[int]], loads: list[int]) -> None:
+        self.bins, self.loads = bins, loads
+        filled = np.array(loads, float)
+        self.rank = (len(bins), -float((filled * filled).sum()))
+
+
+def crossover(lengths: list[int], size: np.ndarray, mother: Solution, father: Solution, draw: np.random.Generator, capacity: int) -> Solution:
+    rank = np.argsort(-np.array(father.loads), kind="stable")
+    rank = rank[: max(1, int(len(rank) * INJECTED))]
+    bins = [list(father.bins[i]) for i in rank[draw.random(len(rank)) < 0.5]]
+    taken = np.zeros(len(size), bool)
+    for b in bins:
+        taken[b] = True
+    kept = sorted((-load, k) for k, (b, load) in enumerate(zip(mother.bins, mother.loads, strict=True)) if not taken[b].any())
+    for _, k in kept[: len(kept) - max(2, int(len(kept) * WORST))]:
+        bins.append(list(mother.bins[k]))
+        taken[mother.bins[k]] = True
+    loads = [int(size[b].sum()) for b in bins]
+    best_fit(lengths, exchanged(lengths, np.flatnonzero(~taken).tolist(), bins, loads, capacity), bins, loads, capacity)
+    return Solution(bins, loads)
+
+
+def evolve(lengths: list[int], people: list[Solution], draw: np.random.Generator, capacity: int, generations: int = GENERATIONS) -> list[Solution]:
+    """The population after an epoch, best first. A new one starts from best-fitted pieces: by turns in random order, and by lengths that chance shrinks."""
+    size = np.array(lengths, np.int64)
+    people = list(people)
+    while len(people) < POPULATION:
         bins: list[list[int]] = []
         loads: list[int] = []
-        best_fit(lengths, order, bins, loads, capacity)
-        return fitness(loads), bins, loads
-
-    people = [solution(np.argsort(-size, kind="stable").tolist())]
-    least = -(-int(size.sum()) // capacity)
-    while len(people) < population and len(people[0][1]) > least:
-        noise = size * draw.uniform(1 - 0.1 * len(people), 1, n)
-        people.append(solution(np.argsort(-noise, kind="stable").tolist()))
-    for _ in range(generations):
-        if min(len(p[1]) for p in people) <= least:
-            break
-        people.sort(key=lambda p: -p[0])
-        mother, father = people[0], people[int(draw.integers(1, len(people)))] if len(people) > 1 else people[0]
-        # the best-filled half of the father's bins that chance picks goes into the mother
-        rank = np.argsort(-np.array(father[2]), kind="stable")
-        rank = rank[: max(1, len(rank) // 2)]
-        given = [father[1][i] for i in rank[draw.random(len(rank)) < 0.5]]
-        taken = np.zeros(n, bool)
-        for b in given:
-            taken[b] = True
-        kept = [b for b in mother[1] if not taken[b].any()]
-        # bins of the mother that share pieces go, as do some of her worst
-        loads = [int(size[b].sum()) for b in kept]
-        worst = set(np.argsort(loads)[: max(2, len(kept) // 20)].tolist())
-        kept = [b for i, b in enumerate(kept) if i not in worst]
-        bins = [list(b) for b in given] + [list(b) for b in kept]
-        placed = np.zeros(n, bool)
-        for b in bins:
-            placed[b] = True
-        loads = [int(size[b].sum()) for b in bins]
-        left = np.flatnonzero(~placed)
-        left = left[np.argsort(-size[left], kind="stable")].tolist()
-        best_fit(lengths, left, bins, loads, capacity)
-        child = (fitness(loads), bins, loads)
-        if child[0] > people[-1][0]:
-            people[-1] = child
-    return max(people, key=lambda p: (-len(p[1]), p[0]))[1]
-
-
-def pack(cut: DataFrame, capacity: int = CAPACITY, island: int = ISLAND, epochs: int = EPOCHS) -> DataFrame:
+        order = draw.permutation(len(size)) if len(people) % 2 else np.argsort(-size * draw.uniform(0.5, 1, len(size)))
+        best_fit(lengths, order.tolist(), bins, loads, capacity)
+        people.append(Solution(bins, loads))
+    for _ in range(generations if len(size) > 1 else 0):
+        children = []
+        for _ in range(max(1, POPULATION // 2)):
+            i, j = sorted(draw.choice(len(people), 2, replace=False).tolist())
+            children.append(crossover(lengths, size, people[i], people[j], draw, capacity))
+        people = sorted(people + children, key=lambda p: p.rank)[:POPULATION]
+    return sorted(people, key=lambda p: p.rank)
+
+
+STATE = "group_ long, island_ int, lengths array<int>, people array<array<int>>, n_bins int, fitness double"
+
+
+def live(epoch: int, level: int, capacity: int):
+    """What islands do in an epoch, for mapInArrow: rows of group_, island_, lengths, people (bins of the pieces in every solution, best first; the
+    guest last) in, STATE out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths = row["lengths"]
+                people = []
+                for places in row["people"]:
+                    bins: list[list[int]] = [[] for _ in range(max(places) + 1)]
+                    for piece, b in enumerate(places):
+                        bins[b].append(piece)
+                    people.append(Solution(bins, [sum(lengths[i] for i in b) for b in bins]))
+                draw = np.random.default_rng([level, epoch, row["group_"], row["island_"]])
+                people = evolve(lengths, sorted(people, key=lambda p: p.rank)[:POPULATION], draw, capacity)
+                out = np.zeros((len(people), len(lengths)), np.int32)
+                for k, p in enumerate(people):
+                    for number, b in enumerate(p.bins):
+                        out[k, b] = number
+                columns = [[row["group_"]], [row["island_"]], [lengths], [out.tolist()], [people[0].rank[0]], [people[0].rank[1]]]
+                types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.int32(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["group_", "island_", "lengths", "people", "n_bins", "fitness"])
+
+    return run
+
+
+def placed(level: int, capacity: int):
+    """From a group's best solution (group_, rows, lengths, bins) to row_, length, sequence_id, offset and load_ of its pieces, for mapInArrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths, bins = np.array(row["lengths"], np.int64), np.array(row["bins"], np.int64)
+                order = np.argsort(bins, kind="stable")
+                size, of = lengths[order], bins[order]
+                ends = np.cumsum(size)
+                load = np.bincount(of, size).astype(np.int64)
+                offset = ends - size - (np.cumsum(load) - load)[of]
+                columns = [np.array(row["rows"], np.int64)[order], size, level << 56 | row["group_"] << 24 | of, offset, load[of]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row_", "length", "sequence_id", "offset", "load_"])
+
+    return run
+
+
+def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, levels: int = LEVELS) -> DataFrame:
     """The pieces (PIECE) with sequence_id and offset, its place in the sequence, gapless from 0. Full pieces are sequences of their own.
     Null ids and repeated rows are pieces like others, an empty table gives no rows. Islands see written rows in a fixed order with a fixed seed,
     so a lost task that runs again gives the same sequences."""
     rows = written(cut.select("*", F.monotonically_increasing_id().alias("row_")), "pieces")  # a written number tells repeated rows apart
-    out_type = T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in ("sequence_id", "offset", "load_"))])
     full = rows.filter(F.col("length") >= capacity)
-    settled = full.select("*", F.col("row_").bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(capacity).cast("long").alias("load_"))
-    open_pieces = rows.filter(F.col("length") < capacity)
-    for epoch in range(epochs):
-        islands = max(1, -(-open_pieces.count() // island))
-        last = epoch == epochs - 1 or islands == 1
-        spread = F.pmod(F.xxhash64(F.lit(epoch), "row_"), F.lit(islands))
-        lived = written(open_pieces.withColumn("island_", spread).groupBy("island_").applyInArrow(island_life(epoch, capacity, out_type.fieldNames()), out_type), f"epoch{epoch}")
-        elite = F.lit(True) if last else F.col("load_") >= capacity - SLACK
-        settled = settled.unionByName(lived.filter(elite))
+    settled = full.select("row_", F.col("row_").bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    loose = rows.filter(F.col("length") < capacity).select("row_", "length")
+    for level in range(levels):
+        groups = max(1, -(-loose.count() // group))
+        last = level == levels - 1 or groups == 1
+        tasks = max(1, -(-groups * islands // 6))
+        dealt = loose.groupBy(F.pmod(F.xxhash64(F.lit(level), "row_"), F.lit(groups)).alias("group_")).agg(F.array_sort(F.collect_list(F.struct("row_", F.col("length").cast("int").alias("length")))).alias("all_"))
+        dealt = written(dealt.select("group_", F.col("all_.row_").alias("rows"), F.col("all_.length").alias("lengths")), f"groups{level}")
+        state = dealt.select("group_", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island_"), "lengths", F.array().cast("array<array<int>>").alias("people"))
+        for epoch in range(EPOCHS):
+            if epoch:
+                guests = state.select("group_", F.pmod(F.col("island_") + 1, F.lit(islands)).cast("int").alias("island_"), F.slice("people", 1, 1).alias("guest_"))
+                own = F.slice("people", 1, POPULATION - 1)
+                state = state.join(guests, ["group_", "island_"]).select("group_", "island_", "lengths", F.concat(own, "guest_").alias("people"))
+            before, state = state, written(state.repartition(tasks, "group_", "island_").mapInArrow(live(epoch, level, capacity), STATE), f"epoch{level}")
+        best = state.groupBy("group_").agg(F.min_by(F.col("people")[0], F.struct("n_bins", "fitness", "island_")).alias("bins"))
+        lived = written(dealt.join(best, "group_").mapInArrow(placed(level, capacity), "row_ long, length long, sequence_id long, offset long, load_ long"), f"placed{level}")
+        dropped(before, state, dealt)
+        settles = F.lit(True) if last else F.col("load_") >= capacity
+        settled = settled.unionByName(lived.filter(settles).select("row_", "sequence_id", "offset"))
         if last:
             break
-        open_pieces = lived.filter(~elite).select(*rows.columns)
-    return settled.drop("load_", "row_")
-
-
-def island_life(epoch: int, capacity: int, names: list[str]):
-    """What an island does in an epoch, for applyInArrow: its pieces in, the same with their places out."""
-
-    def live(key: tuple, island: pa.Table) -> pa.Table:
-        island = island.sort_by("row_")
-        lengths = island.column("length").to_pylist()
-        number = key[0].as_py()
-        sequence, offset, load = (np.zeros(len(lengths), np.int64) for _ in range(3))
-        for i, items in enumerate(evolve(lengths, capacity, seed=number * 31 + epoch)):
-            at = 0
-            for item in items:
-                sequence[item] = epoch << 56 | number << 24 | i
-                offset[item] = at
-                at += lengths[item]
-            load[items] = at
-        for name, column in (("sequence_id", sequence), ("offset", offset), ("load_", load)):
-            island = island.append_column(name, pa.array(column))
-        return island.select(names)
-
-    return live
+        loose = lived.filter(~settles).select("row_", "length")
+    return rows.join(settled, "row_").drop("row_")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """PIECE, sequence_id and offset of every piece of every row of docs. A null or empty text is one piece of END alone; texts longer than a
+    sequence are cut, however long they are, and no others; repeated rows and null ids are documents like others; an empty table gives no
+    rows; other columns are ignored, whatever their names."""
     return pack(pieces(docs, path, capacity), capacity)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of CAPACITY tokens."""
     return pack_documents(table(spark, sf_dir, "documents"))

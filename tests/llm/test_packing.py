@@ -30,20 +30,47 @@ def first_fit_decreasing(lengths, capacity):
     return len(bins)
 
 
+def evolved(lengths, capacity, seed, epochs=1, generations=12):
+    people = []
+    for e in range(epochs):
+        people = packing.evolve(lengths, people, np.random.default_rng([seed, e]), capacity, generations)
+    assert all(sorted(i for b in p.bins for i in b) == list(range(len(lengths))) for p in people)
+    assert all(sum(lengths[i] for i in b) == load <= capacity for p in people for b, load in zip(p.bins, p.loads, strict=True))
+    return len(people[0].bins)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_evolution_keeps_pieces_and_beats_first_fit(seed):
     draw = random.Random(seed)
     lengths = [draw.choice((draw.randint(1, 100), draw.randint(30, 70))) for _ in range(300)]
-    bins = packing.evolve(lengths, 100, seed)
-    assert sorted(i for b in bins for i in b) == list(range(300)) and all(sum(lengths[i] for i in b) <= 100 for b in bins)
-    assert len(bins) <= first_fit_decreasing(lengths, 100)
-    assert bins == packing.evolve(lengths, 100, seed) and packing.evolve([], 100, 1) == []
+    assert evolved(lengths, 100, seed) <= first_fit_decreasing(lengths, 100)
+    assert evolved(lengths, 100, seed) == evolved(lengths, 100, seed) and evolved([7], 100, 1) == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_generations_beat_best_fit_where_that_is_not_optimal(seed):
+    draw = random.Random(seed)
+    lengths = []
+    while len(lengths) < 300:  # bins of three pieces each are full
+        a, b = draw.randint(550, 820), draw.randint(550, 820)
+        if 550 <= 2048 - a - b <= 820:
+            lengths += [a, b, 2048 - a - b]
+    bins, loads = [], []
+    packing.best_fit(lengths, sorted(range(300), key=lambda i: -lengths[i]), bins, loads, 2048)
+    start, end = evolved(lengths, 2048, seed, generations=0), evolved(lengths, 2048, seed, epochs=2)
+    assert end < start < len(bins) and end <= 104
 
 
-def test_islands_against_the_lower_bound(spark, sf):
-    rows = packing.pack(packing.pieces(spark.read.parquet(f"{sf}/documents.parquet")), island=40).collect()
+def test_elites_migrate_and_groups_meet_the_lower_bound(spark, sf, monkeypatch):
+    guests = []
+    real = packing.evolve
+    monkeypatch.setattr(packing, "evolve", lambda lengths, people, *rest: guests.append(len(people)) or real(lengths, people, *rest))
+    state = spark.createDataFrame([(0, 0, [60, 50, 40, 50], [[0, 1, 0, 1], [0, 1, 2, 3]])], "group_ long, island_ int, lengths array<int>, people array<array<int>>")
+    (row,) = packing.live(1, 0, 100)(iter(state.toArrow().to_batches())) if hasattr(state, "toArrow") else ()
+    assert guests == [2] and row.column("n_bins").to_pylist() == [2]
+    rows = packing.pack(packing.pieces(spark.read.parquet(f"{sf}/documents.parquet")), group=40).collect()
     used = check(rows, packing.CAPACITY)
-    assert used <= -(-sum(r.length for r in rows) // packing.CAPACITY) + 3
+    assert used <= -(-sum(r.length for r in rows) // packing.CAPACITY) + 2
 
 
 def test_query_pieces_against_the_library(spark, sf):
