@@ -30,7 +30,8 @@ END = 0
 GROUP, ISLANDS = 3000, 3
 #: Solutions of an island, generations of an epoch, epochs of a level.
 POPULATION, GENERATIONS, EPOCHS = 4, 4, 2
-LEVELS = 3
+#: Levels, and epochs of the last one, behind which nothing can be mended.
+LEVELS, LAST_EPOCHS = 3, 5
 #: Share of a parent's bins that may be injected, and of the other's bins that go besides.
 INJECTED, WORST = 0.5, 0.1
 
@@ -220,6 +221,12 @@ def placed(level: int, capacity: int):
     return run
 
 
+def below(state: DataFrame, capacity: int) -> bool:
+    """Whether the best solution of some group has more bins than its pieces' total length asks for, so that another epoch could help."""
+    least = F.ceil(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x) / capacity)
+    return not state.groupBy("group_").agg(F.min(F.col("n_bins") - least).alias("over")).filter("over > 0").isEmpty()
+
+
 def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, levels: int = LEVELS) -> DataFrame:
     """The pieces (PIECE) with sequence_id and offset, its place in the sequence, gapless from 0. Full pieces are sequences of their own.
     Null ids and repeated rows are pieces like others, an empty table gives no rows. Islands see written rows in a fixed order with a fixed seed,
@@ -231,16 +238,17 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islands:
     for level in range(levels):
         groups = max(1, -(-loose.count() // group))
         last = level == levels - 1 or groups == 1
-        tasks = max(1, -(-groups * islands // 6))
         dealt = loose.groupBy(F.pmod(F.xxhash64(F.lit(level), "row_"), F.lit(groups)).alias("group_")).agg(F.array_sort(F.collect_list(F.struct("row_", F.col("length").cast("int").alias("length")))).alias("all_"))
         dealt = written(dealt.select("group_", F.col("all_.row_").alias("rows"), F.col("all_.length").alias("lengths")), f"groups{level}")
         state = dealt.select("group_", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island_"), "lengths", F.array().cast("array<array<int>>").alias("people"))
-        for epoch in range(EPOCHS):
+        for epoch in range(LAST_EPOCHS if last else EPOCHS):
             if epoch:
                 guests = state.select("group_", F.pmod(F.col("island_") + 1, F.lit(islands)).cast("int").alias("island_"), F.slice("people", 1, 1).alias("guest_"))
                 own = F.slice("people", 1, POPULATION - 1)
                 state = state.join(guests, ["group_", "island_"]).select("group_", "island_", "lengths", F.concat(own, "guest_").alias("people"))
-            before, state = state, written(state.repartition(tasks, "group_", "island_").mapInArrow(live(epoch, level, capacity), STATE), f"epoch{level}")
+            before, state = state, written(state.repartition(groups * islands, "group_", "island_").mapInArrow(live(epoch, level, capacity), STATE), f"epoch{level}")
+            if not below(state, capacity):
+                break
         best = state.groupBy("group_").agg(F.min_by(F.col("people")[0], F.struct("n_bins", "fitness", "island_")).alias("bins"))
         lived = written(dealt.join(best, "group_").mapInArrow(placed(level, capacity), "row_ long, length long, sequence_id long, offset long, load_ long"), f"placed{level}")
         dropped(before, state, dealt)
