@@ -1,5 +1,9 @@
 """HTML extraction: flat text blocks, described by the word counts and link densities of themselves and their
-neighbours and by where they stand, classified by a decision tree that is trained here on a small labelled table.
+neighbours, classified by a decision tree that is trained here on a small labelled table.
+
+Parsing settles only what elements mean by themselves: scripts, styles and forms are no text, and what stands in a menu, a
+sidebar, a header or footer of the page, a dialog or a container of reader comments is never the article, nor is what an
+article element holds in a container named as an advert. All else, page names and classes aside, is the tree's decision.
 """
 
 from __future__ import annotations
@@ -7,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,18 +23,19 @@ from pyspark.sql import functions as F
 from lumiform.llm.common import chunks, table
 
 # Names of HTML elements by what they mean for blocks.
-RAW = frozenset("script style textarea title template noembed noframes xmp iframe svg math object select datalist canvas audio video".split())
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("article aside body button details dialog div fieldset figure footer form head header html main menu nav noscript ol p search section table ul h1 h2 h3 h4 h5 h6 li blockquote span dl".split())
-BOILER_TAGS = frozenset("aside button dialog fieldset footer form head menu nav noscript search".split())
-CONTENT_TAGS = frozenset(("article", "main"))
+RAW = frozenset("script style textarea title template noembed noframes iframe".split())
+BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+CONTAINERS = frozenset("article aside body button datalist details dialog div dl fieldset figure footer form head header html main menu nav noscript ol p search section select table ul h1 h2 h3 h4 h5 h6 li blockquote span".split())
+BARRED = frozenset("aside button datalist dialog fieldset footer form head menu nav noscript search select".split())
+ARTICLE = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Words in class, id and role that name what stands around an article.
-BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adslot adbox alert author-bio banner banners bio breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies copyright cta disclaimer discussion disqus dropdown feedback foot footer form gdpr hidden legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pagination pager paywall popular popup privacy promo promoted promotion recommended recommendations register related replies reply respond rss search share sharing shoutbox sidebar sidenav signup site-header skip social sponsor sponsored sticky subscribe subscription tags teaser toolbar tooltip topbar trending utility warning widget widgets complementary".split())
-CONTENT_WORDS = frozenset("article body content entry main post story text prose".split())
+#: Words in class and id that name a container of reader comments, and, inside an article, of an advert or links to other articles.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies respond".split())
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement sponsored promo related newsletter share".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+STOP = re.compile("[>\"']")
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -38,102 +44,146 @@ class Block(NamedTuple):
     text: str
     words: int
     linked: int  # words inside links
-    boiler: int  # containers that say it isn't the article
-    content: int  # 1 inside an article or main element, or what is named like one
+    tags: int  # tags inside
+    barred: int  # containers that can't hold the article
+    article: int  # 1 inside an article or main element
     heading: int
 
 
 def kind_of(tag: str, attributes: str, inside: int) -> int:
-    """1 for a container of boilerplate, -1 for one of content, 2 for a hidden one, else 0."""
+    """1 for a container that can't hold the article, -1 for an article or main element, 2 for a hidden one, else 0."""
+    names: set[str] = set()
     if attributes:
         if HIDDEN.search(attributes):
             return 2
-        names = {w for m in NAMED.finditer(attributes) for name in [m[2] or m[3] or m[4] or ""] for w in (name.lower(), *name.lower().split(), *re.split(r"[\s_-]+", name.lower()))}
-    else:
-        names = set()
-    if tag in BOILER_TAGS or (tag == "header" and not inside):
+        for m in NAMED.finditer(attributes):
+            value = (m[2] or m[3] or m[4] or "").lower()
+            names |= {f"role:{value}"} if m[1].lower() == "role" else set(re.split(r"[\s_-]+", value))
+    if tag in BARRED or (tag == "header" and not inside):
         return 1
-    if names & BOILER_WORDS and tag not in ("body", "html") and not (tag in CONTENT_TAGS and not names & {"comment", "comments", "reply", "related", "teaser", "promo", "sponsored", "ad", "advert"}):
+    if tag not in ("body", "html") and (names & COMMENT_WORDS or (inside and tag not in ARTICLE and names & ADVERT_WORDS)):
         return 1
-    return -1 if tag in CONTENT_TAGS or names & CONTENT_WORDS else 0
+    return -1 if tag in ARTICLE or "role:main" in names else 0
+
+
+def tag_end(page: str, at: int) -> int:
+    """Behind the ">" that ends the tag whose attributes begin at `at`; one in quotes ends nothing. -1 if there is none."""
+    while m := STOP.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        quote = page.find(m[0], m.end())
+        at = quote + 1 if quote >= 0 else m.end()
+    return -1
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order. Comments, scripts, styles and other raw elements are no text; character references
-    are decoded; white space inside a block, line breaks too, is one space. Unclosed elements end with what holds them."""
+    """The text blocks of a page in order, in time linear in its length. Comments, scripts, styles and other raw elements are no text; character
+    references are decoded; white space inside a block, line breaks too, is one space. Unclosed elements end with what holds them. From a
+    tag on that quotes never let end, tags end at their first ">"; a "<" that begins no tag is text."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []  # open containers and their kinds
+    open_tags: Counter = Counter()
     parts: list[tuple[str, bool]] = []
-    links = 0
-    boiler = content = hidden = 0
+    links = tags = barred = article = hidden = headings = 0
+    quotes = True
 
     def close() -> None:
+        nonlocal tags
         if parts:
             text = " ".join("".join(p for p, _ in parts).split())
             if text and not hidden:
                 linked = " ".join(p for p, link in parts if link)
-                heading = int(any(t in HEADINGS for t, _ in stack))
-                out.append(Block(text, len(text.split()), len(linked.split()) if linked else 0, boiler, int(content > 0), heading))
+                out.append(Block(text, len(text.split()), len(linked.split()) if linked else 0, tags, barred, int(article > 0), int(headings > 0)))
             parts.clear()
+        tags = 0
 
-    def count(kind: int, by: int) -> None:
-        nonlocal boiler, content, hidden
+    def count(tag: str, kind: int, by: int) -> None:
+        nonlocal barred, article, hidden, headings
+        open_tags[tag] += by
+        headings += by * (tag in HEADINGS)
         if kind == 1:
-            boiler += by
+            barred += by
         elif kind == 2:
             hidden += by
         elif kind == -1:
-            content += by
+            article += by
+
+    def pop() -> str:
+        tag, kind = stack.pop()
+        count(tag, kind, -1)
+        return tag
 
     at, n = 0, len(page)
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            parts.append((entities.unescape(page[at:]), links > 0))
+        start = page.find("<", at)
+        if start < 0:
+            start = n
+        if start > at:
+            parts.append((entities.unescape(page[at:start]), links > 0))
+        if start == n:
             break
-        if m.start() > at:
-            parts.append((entities.unescape(page[at : m.start()]), links > 0))
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            if page.startswith("<![CDATA[", m.start()):
-                parts.append((page[m.start() + 9 : at - 3], links > 0))
+        at = start + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            at = end + 3 if end >= 0 else n
+            continue
+        if page.startswith("![CDATA[", at):
+            end = page.find("]]>", at)
+            parts.append((page[at + 8 : end if end >= 0 else n], links > 0))
+            at = end + 3 if end >= 0 else n
+            continue
+        if page.startswith(("!", "?"), at):
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else n
+            continue
+        name = NAME.match(page, at)
+        end = -1
+        if name:
+            end = tag_end(page, name.end()) if quotes else page.find(">", name.end()) + 1 or -1
+            if end < 0 and quotes:
+                quotes = False
+                end = page.find(">", name.end()) + 1 or -1
+        if end < 0:
+            if name:  # no tag ends any more
+                parts.append((entities.unescape(page[start:]), links > 0))
+                break
+            parts.append(("<", links > 0))
             continue
-        closing, attributes = (m[1] if m[2] else m[4]) == "/", (m[3] if m[2] else m[6]) or ""
+        closing, tag, attributes, at = name[0][0] == "/", name[0].lstrip("/").lower(), page[name.end() : end - 1], end
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                shut = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+                at = page.find(">", shut.end() - 1) + 1 or n if shut else n
             continue
         if tag == "br":
             parts.append((" ", False))
+            tags += 1
             continue
         if tag in BLOCKS:
             close()
             links = 0 if tag in ("p", "li", "td", "div") else links
+        else:
+            tags += not closing
         if tag == "a":
             links = 0 if closing else 1
         if tag in VOID or tag not in CONTAINERS:
             continue
         if not closing:
-            if tag in BLOCKS and tag not in ("span",) and stack and stack[-1][0] == "p":
-                count(stack.pop()[1], -1)
+            if tag in BLOCKS and stack and stack[-1][0] == "p":
+                pop()
             if tag == "li" and stack and stack[-1][0] == "li":
-                count(stack.pop()[1], -1)
-            kind = kind_of(tag, attributes, content)
+                pop()
+            kind = kind_of(tag, attributes, article)
             stack.append((tag, kind))
-            count(kind, 1)
-        elif any(t == tag for t, _ in reversed(stack)):
-            while True:
-                t, kind = stack.pop()
-                count(kind, -1)
-                if t == tag:
-                    break
+            count(tag, kind, 1)
+        elif open_tags[tag] > 0:
+            while pop() != tag:
+                pass
     close()
     return out
 
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boiler", "content", "content_on_page", "heading")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "tag_density", "heading", "article", "article_on_page")
 
 
 def describe(blocks: list[Block]) -> np.ndarray:
@@ -141,53 +191,71 @@ def describe(blocks: list[Block]) -> np.ndarray:
     n = len(blocks)
     words = np.array([0, *(min(b.words, 1000) for b in blocks), 0], float)
     density = np.array([0, *(b.linked / b.words for b in blocks), 0], float)
-    anywhere = float(any(b.content for b in blocks))
-    rest = np.array([[min(b.boiler, 3), b.content, anywhere, b.heading] for b in blocks], float).reshape(n, 4)
+    anywhere = float(any(b.article and not b.barred for b in blocks))
+    rest = np.array([[b.tags / b.words, b.heading, b.article, anywhere] for b in blocks], float).reshape(n, 4)
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], rest])
 
 
 # -- the labelled table
 
-#: Pages of the labelled table: what each block stands in, and 1 where it is part of the article. {n} becomes n invented words, {a} a link of one word.
+#: Pages of the labelled table. A text begins with 1 where it is part of the article, else with 0. {n} becomes n invented words, {a} a link of one word.
+MENU, LINKS = "<ul><li>0{a}</li><li>0{a}</li><li>0{a}</li><li>0{a}</li></ul>", "<div>0{a} {a} {a}</div>"
 LAYOUTS = [
-    '<nav><ul>0<li>{a}</li>0<li>{a}</li></ul></nav><div class="ad">0{8}</div><article><h1>1{6}</h1><p>1{40}</p><p>1{4}</p><p>1{90}</p></article><footer>0{3} {a}</footer>',
-    '<header>0{5}</header><main><h1>1{3}</h1><p>1{2}</p><p>1{25} {a} {9}</p></main><aside>0{30}</aside><footer>0{12}</footer>',
-    '<div id="menu">0{a} {a} {a}</div><div id="content"><h2>1{5}</h2><p>1{60}</p><div class="advert">0{22}</div><p>1{35}</p></div><div class="comments"><p>0{45}</p><p>0{20}</p></div>',
-    '<div>0{a} {a} {a} {a}</div><div>1{70}</div><div>1{50}</div><div>1{12}</div><div>1{80}</div><div>0{a} {a}</div>',
-    '<article><header><h1>1{7}</h1></header><p>1{18}</p><ul>1<li>{6}</li>1<li>{9}</li></ul><form>0{5}<p>0{9}</p></form><section class="comments"><p>0{33}</p></section></article>',
-    '<div class="cookie-notice">0{28}</div><p>1{55}</p><p>1{48}</p><p>1{3}</p><p>1{62}</p><table><tr>0<td>{a}</td>0<td>{a}</td></tr></table>',
-    '<article><h1>1{4}</h1><p>1{3}</p><p>1{50}</p><p>1{2}</p><p>1{4}</p></article><div>0{6}</div>',
-    '<main><p>1{30}</p><p>1{2}</p><p>1{3}</p></main><div>0{25}</div><div>0{3}</div>',
-    '<p>1{a} {30}</p><p>1{45}</p><div>0{a} {a}</div>',
-    '<p>1{12}</p><p>1{3}</p>',
-    '<article><p>1{a}</p><p>1{20}</p><p>1{a} {a}</p></article>',
-    '<p>1{2}</p>',
-    '<article><p>1{2}</p></article>',
-    '<p>1{40}</p><div>0{a}</div><p>1{20}</p>',
-    '<nav>0{a} {a}</nav><div id="content"><p>1{30}</p><p>1{5}</p></div>',
-    '<article><p>1{a} {6}</p><ul>1<li>{1}</li>1<li>{2}</li></ul></article>',
-    '<div>0{a} {a}</div><p>1{25}</p><div class="ad">0{25}</div>',
-    '<article><p>1{1}</p><p>1{15}</p><aside>0{40}</aside><blockquote>1{20}</blockquote></article><div class="related">0{a}<p>0{10} {a}</p></div>',
-    '<main><article><h2>1{4}</h2><p>1{a} {a} {3}</p><p>1{30}</p><figure>1<figcaption>{8}</figcaption></figure></article><div class="newsletter">0{14}</div></main><p>0{6}</p>',
+    # an article element, with and without other things around and inside it
+    "<nav>" + MENU + "</nav><div>0{8}</div><article><h1>1{9}</h1><p>1{40}</p><p>1{4}</p><p>1{90}</p></article><footer>0{3} {a}</footer>",
+    "<nav>" + MENU + "</nav><div>0{12}</div><article><h1>1{6}</h1><p>1{7}</p><p>1{3}</p></article><footer>0{12}</footer>",
+    "<header>0{5}</header><main><h1>1{3}</h1><p>1{2}</p><p>1{25} {a} {9}</p></main><aside>0{30}</aside><footer>0{12}</footer>",
+    "<article><header><h1>1{7}</h1></header><p>1{18}</p><ul><li>1{6}</li><li>1{9}</li></ul><form>0{5}<p>0{9}</p></form></article><div>0{33}</div><div>0{5}</div>",
+    "<article><h1>1{4}</h1><p>1{3}</p><p>1{50}</p><p>1{2}</p><p>1{4}</p></article><div>0{6}</div><div>0{20}</div>",
+    "<main><p>1{30}</p><p>1{2}</p><p>1{3}</p></main><div>0{25}</div><div>0{3}</div>",
+    "<article><p>1{a}</p><p>1{20}</p><p>1{a} {12}</p></article>",
+    "<article><p>1{2}</p></article>",
+    "<article><p>1{1}</p><p>1{15}</p><blockquote>1{20}</blockquote><p>1{2}</p></article>" + LINKS + "<p>0{10} {a}</p>",
+    "<main><article><h2>1{4}</h2><p>1{a} {a} {13}</p><p>1{30}</p><figure><figcaption>1{8}</figcaption></figure></article></main><p>0{6}</p>",
+    "<article><h1>1{6}</h1><p>1{45}</p><p>1{5}</p><p>1{38}</p>" + MENU + "</article>",
+    MENU + "<div>0{7}</div><article><h1>1{8}</h1><p>1{3}</p><p>1{11}</p><p>1{2}</p><p>1{70}</p><p>1{6}</p></article><div>0{10}</div>",
+    LINKS + "<div>0{15}</div><div>0{40}</div><article><p>1{5}</p><p>1{12}</p><p>1{33}</p></article><div>0{45}</div><div>0{22}</div>",
+    MENU + "<article><h1>1{10}</h1><p>1{14}</p><p>1{9}</p></article>" + LINKS,
+    "<article><h1>1{5}</h1><p>1{60}</p><p>1{30}</p>" + LINKS + "<div>0{a} {a}</div></article><div>0{14}</div>",
+    # no such element: word counts and links tell
+    LINKS + "<div>1{70}</div><div>1{50}</div><div>1{12}</div><div>1{80}</div>" + LINKS,
+    MENU + "<h1>1{6}</h1><p>1{34}</p><p>1{51}</p><h2>1{4}</h2><p>1{47}</p><p>1{8}</p><p>1{66}</p>" + MENU + "<div>0{5}</div>",
+    "<div>0{3}</div>" + MENU + "<div>0{10}</div><h1>1{7}</h1><p>1{42}</p><p>1{29}</p><p>1{15}</p><p>1{55}</p><div>0{4}</div>" + LINKS,
+    LINKS + "<p>1{44}</p><ul><li>1{7}</li><li>1{5}</li><li>1{9}</li></ul><p>1{61}</p><div>0{2} {a}</div><div>0{a}</div>",
+    "<div>0{a}</div><div>0{6}</div><p>1{55}</p><p>1{48}</p><p>1{3}</p><p>1{62}</p><table><tr><td>0{a}</td><td>0{a}</td></tr></table>",
+    MENU + "<p>1{24} {a} {15}</p><p>1{31} {a} {a} {22}</p><p>1{a} {30}</p>" + MENU + "<div>0{9}</div>",
+    "<div>0{2}</div>" + LINKS + "<h1>1{5}</h1><div>0{3} {a}</div><p>1{70}</p><p>1{26}</p><div>0{6} {a} {a}</div>" + LINKS + "<div>0{7}</div>",
+    "<h1>1{6}</h1><p>1{20}</p><p>1{33}</p><p>1{6}</p><p>1{41}</p>",
+    "<p>1{a} {30}</p><p>1{45}</p><div>0{a} {a}</div>",
+    "<p>1{12}</p><p>1{3}</p>",
+    "<p>1{2}</p>",
+    "<div>1{4}</div>",
+    "<p>1{40}</p><div>0{a}</div><p>1{20}</p>",
+    MENU + "<div>1{90}</div>" + MENU,
+    MENU + "<div>0{8}</div>" + MENU + "<p>1{52}</p><p>1{4}</p><p>1{37}</p>" + LINKS + "<div>0{11}</div>",
 ]
-TABLE_PAGES = 76
+TABLE_PAGES = 240
+
+
+def labelled_page(layout: str, draw: random.Random) -> tuple[list[Block], list[int]]:
+    """Blocks and labels of a page made from a layout. A block's label rides in its text, as its first word."""
+    word = lambda: "".join(draw.choice("abcdefghilmnorstu") for _ in range(draw.randint(2, 9)))
+    page = re.sub(r">([01])(?=[{])", r">label\1 ", layout)
+    page = re.sub(r"\{(\d+)\}", lambda m: " ".join(word() for _ in range(max(1, round(int(m[1]) * draw.uniform(0.6, 1.5))))), page)
+    page = re.sub(r"\{a\}", lambda m: f'<a href="/{word()}">{word()}</a>', page)
+    blocks = blocks_of(page)
+    return [b._replace(words=max(1, b.words - 1)) for b in blocks], [int(b.text[5]) for b in blocks]
 
 
 def labelled_table(seed: int = 7, pages: int = TABLE_PAGES) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of `pages` pages made from LAYOUTS. A block's label rides in its text, as its first word."""
+    """Features and labels of the blocks of `pages` pages made from LAYOUTS, but for those that parsing settles."""
     draw = random.Random(seed)
-    word = lambda: "".join(draw.choice("abcdefghilmnorstu") for _ in range(draw.randint(2, 9)))
     xs, ys = [], []
     for i in range(pages):
-        page = re.sub(r">([01])(<li>|<td>|<figcaption>)", r"\2\1", LAYOUTS[i % len(LAYOUTS)].replace("</li>0<li>", "</li><li>0").replace("</li>1<li>", "</li><li>1").replace("</td>0<td>", "</td><td>0").replace("<ul>0<li>", "<ul><li>0").replace("<ul>1<li>", "<ul><li>1").replace("<tr>0<td>", "<tr><td>0").replace("<figure>1<figcaption>", "<figure><figcaption>1"))
-        page = re.sub(r">([01])", r">label\1 ", page)
-        page = re.sub(r"\{(\d+)\}", lambda m: " ".join(word() for _ in range(max(1, round(int(m[1]) * draw.uniform(0.6, 1.5))))), page)
-        page = re.sub(r"\{a\}", lambda m: f'<a href="/{word()}">{word()}</a>', page)
-        blocks = blocks_of(page)
-        labels = [int(b.text[5]) for b in blocks]
-        blocks = [b._replace(words=max(1, b.words - 1)) for b in blocks]
-        xs.append(describe(blocks))
-        ys += labels
+        blocks, labels = labelled_page(LAYOUTS[i % len(LAYOUTS)], draw)
+        free = np.array([not b.barred for b in blocks])
+        xs.append(describe(blocks)[free])
+        ys += [y for y, f in zip(labels, free, strict=True) if f]
     return np.vstack(xs), np.array(ys)
 
 
@@ -232,16 +300,18 @@ def classify(tree: tuple, x: np.ndarray) -> np.ndarray:
 
 
 def main_text(page: str, tree: tuple) -> str:
+    """The blocks that the tree keeps, in page order, one a line."""
     blocks = blocks_of(page)
     if not blocks:
         return ""
     keep = classify(tree, describe(blocks))
-    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k and not b.barred)
 
 
 def extract_pages(pages: DataFrame, tree: tuple | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html). Null or empty html gives an empty text; repeated rows
-    give repeated results; other columns are ignored. Whole pages are read and nothing of a kept block is dropped."""
+    give repeated results; other columns are ignored, whatever their names; an empty table gives no rows. Whole pages are read, however long, and nothing of a kept
+    block is dropped."""
     tree = tree or grow(*labelled_table())
     kind = pages.schema["page_id"].dataType.simpleString()
 
@@ -254,4 +324,5 @@ def extract_pages(pages: DataFrame, tree: tuple | None = None) -> DataFrame:
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract_pages(table(spark, sf_dir, "pages"))
