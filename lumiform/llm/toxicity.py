@@ -1,8 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed words, word pairs and skip-pairs.
 
-Training sees a bounded sample of the labelled rows (SAMPLE) in one task; the sparse weights that L1 leaves are bounded
-by the hashing space (2**BITS), so they may be collected and broadcast. Scoring reads every whole text once, without a
-shuffle.
+Training sees a bounded sample of the labelled rows (SAMPLE) in one task, as a sorted stream with a copy of the sample for
+each epoch, so its memory is that of the coordinates (2**BITS), not that of the texts. The sparse weights that L1 leaves are
+bounded by the hashing space too and may be collected and broadcast. Scoring reads every whole text once, without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiform.llm.common import chunks, table
+from lumiform.llm.common import chunks, dropped, table, written
 from lumiform.llm.textcore import buffer_of, mix, words
 
 BITS = 20
@@ -46,25 +46,23 @@ def features(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return index[order], np.searchsorted(doc[order], np.arange(len(w.ptr)))
 
 
-def ftrl(examples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Non-zero coordinates and weights after `epochs` passes in the order given. An example is the array of its distinct coordinates."""
-    z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
+class Learner:
+    """FTRL-proximal: per coordinate the shifted sum of gradients z and the sum of their squares n."""
 
-    def weights(i: np.ndarray | slice) -> np.ndarray:
-        zi = z[i]
-        return np.where(np.abs(zi) > L1, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(n[i])) / ALPHA + L2), 0.0)
+    def __init__(self) -> None:
+        self.z, self.n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
 
-    for _ in range(epochs):
-        for x, y in zip(examples, labels, strict=True):
-            w = weights(x)
-            p = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30)))
-            g = p - y
-            ni = n[x]
-            z[x] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
-            n[x] = ni + g * g
-    w = weights(slice(None))
-    kept = np.flatnonzero(w)
-    return kept, w[kept]
+    def weights(self, i: np.ndarray | slice = slice(None)) -> np.ndarray:
+        zi = self.z[i]
+        return np.where(np.abs(zi) > L1, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(self.n[i])) / ALPHA + L2), 0.0)
+
+    def learn(self, x: np.ndarray, y: float) -> None:
+        """An example: its distinct coordinates and label."""
+        w = self.weights(x)
+        g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
+        n = self.n[x]
+        self.z[x] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
+        self.n[x] = n + g * g
 
 
 def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -83,19 +81,25 @@ def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fitted(examples: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Calibrated sparse weights. Every CALIBRATION-th example calibrates the weights that the others give; if those lack a class, weights stay as learnt."""
-    aside = np.arange(len(examples)) % CALIBRATION == CALIBRATION - 1
-    kept, w = ftrl([x for x, out in zip(examples, aside, strict=True) if not out], labels[~aside])
-    dense = np.zeros(BIAS + 1)
-    dense[kept] = w
-    if aside.any() and 0 < labels[aside].sum() < aside.sum():
-        margins = np.array([dense[x].sum() for x, out in zip(examples, aside, strict=True) if out])
-        a, b = calibrate(margins, labels[aside])
-        dense *= a
-        dense[BIAS] += b
-    kept = np.flatnonzero(dense)
-    return kept, dense[kept]
+def fitted(stream: Iterator[tuple[np.ndarray, float, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """Non-zero coordinates and calibrated weights from (distinct coordinates, label, aside). What is aside comes last and calibrates the weights
+    that the rest gave; if it lacks a class, weights stay as learnt."""
+    learner, margins, labels, w = Learner(), [], [], None
+    for x, y, aside in stream:
+        x = np.append(x, BIAS)
+        if not aside:
+            learner.learn(x, y)
+            continue
+        w = learner.weights() if w is None else w
+        margins.append(w[x].sum())
+        labels.append(y)
+    w = learner.weights() if w is None else w
+    if 0 < sum(labels) < len(labels):
+        a, b = calibrate(np.array(margins), np.array(labels))
+        w *= a
+        w[BIAS] += b
+    kept = np.flatnonzero(w)
+    return kept, w[kept]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -103,33 +107,40 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Weights learnt from the labelled documents outside the held-out third. Of repeated labels the largest counts, of repeated ids
-    the least text; null labels and ids are left out. Without labelled rows there are no weights, and every score is 0.5."""
+    """Weights learnt from the labelled documents outside the held-out third, whole texts of any length.
+
+    Of repeated labels the largest counts, of repeated ids the least text, so repeated rows change nothing; null labels and ids are left out,
+    null texts count as empty. Rows are chosen and ordered by a hash of doc_id, ties by doc_id. Without labelled rows, or with empty tables,
+    there are no weights, and every score is 0.5. Other columns of both tables are ignored, whatever their names."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("y_"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y_").agg(F.min("text").alias("text"))
+    names = ["place", "doc_id", "aside", "y", "x"]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            index, ptr = features(batch.column(1))
+            index, ptr = features(batch.column(4))
             lists = pa.array([np.unique(index[a:b]) for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], names)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = {}
-        for batch in batches:
-            for d, y, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                x = x.values.to_numpy()
-                if d not in examples or (len(x), x.tobytes()) < (len(examples[d][1]), examples[d][1].tobytes()):
-                    examples[d] = (y, x)
-        order = sorted(examples, key=lambda d: (int(mix(np.array([d], np.uint64))[0]), d))
-        kept, w = fitted([np.append(examples[d][1], BIAS) for d in order], np.array([float(examples[d][0] > 0) for d in order]))
+        def stream() -> Iterator[tuple[np.ndarray, float, bool]]:
+            for batch in batches:
+                for aside, y, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                    yield x.values.to_numpy(), y, aside
+
+        kept, w = fitted(stream())
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(w, pa.float64())], ["i", "w"])
 
-    lists = rows.select("doc_id", F.col("y_").cast("int").alias("y"), "text").select("doc_id", "text", "y").mapInArrow(extract, "doc_id long, y int, x array<int>")
-    # the sample is bounded, the scan isn't: features are made where the texts are, then meet in one task
-    found = lists.repartition(1).mapInArrow(fit, "i long, w double").toPandas()
+    aside = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(CALIBRATION)) == 0
+    keyed = rows.select(F.xxhash64("doc_id").alias("place"), F.col("doc_id").cast("long").alias("doc_id"), aside.alias("aside"), F.col("y_").cast("double").alias("y"), "text")
+    schema = "place long, doc_id long, aside boolean, y double, x array<int>"
+    examples = written(keyed.mapInArrow(extract, schema), "examples")  # features are made where the texts are
+    epochs = F.when(F.col("aside"), F.array(F.lit(EPOCHS))).otherwise(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))
+    ordered = examples.withColumn("epoch", F.explode(epochs)).repartition(1).sortWithinPartitions("epoch", "place", "doc_id").select(*names)
+    found = ordered.mapInArrow(fit, "i long, w double").toPandas()
+    dropped(examples)
     return found["i"].to_numpy(np.int64), found["w"].to_numpy(float)
 
 
@@ -151,7 +162,8 @@ def spread_weights(sparse: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: the key and score, from 0 to 1. Other columns are ignored."""
+    """Per row of docs: the key and score, from 0 to 1. Null and empty texts get the bias alone, long ones are read whole, repeated rows are
+    scored each, null keys stay; an empty table gives no rows; other columns are ignored, whatever their names."""
     kind = docs.schema[key].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int32), weights[1]))
 
@@ -164,7 +176,8 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], key: str = "d
 
 
 def accepted(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is under the threshold; null texts are kept if the bias is."""
+    """The rows of docs, with all their columns, whose score is under the threshold; null texts are kept if the bias is. Repeated rows, null ids
+    and long texts are judged like others, columns of any name pass through, an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int32), weights[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +190,7 @@ def accepted(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], threshold:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

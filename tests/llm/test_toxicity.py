@@ -27,13 +27,14 @@ def test_ftrl_matches_the_plain_update(monkeypatch):
     weight = lambda i: 0.0 if abs(z.get(i, 0)) <= T.L1 else -(z[i] - np.sign(z[i]) * T.L1) / ((T.BETA + np.sqrt(n[i])) / T.ALPHA + T.L2)
     for _ in range(2):
         for x, y in zip(examples, labels, strict=True):
+            x = [*x, T.BIAS]
             w = {i: weight(i) for i in x}
             g = 1 / (1 + np.exp(-sum(w.values()))) - y
             for i in x:
                 old = n.get(i, 0.0)
                 z[i] = z.get(i, 0.0) + g - (np.sqrt(old + g * g) - np.sqrt(old)) / T.ALPHA * w[i]
                 n[i] = old + g * g
-    kept, w = T.ftrl(examples, labels, 2)
+    kept, w = T.fitted((x, y, False) for _ in range(2) for x, y in zip(examples, labels, strict=True))
     assert kept.tolist() == sorted(i for i in z if weight(i)) and w == pytest.approx([weight(i) for i in kept])
 
 
@@ -49,6 +50,50 @@ def test_query_and_held_out_accuracy(spark):
     assert np.mean([a[1] > b[1] for a in toxic for b in clean]) > 0.95
 
 
+def plain_scores(docs, labels):
+    """The same model by loops and dictionaries over the same hashed coordinates."""
+    known = {}
+    for d, y in labels:
+        if d is not None and y is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+            known[d] = max(y, known.get(d, y))
+    coordinates = lambda t: sorted(set(T.features(pa.array([t], pa.string()))[0].tolist())) + [T.BIAS]
+    texts = {}
+    for d, t in docs:
+        if d in known:
+            texts[d] = min(t or "", texts.get(d, t or ""))
+    z, n = {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= T.L1 else -(z[i] - np.sign(z[i]) * T.L1) / ((T.BETA + np.sqrt(n[i])) / T.ALPHA + T.L2)
+    return known, texts, coordinates, z, n, weight
+
+
+def test_query_against_loops(spark, monkeypatch):
+    monkeypatch.setattr(T, "L1", 0.5)
+    docs = [(i - 6, ("you awful fool " if i % 3 == 0 else "a kind word here ") + f"number {i % 5}") for i in range(60)] + [(4, None), (70, "x " * 200000)]
+    labels = [(d, int("fool" in (t or ""))) for d, t in docs] + [(5, None), (None, 1)]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(a, b, 0) for a, b in labels], "doc_id long, toxic int, y_ int")
+    weights = T.train(d, lab)
+    known, texts, coordinates, z, n, weight = plain_scores(docs, labels)
+    order = [(r.p, r.doc_id, r.a) for r in spark.createDataFrame([(k,) for k in known], "doc_id long").selectExpr("xxhash64(doc_id) AS p", "doc_id", f"pmod(xxhash64(7, doc_id), {T.CALIBRATION}) = 0 AS a").collect()]
+    for _ in range(T.EPOCHS):
+        for _, i, aside in sorted(order):
+            if aside:
+                continue
+            x, y = coordinates(texts[i]), known[i]
+            w = {k: weight(k) for k in x}
+            g = 1 / (1 + np.exp(-np.clip(sum(w.values()), -30, 30))) - y
+            for k in x:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (np.sqrt(old + g * g) - np.sqrt(old)) / T.ALPHA * w[k]
+                n[k] = old + g * g
+    held = [(i, known[i]) for _, i, aside in sorted(order) if aside]
+    assert 0 < sum(y for _, y in held) < len(held)
+    a, b = T.calibrate(np.array([sum(weight(k) for k in coordinates(texts[i])) for i, _ in held]), np.array([float(y) for _, y in held]))
+    want = {t: 1 / (1 + np.exp(-np.clip(a * sum(weight(k) for k in coordinates(t)) + b, -30, 30))) for _, t in docs}
+    got = T.score(spark.createDataFrame([(i, t, 0.5) for i, t in docs], "doc_id long, text string, score double"), weights).collect()
+    by = dict(docs)
+    assert len(got) == len(docs) and all(r.score == pytest.approx(want[by[r.doc_id]]) or r.doc_id == 4 for r in got)
+
+
 def test_nulls_ties_and_no_labels(spark):
     docs = spark.createDataFrame([(1, "bad awful", 0.5), (1, "bad awful", 0.5), (2, None, 0.1), (None, "", None)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (1, None), (2, 0), (None, 1)], "doc_id long, toxic int")
