@@ -1,10 +1,11 @@
 """Benchmark decontamination: template canonicalisation, a hash join of template windows, and slot consistency.
 
 A text becomes a template: numbers, units and names turn into typed placeholders that keep their values aside as slots.
-Windows of WINDOW template tokens of the benchmark meet those of the documents in a hash join; a bitmap of fixed size
-over the benchmark's window hashes keeps nearly all other windows of the corpus from being shuffled (a false positive
-costs one row, never a result). On each alignment of an item with a document every slot value of the item must stand for
-one value in the document: then the passage is the item, or the item with other parameters. What surrounds a passage can
+Windows of WINDOW template tokens of the benchmark meet those of the documents in a hash join; a bitmap over the
+benchmark's window hashes, sized by their number, keeps nearly all other windows of the corpus from being shuffled (a false
+positive costs one row, never a result). An item has one slot map in a document: on an alignment, and over all alignments
+that count together, every slot value of the item must stand for one value in the document. Then the passage is the item,
+or the item with other parameters. What surrounds a passage can
 run into a slot at its edges ("For example, Mary Jones" is one name where "Mary" opened the item); there a value may be
 longer on the outer side.
 """
@@ -19,18 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumiform.llm.common import chunks, table, written
+from lumiform.llm.common import chunks, spread_join, table, written
 from lumiform.llm.textcore import buffer_of, mix, range_hash, words
 
 WINDOW = 8
-#: Items of fewer template tokens than WINDOW match as a whole; below this they say too little to be recognised and are left out.
-LEAST = 4
 #: Share of an item's windows that a document must hold, on consistent alignments.
 COVERAGE = 0.5
-BITMAP_BITS = 24
-SALTS = 16
+#: The bitmap has about so many bits a window, from 2**16 to 2**28 (32 MB) in all.
+BITS_A_WINDOW, MOST_BITS = 1024, 28
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
 FRONT, BACK = 1, 2
+#: English words that open sentences and are no names.
+OPENERS = "a an the this that these those it its he she they we you i his her their our your my if in on at by for from to of and or but as so when while where what which who whom whose why how there here each every all both some many most any no not after before then than since until because although though is are was were has have had do does did can could will would should may might must let find given suppose consider calculate compute determine solve show prove explain read write choose with without about over under between during through one once also however".split()
 #: Number words and units of measurement.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons tonne tonnes ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kph hz khz mhz w kw watt watts v volt volts j joule joules n newton newtons pa k c f degree degrees percent dollar dollars euro euros cent cents usd eur gbp".split()
@@ -52,7 +53,8 @@ class Template(NamedTuple):
 
 def canonical(values: pa.Array) -> Template:
     """The templates of whole texts. Numbers in digits or words are NUMBER ("3.5" and "1,000" are one each), a unit behind a number is UNIT,
-    a word with a capital first letter alone that opens no sentence is NAME, as are several in a row. All else is its lower-case word."""
+    a word with a capital first letter alone is NAME, unless it is one of OPENERS and opens a sentence; several in a row are one. All else is its
+    lower-case word."""
     raw, raw_offsets = buffer_of(values)
     low_raw, low_offsets = buffer_of(values, lower=True)
     low = words(low_raw, low_offsets)
@@ -83,12 +85,12 @@ def canonical(values: pa.Array) -> Template:
     tail, low_tail = (np.minimum(x.start + size[r[x.start]], x.end) for x, r in ((w, raw), (low, low_raw)))
     rest = range_hash(raw, tail, w.end) == range_hash(low_raw, low_tail, low.end)
     capital = (w.hash != low.hash) & ~digits & rest & (tail < w.end)  # not words in capitals throughout
-    name = capital & ~opens & ~number & ~unit
+    name = capital & ~(opens & within(low.hash, hashes_of(OPENERS))) & ~number & ~unit
     kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, WORD))).astype(np.int8)
     point = raw[np.minimum(before, len(raw) - 1)]
     goes_on = np.zeros(n, bool)
     goes_on[1:] = digits[1:] & digits[:-1] & (gap[1:] == 1) & ((point[1:] == 46) | (point[1:] == 44))
-    goes_on[1:] |= name[1:] & name[:-1]
+    goes_on[1:] |= name[1:] & name[:-1] & ~opens[1:]
     goes_on &= ~head
     # values of merged tokens: the hashes of their parts, summed with their order
     lead = np.flatnonzero(~goes_on)
@@ -148,13 +150,14 @@ def edges(t: Template, of: np.ndarray, place: np.ndarray, size: int) -> pa.Array
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, size (template tokens a window), n_windows, place, hash, slots and their edges of every window of every item; repeated items count once."""
+    """item_id, size (template tokens a window), n_windows, place, hash, slots and their edges of every window of every item; an item of fewer
+    tokens than WINDOW is one window, however short; repeated items count once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text_"):
             t = canonical(batch.column(1))
             length = np.diff(t.ptr)
-            for size in range(LEAST, WINDOW + 1):
+            for size in range(1, WINDOW + 1):
                 h, of, place = windows(t, size)
                 use = (length[of] == size) if size < WINDOW else np.ones(len(of), bool)
                 h, of, place = h[use], of[use], place[use]
@@ -178,40 +181,62 @@ def extends(x: Column, y: Column) -> Column:
 
 
 def agreed(pairs: Column) -> Column:
-    """Whether each of the item's values stands for one value in the document."""
+    """Whether each of the item's values stands for one value in the document; a value of one word that is also a part of a longer name stands for that part."""
     against = lambda x, y: (x["own"] != y["own"]) | (x["found"] == y["found"]) | extends(x, y) | extends(y, x)
-    return F.forall(pairs, lambda x: F.forall(pairs, lambda y: against(x, y)))
+    word = lambda y: F.element_at(y["own"], 1)
+    named = lambda x, y: (F.size(y["own"]) == 1) & (F.size(x["own"]) > 1) & (F.size(x["own"]) == F.size(x["found"])) & F.array_contains(x["own"], word(y))
+    same_part = lambda x, y: F.try_element_at(x["found"], F.array_position(x["own"], word(y)).cast("int")) == F.element_at(y["found"], 1)
+    within = lambda x, y: ~named(x, y) | ((F.size(y["found"]) == 1) & same_part(x, y))
+    return F.forall(pairs, lambda x: F.forall(pairs, lambda y: against(x, y) & within(x, y)))
 
 
-def bitmap(known: DataFrame) -> np.ndarray:
-    """2**BITMAP_BITS bits, true where a window's hash falls; built by aggregation, so the driver gets at most 2 MB."""
-    bit = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
+def bitmap(known: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits that are true where a window's hash falls, and log2 of their number; built by aggregation, so the driver gets their bytes and no windows."""
+    size = min(MOST_BITS, max(16, (known.count() * BITS_A_WINDOW).bit_length()))
+    bit = F.shiftrightunsigned("hash", 64 - size)
     rows = known.select(F.bitmap_bucket_number(bit).alias("b"), F.bitmap_bit_position(bit).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
-    out = np.zeros((1 << BITMAP_BITS) + (1 << 15), bool)
+    out = np.zeros((1 << size) + (1 << 15), bool)
     for b, bits in rows:
         at = (b - 1) * 32768 if b else 0
         part = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
         # bucket b holds the numbers (b - 1) * 32768 + 1 to b * 32768; bit p is number (b - 1) * 32768 + 1 + p (bucket 0: number 0)
         out[at + (1 if b else 0) : at + (1 if b else 0) + len(part)] |= part.astype(bool)
-    return np.packbits(out[: 1 << BITMAP_BITS])
+    return np.packbits(out[: 1 << size]), size
+
+
+PAIRS = "array<struct<own:array<bigint>,found:array<bigint>,edge:int>>"
+
+
+def together(alignments: Column) -> Column:
+    """places and pairs of the alignments (places, pairs; the one of most places first) that share one slot map: each joins those before it if no slot's value conflicts."""
+    zero = F.struct(F.array().cast("array<bigint>").alias("places"), F.array().cast(PAIRS).alias("pairs"))
+
+    def step(acc: Column, x: Column) -> Column:
+        joined = lambda pairs: F.when(agreed(pairs), F.struct(F.array_union(acc["places"], x["places"]).alias("places"), pairs.alias("pairs"))).otherwise(acc)
+        return F.transform(F.array(F.array_distinct(F.concat(acc["pairs"], x["pairs"]))), joined)[0]
+
+    return F.aggregate(alignments, zero, step)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A row for each document and benchmark item of which the document holds at least COVERAGE of the windows on consistent alignments:
-    key, item_id, n_windows, n_matched, coverage, and same_slots (every value is the item's own). Null texts are empty; of repeated rows
-    one counts; rows with the same id and other texts are judged apart and the largest coverage is told. An empty table gives no rows."""
+    """A row for each document and benchmark item of which the document holds at least COVERAGE of the windows under one slot map: key, item_id,
+    n_windows, n_matched, coverage, and same_slots (every value is the item's own).
+
+    Null texts are empty and match nothing; items without words match nothing; texts are read whole, however long; of repeated rows one
+    counts; rows with the same id and other texts are judged apart and the largest coverage is told, ties for same_slots; null keys are a key.
+    Empty tables give no rows. Other columns of both tables are ignored, whatever their names."""
     spark = docs.sparkSession
     known = written(benchmark_windows(benchmark), "benchmark-windows")
-    sent = spark.sparkContext.broadcast((bitmap(known), [r[0] for r in known.select("size").distinct().collect()]))
+    sent = spark.sparkContext.broadcast((*bitmap(known), [r[0] for r in known.select("size").distinct().collect()]))
     kind = docs.schema[key].dataType.simpleString()
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, sizes = sent.value
+        bits, width, sizes = sent.value
         for batch in chunks(batches, "text_"):
             t = canonical(batch.column(1))
             for size in sizes:
                 h, of, place = windows(t, size)
-                b = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+                b = (h >> np.uint64(64 - width)).astype(np.int64)
                 hit = np.flatnonzero(bits[b >> 3] >> (7 - (b & 7)).astype(np.uint8) & 1)
                 if len(hit):
                     of, place = of[hit], place[hit]
@@ -219,16 +244,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(text), pa.array(place, pa.int64()), pa.array(h[hit].view(np.int64)), slots(t, of, place, size)], ["key_", "text_", "at_", "hash", "found_"])
 
     found = docs.select(F.col(key).alias("key_"), F.col("text").alias("text_")).mapInArrow(probe, f"key_ {kind}, text_ long, at_ long, hash long, found_ {SLOTS}")
-    salt = F.pmod(F.xxhash64("key_", "text_"), F.lit(SALTS)).cast("int")
-    salted = known.withColumn("salt_", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    met = found.withColumn("salt_", salt).join(salted, ["hash", "salt_"])
+    found = written(found, "window-hits")
+    met = spread_join(found, known, ["hash"], ["key_", "text_", "at_"], found.groupBy("hash").agg(F.count(F.lit(1)).alias("n_")))
     pairs = F.arrays_zip(F.col("slots").alias("own"), F.col("found_").alias("found"), F.col("edges").alias("edge"))
     theirs = lambda p: F.struct(p["own"].alias("own"), p["own"].alias("found"), p["edge"].alias("edge"))
     pairs = F.transform(pairs, lambda p: F.when(extends(p, theirs(p)), theirs(p)).otherwise(p))
-    met = met.select("key_", "text_", "item_id", "n_windows", "place", (F.col("at_") - F.col("place")).alias("shift_"), pairs.alias("pairs_"))
-    aligned = met.groupBy("key_", "text_", "item_id", "n_windows", "shift_").agg(F.collect_set("place").alias("places_"), F.array_distinct(F.flatten(F.collect_set("pairs_"))).alias("pairs_"))
-    consistent = aligned.filter(agreed(F.col("pairs_"))).withColumn("same_", F.forall("pairs_", lambda p: p["own"] == p["found"]))
-    covered = consistent.groupBy("key_", "text_", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places_")))).cast("long").alias("n_matched"), F.bool_and("same_").alias("same_slots"))
+    of = ["key_", "text_", "item_id", "n_windows"]
+    met = met.select(*of, "place", (F.col("at_") - F.col("place")).alias("shift_"), pairs.cast(PAIRS).alias("pairs_"))
+    aligned = met.groupBy(*of, "shift_").agg(F.collect_set("place").alias("places_"), F.array_distinct(F.flatten(F.collect_set("pairs_"))).alias("pairs_"))
+    consistent = aligned.filter(agreed(F.col("pairs_")))
+    listed = consistent.groupBy(*of).agg(F.sort_array(F.collect_list(F.struct((-F.size("places_")).alias("less"), "shift_", F.col("places_").alias("places"), F.col("pairs_").alias("pairs")))).alias("all_"))
+    covered = listed.select(*of, together(F.col("all_")).alias("one_")).select(*of, F.size("one_.places").cast("long").alias("n_matched"), F.forall("one_.pairs", lambda p: p["own"] == p["found"]).alias("same_slots"))
     best = covered.filter(F.col("n_matched") >= COVERAGE * F.col("n_windows")).groupBy("key_", "item_id", "n_windows").agg(F.max(F.struct("n_matched", "same_slots")).alias("m_"))
     return best.select(F.col("key_").alias(key), "item_id", "n_windows", F.col("m_.n_matched").alias("n_matched"), (F.col("m_.n_matched") / F.col("n_windows")).alias("coverage"), F.col("m_.same_slots").alias("same_slots"))
 
@@ -242,4 +268,5 @@ def hash_of_texts(t: Template) -> np.ndarray:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items: doc_id, item_id, n_windows, n_matched, coverage, same_slots."""
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

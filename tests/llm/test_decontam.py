@@ -11,7 +11,8 @@ def kinds(text):
 
 def test_templates():
     assert kinds("He ran 3.5 km and 1,000 miles") == "wwnuwnu"
-    assert kinds("Today Mary Jones met John. Then they left") == "wNwNwww"
+    assert kinds("Today Mary Jones met John. Then they left") == "NwNwww"
+    assert kinds("The man saw Ann. Bob has 4 red apples. Bob Ann") == "wwwNNwnwwN"
     assert kinds("It took twenty minutes in a day") == "wwnuwww"
     assert kinds("WE SHOUT AT NASA") == "wwww"
     assert kinds("") == ""
@@ -52,6 +53,55 @@ def test_text_around_a_passage_may_run_into_its_edges(spark):
     assert pairs(spark, docs, items) == [(1, 1, True), (2, 1, True), (3, 1, False)]
 
 
+def test_short_items_and_names_that_open_sentences(spark):
+    items = [(1, "Alice has 3 red apples."), (2, "Who sings?"), (3, "Sir"), (4, "..."), (5, "")]
+    docs = [(1, "It rains. Bob has 4 red apples. Then it stops."), (2, "bob has red apples"), (3, "They ask who sings? Nobody."), (4, "who never sings"), (5, "")]
+    assert pairs(spark, docs, items) == [(1, 1, False), (1, 3, False), (3, 2, True), (3, 3, False)]
+
+
+TWO = "When {0} went to the old market on the hill {1} apples were sold there for a good price and then {2} came back home over the long bridge with {3} pears"
+
+
+def test_alignments_share_one_slot_map(spark):
+    items = [(1, TWO.format("Alice", 3, "Alice", 7))]
+    split = "for a quite good price"
+    docs = [
+        (1, "Yes. " + TWO.format("Bob", 5, "Bob", 9)), (2, "Yes. " + TWO.format("Bob", 5, "Bob", 9).replace("for a good price", split)),
+        (3, "Yes. " + TWO.format("Bob", 5, "Carl", 9)), (4, "Yes. " + TWO.format("Bob", 5, "Carl", 9).replace("for a good price", split)),
+        (5, TWO.format("Eve", 1, "Eve", 2) + ". " + TWO.format("Dan", 4, "Dan", 8)),
+    ]
+    assert pairs(spark, docs, items) == [(1, 1, False), (2, 1, False), (5, 1, False)]
+
+
+def test_planted_items_with_other_parameters(spark, sf):
+    """Each benchmark item gets parameters, and documents hold it with others: all are found, and none of the documents without."""
+    import random
+
+    draw = random.Random(2)
+    items, docs, want = [], [], set()
+    texts = [r.text.lower() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    fill = lambda words, values: " ".join(values.get(i, w) for i, w in enumerate(words))
+    for k, text in enumerate(texts):
+        words = text.split()
+        names, numbers = draw.sample(range(1, len(words)), 2), draw.sample(range(1, len(words)), 2)
+        if len({*names, *numbers, *(n + 1 for n in names), *(n - 1 for n in names)}) < 8:
+            continue
+        values = lambda a, n: {names[0]: a, names[1]: a} | {i: str(n) for i in numbers}
+        items.append((k, fill(words, values("Robert", 11))))
+        docs += [(10 * k, "we read that " + fill(words, values("Susan", 23)) + " and so on"), (10 * k + 1, "we read that " + fill(words, values("Susan", 23) | {names[1]: "Peter"}) + " and so on"), (10 * k + 2, text)]
+        want.add((10 * k, k, False))
+    got = pairs(spark, docs, items)
+    assert len(want) >= 10 and {g for g in got if g[0] % 10 == 0} == {(d or -1, i, s) for d, i, s in want} and not [g for g in got if g[0] % 10 == 1]
+
+
+def test_very_long_text_and_clashing_names(spark):
+    item = QUESTION.format("John Smith", 12, 3.5)
+    long = "some words of no weight stand here. " * 40000
+    d = spark.createDataFrame([(1, long + item + " " + long, 1, "x", 2), (2, long, 1, "x", 2)], "doc_id long, text string, key_ int, hash string, n_ int")
+    b = spark.createDataFrame([(1, item, "x", 3)], "item_id long, text string, slots string, place int")
+    assert [(r.doc_id, r.item_id, r.coverage, r.same_slots) for r in D.matches(d, b).collect()] == [(1, 1, 1.0, True)]
+
+
 def test_repeats_hot_windows_and_empty(spark):
     item = [(1, QUESTION.format("John", 12, 3))]
     docs = [(i % 200, "Read this: " + item[0][1] + f" number {i % 200} of a list") for i in range(400)]
