@@ -78,15 +78,16 @@ def loss_spans(rendered: Column, role: str = "assistant") -> Column:
 
 def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Format every conversation. Rows of one conversation are ordered by turn, then role, then text; a null turn comes first,
-    a null role or text counts as empty, rows without conv_id are one conversation with a null id, and repeated rows are
-    repeated turns. Other columns of `rows` are ignored; an empty table gives no rows. The turns of one conversation meet
-    in one row, as its format is one string.
+    a null role or text counts as empty, each row without conv_id is a conversation of its own with a null id, and repeated
+    rows are repeated turns. Texts are formatted whole, however long. Other columns of `rows` are ignored, whatever their
+    names; an empty table gives no rows. The turns of one conversation meet in one row, as its format is one string.
 
     Returns conv_id, rendered, form, round_trip, loss_spans.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    turns = rows.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("text")).alias("t"))
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col(conv).isNull(), F.monotonically_increasing_id()).alias("alone")
+    turns = rows.select(F.col(conv).alias("conv_id"), alone, F.struct(F.col(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("text")).alias("t"))
+    grouped = turns.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     grouped = grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     raw = grouped.withColumn("raw", render(F.col("turns"), False))
     clean = (F.regexp_count("raw", F.lit(CONTROL)) == 3 * F.size("turns")) & (parse(F.col("raw")) == F.col("turns"))
@@ -128,15 +129,15 @@ _ESC = r"regexp_replace(replace({x}, '\', '\\'), '(<|\[)(/?s>|/?INST\])', '\1\\\
 _CONTROL = r"'</?s>|\[/?INST\]'"
 OP7_SQL = rf"""
 WITH c AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), g AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS body,
     coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
     string_agg('[INST]' || role || chr(10) || text || '[/INST]</s>', '' ORDER BY turn, role, text) AS raw,
     string_agg('[INST]' || {_ESC.format(x="role")} || chr(10) || {_ESC.format(x="text")} || '[/INST]</s>', '' ORDER BY turn, role, text) AS esc
-  FROM c GROUP BY conv_id
+  FROM c GROUP BY conv_id, alone
 ), f AS (
   SELECT *, len(regexp_extract_all(raw, {_CONTROL})) = 3 * n_turns AS clean FROM g
 )

@@ -25,6 +25,15 @@ def test_nulls_ties_and_extra_columns(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_rows_without_id_stand_alone_and_very_long_texts(spark):
+    long = "</s>[INST]\\ words " * 100000
+    df = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "user", "b"), (1, 0, "assistant", long)], "conv_id long, turn long, role string, text string")
+    done = chat.format_conversations(df)
+    got = done.select("conv_id", "round_trip", chat.parse(done.rendered).alias("t"), chat.loss_text(done.rendered, done.loss_spans).alias("loss")).collect()
+    assert sorted(r.t[0].text for r in got if r.conv_id is None) == ["a", "a", "b"] and all(r.round_trip for r in got)
+    assert [r.loss == long for r in got if r.conv_id == 1] == [True]
+
+
 def test_query(spark, sf):
     assert oracle.spark_rows(chat.op7_chat(spark, sf)) == oracle.duck_rows(oracle.connect(sf), chat.OP7_SQL)
 

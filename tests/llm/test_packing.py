@@ -92,6 +92,17 @@ def test_query_pieces_against_the_library(spark, sf):
         assert all(r.length == 2048 for r in own[1:]) and all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
 
 
+def test_ids_of_structured_words(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    bits = [bin(i).count("1") % 2 for i in range(8192)]
+    texts = {i: "".join("ab"[b ^ i % 2] for b in bits[: 1024 << i // 2]) for i in range(8)}
+    for r in packing.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        ids = np.array([*t.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
 def test_nulls_repeats_and_clashes(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "", 1), (2, "a b", 1), (2, "a b", 1), (3, "word " * 5000, 1)], "doc_id long, text string, sequence_id int")
     rows = packing.pack_documents(df).collect()

@@ -43,6 +43,23 @@ def test_random_small_alphabets(spark):
     assert found(spark, rows) == repeats(rows)
 
 
+def test_structured_strings_and_very_long_texts(spark):
+    bits = [bin(i).count("1") % 2 for i in range(8192)]
+    rows = [(2 * k + flip, "".join("ab"[b ^ flip] for b in bits[: 1024 << k])) for k in range(4) for flip in (0, 1)]
+    assert found(spark, rows) == repeats(rows)
+    draw = random.Random(4)
+    long = "".join(draw.choice("abcdefghij ") for _ in range(300000))
+    rows = [(1, long), (2, "x" + long[1000:1400] + "y" + long[5000:5099]), (3, long)]
+    assert found(spark, rows) == repeats(rows)
+
+
+def test_equal_ranks_are_held_against_the_bytes():
+    import numpy as np
+
+    data = np.frombuffer(b"a" * 100 + b"b" * 100 + b"a" * 100, np.uint8)
+    assert suffix.exact_ranks(suffix.lanes(data), np.array([0, 100, 200]), np.array([1, 1, 1])).tolist() == [0, 1, 0]
+
+
 def test_null_ids_repeated_rows_and_empty(spark):
     text = "x" * 50 + "the same long text " * 8
     df = spark.createDataFrame([(None, text), (1, text), (1, text), (2, text)], "doc_id long, text string")

@@ -44,6 +44,12 @@ def test_random_strings(reference):
     run()
 
 
+def test_structured_words_and_very_long_texts(reference):
+    bits = [bin(i).count("1") % 2 for i in range(8192)]
+    same(reference, ["".join("ab"[b ^ flip] for b in bits[:n]) for n in (1024, 2048, 4096, 8192) for flip in (0, 1)])
+    same(reference, ["long words " * 100000 + "z" * 5000, "", "é" * 3000])
+
+
 def test_histogram_against_lists(spark):
     lengths = [0, 0, 3, 3, 3, 7, 2000, 5000]
     h = tokens.length_histogram(spark.createDataFrame([(n,) for n in lengths], "n_tokens long")).collect()
