@@ -8,8 +8,8 @@ a time by which the registers of a document are very likely full; documents that
 
 Documents with the same words are one node. In each band bucket a hub, another one in every band, is compared with the
 bucket's other nodes, so a bucket of any size costs a pair a node. In buckets that still hold different components the
-signatures of pairs across components are compared in blocks; pairs that may be similar leave them as ids and are verified
-like the others, so no candidate pair of different texts that could join two classes stays unexamined.
+signatures of pairs across components are compared in blocks; the nodes of pairs that may be similar meet in their blocks once
+more, with their shingles, and only links leave them. No candidate pair that could join two classes stays unexamined.
 """
 
 from __future__ import annotations
@@ -171,36 +171,73 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return both.filter(F.least(*sizes) >= similarity * F.greatest(*sizes)).mapInArrow(run, "a long, b long")
 
 
-def pairs_across(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of nodes of one bucket and different labels that may be similar. rows: bucket, n (the bucket's size), node, label, bands, registers.
-
-    A bucket is cut into blocks of BLOCK nodes, and the signatures of pairs of blocks are compared in memory, each by a task of its own. A pair that
-    shares several buckets is looked at in the first of them. A pair of `similarity` fails by ERRORS standard errors, or never."""
+def near(block: pa.Table, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a block pair: an index and the indices behind it of nodes with other labels whose signatures may be similar, for pairs that share no earlier bucket."""
+    bucket, i, j = (block.column(c)[0].as_py() for c in ("bucket", "i", "j"))
     least = similarity - ERRORS * np.sqrt(similarity * (1 - similarity) / REGISTERS)
+    node, label, side = (block.column(c).to_numpy() for c in ("node", "label", "side"))
+    bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+    registers = np.frombuffer(b"".join(block.column("registers").to_pylist()), np.uint8).reshape(len(node), REGISTERS)
+    here = int(np.argmax(bands[0] == bucket))
+    left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    for p in left:
+        q = right[(label[right] != label[p]) & ((node[right] > node[p]) | (i != j))]
+        q = q[~(bands[q, :here] == bands[p, :here]).any(axis=1)]
+        yield p, q[(registers[q] == registers[p]).mean(axis=1) >= least]
+
+
+def links_across(rows: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between nodes of one bucket and different labels. rows: bucket, n (the bucket's size), node, label, bands, registers.
 
-    def run(key: tuple, block: pa.Table) -> pa.Table:
-        bucket, i, j = (k.as_py() for k in key)
+    A bucket is cut into blocks of BLOCK nodes, and pairs of blocks are compared in memory, each by a task of its own: first the signatures alone,
+    then the shingles of the nodes that may have partners. A pair that shares several buckets is looked at in the first of them. A pair of
+    `similarity` fails by ERRORS standard errors, or never. Once a link joins two labels of a block pair, their other pairs needn't be verified."""
+
+    def survive(key: tuple, block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
-        node, label, side = (block.column(c).to_numpy() for c in ("node", "label", "side"))
-        bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
-        registers = np.frombuffer(b"".join(block.column("registers").to_pylist()), np.uint8).reshape(len(node), REGISTERS)
-        here = int(np.argmax(bands[0] == bucket))
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        a, b = [], []
-        for p in left:
-            q = right[(label[right] != label[p]) & ((node[right] > node[p]) | (i != j))]
-            q = q[~(bands[q, :here] == bands[p, :here]).any(axis=1)]
-            q = q[(registers[q] == registers[p]).mean(axis=1) >= least]
-            a.append(np.minimum(node[p], node[q]))
-            b.append(np.maximum(node[p], node[q]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(a or empty), pa.int64()), "b": pa.array(np.concatenate(b or empty), pa.int64())})
+        kept = np.zeros(block.num_rows, bool)
+        for p, q in near(block, similarity):
+            kept[q] = True
+            kept[p] |= len(q) > 0
+        return block.filter(pa.array(kept)).select(names)
 
+    def verify(key: tuple, block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        node = block.column("node").to_numpy()
+        codes = [np.frombuffer(x, np.uint64) for x in block.column("codes").to_pylist()]
+        root = {x: x for x in block.column("label").to_pylist()}
+        label = block.column("label").to_pylist()
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for p, q in near(block, similarity):
+            for r in q.tolist():
+                x, y = top(label[p]), top(label[r])
+                if x == y:
+                    continue
+                short, long = sorted((codes[p], codes[r]), key=len)
+                if len(short) < similarity * len(long):
+                    continue
+                at = np.searchsorted(long, short)
+                both = int((long[np.minimum(at, len(long) - 1)] == short).sum())
+                if both >= similarity * (len(short) + len(long) - both):
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(node[p], node[r]), max(node[p], node[r])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    names = ["bucket", "i", "j", "side", "node", "label", "bands", "registers"]
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     side = F.pmod(F.xxhash64("node"), blocks).cast("int")
     placed = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    keyed = placed.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "label", "bands", "registers")
-    return keyed.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    keyed = placed.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), *names[3:])
+    schema = "bucket long, i int, j int, side int, node long, label long, bands array<long>, registers binary"
+    alive = written(keyed.groupBy("bucket", "i", "j").applyInArrow(survive, schema), "survivors")
+    return alive.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(verify, "a long, b long").distinct()
 
 
 def times(rows: DataFrame, key: str) -> DataFrame:
@@ -257,7 +294,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     keys = nodes.select("node", F.explode("bands").alias("bucket"))
     draw = F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("node"))
     hubs = written(keys.groupBy("bucket").agg(F.min(draw)["node"].alias("hub"), F.count(F.lit(1)).alias("n_")).filter("n_ > 1"), "hubs")
-    crowded = written(spread_join(keys, hubs.drop("n_"), ["bucket"], ["node"], hubs.select("bucket", "n_")), "buckets")
+    crowded = written(keys.join(hubs.drop("n_"), "bucket"), "buckets")
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     pairs = written(crowded.filter("hub <> node").select(F.col("hub").alias("x"), F.col("node").alias("y")).select(*pair).distinct(), "pairs")
     needed = crowded.select(F.col("node").alias("doc_id")).distinct()
@@ -266,9 +303,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = components(edges)
     # buckets that hold different components
     placed = crowded.select("bucket", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = written(placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n_")).filter("lo < hi").select("bucket", "n_"), "mixed")
-    rest = spread_join(placed, mixed.withColumnRenamed("n_", "n"), ["bucket"], ["node"], mixed).join(nodes.select("node", "bands", "registers"), "node")
-    more = written(verified(written(pairs_across(rest, similarity), "pairs"), sets, similarity).distinct(), "links")
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n_")).filter("lo < hi").select("bucket", F.col("n_").alias("n"))
+    rest = placed.join(mixed, "bucket").join(nodes.select("node", "bands", "registers"), "node")
+    more = written(links_across(rest, sets, similarity), "links")
     twins = written(spread_join(known.select("doc_id", *same), nodes.select(*same, "node"), same, ["doc_id"], nodes.select(*same, "n_")).select("doc_id", "node"), "members")
     # an id that stands on several texts links their nodes, be it a node itself or not
     several = twins.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
