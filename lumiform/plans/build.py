@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import time
 from collections.abc import Callable
-from dataclasses import asdict
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumiform.operators import bm25, corpus
-from lumiform.sources.provenance import Config, Manifest, RunRecord
-from lumiform.sources.readers import digest, table
+from lumiform.sources import provenance
+from lumiform.sources.provenance import Config
+from lumiform.sources.readers import table
 
 
 def parsed(spark: SparkSession, source: str) -> DataFrame:
@@ -40,38 +40,43 @@ def problems(records: DataFrame, mined: DataFrame, config: Config) -> DataFrame:
     return flagged.unionByName(shared).unionByName(twice).unionByName(bad.select(F.col("problem").alias("check"), F.col("query_id").cast("string").alias("what")))
 
 
-def run(spark: SparkSession, source: str, out: Path, config: Config | None = None, force: bool = False) -> Manifest:
-    """Build below out; a stage whose table is complete is skipped unless forced. A build with problems raises."""
-    config = config or Config()
-    record, manifest = RunRecord(["build", source, str(out)]), Manifest.load(out / "manifest.json", asdict(config))
+def complete(spark: SparkSession, folder: str) -> bool:
+    """Whether Spark's writer has committed a table to folder, on any file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(folder, "_SUCCESS")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
-    def stage(name: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
-        path = out / name
-        if force or not (path / "_SUCCESS").exists():
-            with record.stage(name):
+
+def run(spark: SparkSession, source: str, out: str, config: Config | None = None, force: bool = False) -> DataFrame:
+    """Build below out; a stage whose table is complete is skipped unless forced. The files of new stages are appended to out/_outputs, what the run
+    did to out/_runs. Returns the current outputs; a build with problems raises."""
+    config, name = config or Config(), provenance.new_run()
+
+    def stage(label: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+        folder = f"{out}/{label}"
+        if force or not complete(spark, folder):
+            began, failed = time.time(), True
+            try:
                 writer = make().write.mode("overwrite")
-                (writer.partitionBy(by) if by else writer).parquet(str(path))
-        done = spark.read.parquet(str(path))
-        d = digest(done, [c for c, kind in done.dtypes if not kind.startswith("array")]).first()
-        manifest.config[f"{name}_records"], manifest.config[f"{name}_digest"] = d["records"], d["digest"]
-        manifest.record(name, [])
-        return done
+                (writer.partitionBy(by) if by else writer).parquet(folder)
+                provenance.append(provenance.stage_outputs(spark, folder, label, name), f"{out}/_outputs")
+                failed = False
+            finally:
+                provenance.append(provenance.run_row(spark, name, label, source, began, failed), f"{out}/_runs")
+        return spark.read.parquet(folder)
 
     records = stage("records", lambda: split(corpus.gated(parsed(spark, source)), config), "split")
     mined = stage("negatives", lambda: negatives(records, config))
     found = stage("problems", lambda: problems(records, mined, config))
-    record.complete()
-    record.save(out / "run.json")
-    manifest.save(out / "manifest.json")
     if not found.isEmpty():
         raise ValueError("the build has problems; see its table problems")
-    return manifest
+    return provenance.current(spark.read.schema(provenance.OUTPUTS).parquet(f"{out}/_outputs"))
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="Build a corpus from tables.")
     p.add_argument("source")
-    p.add_argument("out", type=Path)
+    p.add_argument("out")
     p.add_argument("--negatives", type=int, default=Config.negatives)
     p.add_argument("--force", action="store_true")
     a = p.parse_args(argv)

@@ -1,7 +1,5 @@
 """Depth-aware markup, provenance, rosters, parity draws and the corpus build."""
 
-import json
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -33,47 +31,31 @@ def test_match_example(spark):
     assert rows[0].m.rest == "<p>Lead.</p>" and rows[0].m.infobox.startswith("<table class") and [r.m for r in rows[1:]] == [None] * 3
 
 
-def test_manifest_round_trip(tmp_path):
-    (tmp_path / "a.txt").write_text("x")
-    m = provenance.Manifest({"k": 1})
-    m.record("one", [provenance.Output.of(tmp_path / "a.txt", tmp_path, 3)])
-    m.record("two", [])
-    m.record("one", [provenance.Output.of(tmp_path / "a.txt", tmp_path, 4)])
-    m.save(tmp_path / "m.json")
-    again = provenance.Manifest.load(tmp_path / "m.json")
-    assert list(again.stages) == ["one", "two"] and again.stage("one")[0].records == 4 and again.changed(tmp_path) == []
-    (tmp_path / "a.txt").write_text("y")
-    assert again.changed(tmp_path) == ["a.txt: changed"]
-    with pytest.raises(ValueError):
-        provenance.Manifest.from_dict({"schema": 9})
-
-
-def test_atomic_write_leaves_nothing_on_failure(tmp_path):
-    with pytest.raises(RuntimeError), provenance.atomic(tmp_path / "f") as p:
-        p.write_text("half")
-        raise RuntimeError
-    assert list(tmp_path.iterdir()) == []
+def test_outputs_are_told_apart_by_their_digests(spark, tmp_path):
+    one, two, log = (str(tmp_path / x) for x in ("one", "two", "log"))
+    spark.range(5).write.parquet(one)
+    spark.range(9).withColumn("part", F.col("id") % 2).write.partitionBy("part").parquet(two)
+    for run, stage in (("1", "one"), ("1", "two"), ("2", "one")):
+        provenance.append(provenance.stage_outputs(spark, str(tmp_path / stage), stage, run), log)
+    outputs = spark.read.parquet(log)
+    assert {(r.run, r.stage) for r in provenance.current(outputs).collect()} == {("2", "one"), ("1", "two")}
+    there = lambda: provenance.files_below(spark, one).unionByName(provenance.files_below(spark, two))
+    assert there().count() == there().select("file").distinct().count() and provenance.changes(outputs, there()).count() == 0
+    spark.range(3).write.mode("overwrite").parquet(one)
+    wrong = provenance.changes(outputs, there()).collect()
+    assert wrong and {(r.stage, r.wrong) for r in wrong} == {("one", "missing")}
 
 
-def test_run_record_and_config(tmp_path):
-    r = provenance.RunRecord(["x"])
-    with pytest.raises(KeyError), r.stage("bad"):
-        raise KeyError
-    r.complete()
-    r.save(tmp_path / "run.json")
-    assert json.loads((tmp_path / "run.json").read_text())["stages"][0]["exit_code"] == 1
+def test_config_leaves_a_test_split():
     with pytest.raises(ValueError):
         provenance.Config(train=0.9, dev=0.1)
 
 
-def test_event_log(tmp_path):
-    with provenance.EventLog(p := tmp_path / "log") as log:
-        for s in (1, 2, 3):
-            log.write("step", step=s)
-    with p.open("a") as f:
-        f.write("{broken\n" + json.dumps({"event": "step", "step": 4}) + "\n")
-    assert [r["step"] for r in provenance.EventLog.read(p)] == [1, 2, 3] and provenance.EventLog.rewind(p, 2) == 1
-    assert provenance.EventLog.read(tmp_path / "none") == []
+def test_events_are_read_back_up_to_a_broken_line(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    provenance.append_events(spark.createDataFrame([("step", s) for s in (1, 2, 3)], "event string, step int").coalesce(1), folder)
+    lines = [r.value for r in spark.read.text(folder).collect()]
+    assert lines == [f'{{"event":"step","step":{s}}}' for s in (1, 2, 3)]
 
 
 def test_roster(spark):
@@ -99,9 +81,14 @@ def test_splits_are_read_by_partition(spark, tmp_path):
 
 
 def test_build(spark, sf, tmp_path):
-    config = provenance.Config(negatives=3)
-    m = build.run(spark, sf, tmp_path / "corpus", config)
-    assert list(m.stages) == ["records", "negatives", "problems"]
-    records, mined = (spark.read.parquet(str(tmp_path / "corpus" / n)) for n in ("records", "negatives"))
+    config, out = provenance.Config(negatives=3), str(tmp_path / "corpus")
+    first = build.run(spark, sf, out, config).collect()
+    assert {r.stage for r in first} == {"records", "negatives", "problems"}
+    records, mined = (spark.read.parquet(f"{out}/{n}") for n in ("records", "negatives"))
     assert mined.count() == 3 * records.count() and records.filter("size(quality_flags) > 0").count() == 0
-    assert build.run(spark, sf, tmp_path / "corpus", config).config["records_digest"] == m.config["records_digest"]
+    assert sorted(build.run(spark, sf, out, config).collect()) == sorted(first)
+    runs = spark.read.parquet(f"{out}/_runs").collect()
+    assert len(runs) == 3 and not any(r.failed for r in runs) and {r.engine for r in runs} == {provenance.engine()}
+    with pytest.raises(Exception):
+        build.run(spark, str(tmp_path / "nowhere"), str(tmp_path / "other"), config)
+    assert [r.failed for r in spark.read.parquet(str(tmp_path / "other" / "_runs")).collect()] == [True]
