@@ -120,45 +120,42 @@ def lzw_decode(data: bytes, limit: int = LARGEST) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
+    """Words of the table are known by the code of all but their last byte, and that byte, so a step costs the same however long they are."""
     acc, bits, out = CLEAR, 9, bytearray()
-    codes, width = {bytes((i,)): i for i in range(256)}, 9
-    size = FIRST
-    word = b""
-
-    def drain() -> None:
-        nonlocal acc, bits
+    codes: dict[int, int] = {}
+    width, size, known = 9, FIRST, codes.get
+    prefix = -1
+    for byte in data:
+        if prefix < 0:
+            prefix = byte
+            continue
+        longer = prefix << 8 | byte
+        code = known(longer)
+        if code is not None:
+            prefix = code
+            continue
+        acc, bits = acc << width | prefix, bits + width
         while bits >= 8:
             bits -= 8
             out.append(acc >> bits & 255)
         acc &= (1 << bits) - 1
-
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in codes:
-            word = longer
-            continue
-        acc, bits = acc << width | codes[word], bits + width
-        drain()
         codes[longer] = size
         size += 1
-        word = longer[-1:]
+        prefix = byte
         if size >= 1 << width:
             width += 1
         if size >= (1 << WIDEST) - 2:
             acc, bits = acc << width | CLEAR, bits + width
-            drain()
-            codes, width, size = {bytes((j,)): j for j in range(256)}, 9, FIRST
-    if word:
-        acc, bits = acc << width | codes[word], bits + width
-        drain()
+            codes.clear()
+            width, size = 9, FIRST
+    if prefix >= 0:
+        acc, bits = acc << width | prefix, bits + width
         size += 1
         if size >= 1 << width and width < WIDEST:
             width += 1
     acc, bits = acc << width | END, bits + width
-    drain()
-    if bits:
-        out.append(acc << 8 - bits & 255)
-    return bytes(out)
+    acc, bits = acc << (-bits % 8), bits + -bits % 8
+    return bytes(out) + acc.to_bytes(bits // 8, "big")
 
 
 def inflate(data: bytes, limit: int = LARGEST) -> bytes:
@@ -384,7 +381,7 @@ def write_page(pixels: bytes, width: int, code: int = DEFLATE, predictor: int =
 PAGE_WIDTH = 64
 
 
-TILE = (64, 256)
+TILE = (64, 64)
 #: Every compression with and without differencing, in strips and in tiles.
 FORMS = [(code, predictor, tile) for code in (LZW, PACKBITS, DEFLATE, PLAIN) for predictor in (NONE, HORIZONTAL) for tile in (None, TILE)]
 
