@@ -53,9 +53,10 @@ def lexical(spark: SparkSession, d: str) -> DataFrame:
     """Scores of every rendered record against its own question: how often the question's words occur, damped, and the more so the longer the rendering."""
     r = rendered(spark, d)
     q = F.array_distinct(F.split("question", " "))
-    words = T.tokens("rendered")
-    tf = F.transform(q, lambda t: F.size(F.filter(words, lambda w: w == t)).cast("double"))
     damp = 1.5 * (0.25 + 0.75 * F.length("rendered") / 2000.0)
+    # the words are bound as a lambda's variable: as a plain expression they would be made again for every word of the question
+    times = lambda words: F.transform(q, lambda t: (F.size(words) - F.size(F.array_remove(words, t))).cast("double"))
+    tf = F.transform(F.array(T.tokens("rendered")), times)[0]
     score = F.aggregate(tf, F.lit(0.0), lambda acc, x: acc + x * 2.5 / (x + damp))
     return r.select(F.col("id").alias("record_id"), "format", "fpos", F.round(score, 6).alias("score"))
 
