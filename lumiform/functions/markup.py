@@ -12,53 +12,48 @@ from pyspark.sql import functions as F
 
 INFOBOX = re.compile(rb"<table\b[^>]*\bclass\s*=\s*[\"'][^\"']*\binfobox\b", re.I)
 TABLE = re.compile(rb"<(/?)table\b[^>]*>", re.I)
+TABLE_TEXT = re.compile(r"<(/?)table\b[^>]*>", re.I)
+SPAN = re.compile(r"<(/?)span\b[^>]*>", re.I)
+#: opening tags of spans that a reader doesn't see
+HIDDEN = r'<span\b[^>]*(?:class="[^"]*noprint[^"]*"|style="[^"]*display:\s*none[^"]*")[^>]*>'
+
+
+def closed(tags, text) -> list[tuple[int, int, int, int]]:
+    """start, end of the opening tag, end of the closing tag, depth outside of every element that is closed, by one pass with a stack; a closing tag without
+    an opening one counts for nothing."""
+    out, open_ = [], []
+    for t in tags.finditer(text):
+        if not t[1]:
+            open_.append((t.start(), t.end()))
+        elif open_:
+            out.append((*open_.pop(), t.end(), len(open_)))
+    return sorted(out)
 
 
 def infobox_ranges(html: bytes) -> list[tuple[int, int]]:
-    """Byte ranges (end exclusive) of the infobox tables, nested tables included; one that is never closed has none."""
+    """Byte ranges (end exclusive) of the infobox tables in page order, those inside others too; one that is never closed has none."""
+    return [(start, end) for start, _, end, _ in closed(TABLE, html) if INFOBOX.match(html, start)]
+
+
+def without(text: str, ranges: list[tuple[int, int]], instead: str = "") -> str:
+    """text with `instead` for each range; a range inside one before it goes with that."""
     out, at = [], 0
-    while m := INFOBOX.search(html, at):
-        depth, end = 0, None
-        for t in TABLE.finditer(html, m.start()):
-            depth += -1 if t[1] else 1
-            if depth == 0:
-                end = t.end()
-                break
-        if end is not None:
-            out.append((m.start(), end))
-        at = end or m.end()
-    return out
+    for start, end in ranges:
+        if start >= at:
+            out += [text[at:start], instead]
+            at = end
+    return "".join(out) + text[at:]
 
 
 def without_nested_tables(html: str) -> str:
-    """The outermost table with a space for every table inside it."""
-    out, depth, at = [], 0, 0
-    for t in re.finditer(r"<(/?)table\b[^>]*>", html, re.I):
-        if t[1]:
-            if depth == 2:
-                out.append(" ")
-                at = t.end()
-            depth = max(0, depth - 1)
-        else:
-            if depth == 1:
-                out.append(html[at : t.start()])
-                at = t.start()
-            depth += 1
-    return "".join(out) + (html[at:] if depth < 2 else "")
+    """html with a space for every closed table that stands inside another; tables that are never closed stay."""
+    return without(html, [(start, end) for start, _, end, depth in closed(TABLE_TEXT, html) if depth], " ")
 
 
 def without_spans(html: str, opening: str) -> str:
     """html without the spans whose opening tag matches, with the spans inside them; one that is never closed loses its opening tag alone."""
-    at = 0
-    while m := re.compile(opening, re.I).search(html, at):
-        depth, end = 0, None
-        for t in re.finditer(r"<(/?)span\b[^>]*>", html[m.start() :], re.I):
-            depth += -1 if t[1] else 1
-            if depth == 0:
-                end = m.start() + t.end()
-                break
-        html, at = html[: m.start()] + html[end if end is not None else m.end() :], m.start()
-    return html
+    ends = {start: end for start, _, end, _ in closed(SPAN, html)}
+    return without(html, [(m.start(), ends.get(m.start(), m.end())) for m in re.finditer(opening, html, re.I)])
 
 
 def find_ranges(html: Column) -> Column:
@@ -95,9 +90,6 @@ def byte_slice(text: Column, start: Column, stop: Column) -> Column:
 
 
 def match_example(html: Column, start: Column, stop: Column) -> Column:
-    """What a question's raw record keeps: the infobox (its first answer's table) and the page behind it; null without an infobox around the answer."""
-    ranges = find_ranges(html)
-    hit = F.filter(ranges, lambda r: (start >= r["start"]) & (stop <= r["stop"]))
-    first = F.element_at(hit, 1)
+    """What a question's raw record keeps: the answer's bytes and the page behind them; null unless the answer lies in an infobox."""
     size = F.octet_length(html).cast("bigint")
-    return F.when((start >= 0) & (F.size(hit) > 0), F.struct(byte_slice(html, first["start"], first["stop"]).alias("infobox"), byte_slice(html, first["stop"], size).alias("rest")))
+    return F.when((start >= 0) & inside_any(start, stop, find_ranges(html)), F.struct(byte_slice(html, start, stop).alias("infobox"), byte_slice(html, stop, size).alias("rest")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumiform.functions import markup
 from lumiform.functions import text as T
 
 MIN_PAIRS, MIN_BODY, MIN_INFOBOX, BODY_CHARS, MIN_PARAGRAPH = 3, 100, 200, 3000, 30
@@ -60,10 +61,11 @@ def infobox_html(parts: DataFrame) -> DataFrame:
 
 
 def infobox_rows(pages: DataFrame, max_key: int = 50, max_value: int = 300) -> DataFrame:
-    """Rows of infoboxes: id, pos, key, value, and drop: why a row is left out (empty, too_long, duplicate; null: kept, the first of a key)."""
-    row = F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    """Rows of infoboxes: id, pos, key, value, and drop: why a row is left out (empty, too_long, duplicate; null: kept, the first of a key).
+    Tables inside the box and hidden spans, with all that they hold, are no part of its rows."""
+    row = F.regexp_extract_all(markup.flat_table(F.col("html")), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
     rows = pages.select("id", F.posexplode(row).alias("pos", "row"))
-    cell = lambda tag: F.regexp_extract("row", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)
+    cell = lambda tag: markup.strip_spans(F.regexp_extract("row", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), markup.HIDDEN)
     rows = rows.select("id", "pos", T.clean_key(T.clean_cell(cell("th"))).alias("key"), T.clean_cell(cell("td")).alias("value"))
     empty, large = (F.col("key") == "") | (F.col("value") == ""), (F.length("key") > max_key) | (F.length("value") > max_value)
     fine = ~(empty | large)

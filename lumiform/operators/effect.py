@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumiform.functions.ranking import average_ranks
+from lumiform.functions.ranking import average_ranks, rank_histogram
 
 EPSILON = 1e-12
 
@@ -65,9 +65,8 @@ def wilcoxon(scores: DataFrame, record: list[str]) -> DataFrame:
     """pair, n, w_plus, w_minus, z of the signed-rank statistic with tie correction; zeros are left out. Ranks come from the histogram of
     absolute differences."""
     pairs = format_pairs(scores, record).select("pair", F.round(F.col("a") - F.col("b"), 9).alias("diff")).filter("diff <> 0")
-    histogram = pairs.groupBy("pair", F.abs("diff").alias("size")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("diff") > 0).alias("p"))
-    w = Window.partitionBy("pair").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = histogram.withColumn("rank", F.coalesce(F.sum("c").over(w), F.lit(0)) + (F.col("c") + 1) / 2)
+    histogram = pairs.groupBy("pair", F.abs("diff").alias("size")).agg(F.count(F.lit(1)).alias("c_"), F.count_if(F.col("diff") > 0).alias("p"))
+    ranks = rank_histogram(histogram, ["pair"], "size").withColumnRenamed("c_", "c")
     c, n = F.col("c").cast("double"), F.col("n").cast("double")
     total = ranks.groupBy("pair").agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("p")).alias("w_plus"), F.sum(F.col("rank") * (F.col("c") - F.col("p"))).alias("w_minus"), F.sum(c * c * c - c).alias("ties"))
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)

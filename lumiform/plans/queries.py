@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumiform.functions import budget as B
+from lumiform.functions import markup
 from lumiform.functions import text as T
 from lumiform.functions.ranking import dense_index
 from lumiform.operators import answer, bm25, corpus, effect, resample, study
@@ -146,6 +147,20 @@ def infobox_drop_counts(spark, d):
     return corpus.infobox_rows(corpus.infobox_html(table(spark, d, "part"))).filter("drop IS NOT NULL").groupBy(F.col("drop").alias("drop_reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_BOX = """'<table class="infobox vcard"><tr><td>' || p_name || '<table><tr><td>' || p_brand || '</td></tr></table></td></tr></table>'"""
+
+
+@query(f"SELECT p_partkey AS id, md5({_BOX}) AS infobox, '<p>' || p_type || '</p>' AS rest FROM part WHERE p_size > 25")
+def matched_records(spark, d):
+    """Raw records of pages whose long answer is an infobox; small parts' answers stand before it, and those of a missing size have none."""
+    name, box_end = F.concat(F.lit("<p>é "), "p_name", F.lit("</p>")), F.lit("</td></tr></table></td></tr></table>")
+    box = F.concat(F.lit('<table class="infobox vcard"><tr><td>'), "p_name", F.lit("<table><tr><td>"), "p_brand", box_end)
+    pages = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(name, box, F.lit("<p>"), "p_type", F.lit("</p>")).alias("html"), F.octet_length(name).alias("head"), F.octet_length(box).alias("size"), "p_size")
+    start = F.when(F.col("p_size") > 25, F.col("head")).when(F.col("p_size") > 0, F.lit(0)).otherwise(F.lit(-1)).cast("bigint")
+    m = pages.select("id", markup.match_example(F.col("html"), start, start + F.col("size")).alias("m")).filter("m IS NOT NULL")
+    return m.select("id", F.md5("m.infobox").alias("infobox"), "m.rest")
+
+
 _HAY = "array_to_string(list_transform(pairs, lambda p: p.key || ' ' || p.value), ' ')"
 _CLASS = f"""cls AS (SELECT id, CASE WHEN m AND b THEN 'both' WHEN m THEN 'metadata_only' WHEN b THEN 'body_only' ELSE 'neither' END AS class FROM (
   SELECT id, contains(lower({_HAY}), lower(a)) AS m, contains(lower(body), lower(a)) AS b FROM (SELECT *, left(question, 6) AS a FROM rec WHERE trim(left(question, 6)) <> '')) UNION ALL SELECT id, 'no_answer' FROM rec WHERE trim(left(question, 6)) = '')"""

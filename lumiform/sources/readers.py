@@ -13,6 +13,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of JSON lines: a file or folder, split among tasks. The schema is given, so nothing is read twice; a malformed line stops the read."""
+    return spark.read.schema(schema).json(path, mode="FAILFAST")
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines; null fields are written, so that columns come back as they were."""
+    rows.write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+def read_results(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """One row a JSON document (results, selections, comparisons), over any number of files of one form, with its path in `file`."""
+    return spark.read.schema(schema).json(pattern, multiLine=True, mode="FAILFAST").withColumn("file", F.input_file_name())
+
+
 def split(rows: DataFrame, name: str) -> DataFrame:
     """One split, or all: train, dev and test, never others. With tables partitioned by split this prunes partitions."""
     return rows.filter(F.col("split").isin("train", "dev", "test")) if name == "all" else rows.filter(F.col("split") == name)

@@ -1,11 +1,13 @@
 """Depth-aware markup, provenance, rosters, parity draws and the corpus build."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumiform.functions import markup
-from lumiform.operators import parity
+from lumiform.functions import markup, ranking
+from lumiform.operators import corpus, geometry, parity
 from lumiform.plans import build
 from lumiform.sources import provenance, readers, roster
 
@@ -24,11 +26,45 @@ def test_nested_tables_and_spans():
     assert markup.without_spans('a<span class="noprint">x<span>y</span>z</span>b<span class="noprint">c', r'<span class="noprint">') == "abc"
 
 
+def test_ranges_of_boxes_in_boxes_and_unclosed_tables():
+    raw = b'<table class="infobox"><table class="a infobox">x</table></table>'
+    assert markup.infobox_ranges(raw) == [(0, len(raw)), (23, len(raw) - 8)]
+    assert markup.without_nested_tables("<table>A<table>B tail") == "<table>A<table>B tail"
+    assert markup.without_nested_tables("</table><table>a<table>b</table>") == "</table><table>a "
+    assert markup.without_spans('<span class="noprint">x<span class="noprint">y</span>z</span>tail', r'<span class="noprint">') == "tail"
+
+
+def test_markup_takes_time_in_proportion():
+    began = time.monotonic()
+    markup.without_spans('<span class="noprint">' * 50_000, r'<span class="noprint">')
+    markup.infobox_ranges(b'<table class="infobox">' * 50_000)
+    assert time.monotonic() - began < 10
+
+
+def test_infobox_rows_leave_nested_tables_and_spans_out(spark):
+    box = '<table><tr><th>A<span class="noprint">x<span>y</span>z</span></th><td>1<table><tr><th>In</th><td>2</td></tr></table></td></tr></table>'
+    rows = corpus.infobox_rows(spark.createDataFrame([(1, box), (2, None)], "id int, html string")).collect()
+    assert [(r.id, r.key, r.value, r.drop) for r in rows] == [(1, "A", "1", None)]
+
+
 def test_match_example(spark):
-    at = PAGE.encode().index(b"in</td>")
-    df = spark.createDataFrame([(PAGE, at, at + 2), (PAGE, 0, 1), (PAGE, -1, 2), ("none", 0, 1)], "html string, start long, stop long")
-    rows = df.select(markup.match_example(F.col("html"), F.col("start"), F.col("stop")).alias("m")).collect()
-    assert rows[0].m.rest == "<p>Lead.</p>" and rows[0].m.infobox.startswith("<table class") and [r.m for r in rows[1:]] == [None] * 3
+    raw = PAGE.encode()
+    at, box = raw.index(b"in</td>"), raw.index(b"<table")
+    df = spark.createDataFrame([(PAGE, at, at + 2), (PAGE, box, raw.index(b"<p>")), (PAGE, 0, 1), (PAGE, -1, 2), ("none", 0, 1)], "html string, start long, stop long")
+    rows = [r.m for r in df.select(markup.match_example(F.col("html"), F.col("start"), F.col("stop")).alias("m")).collect()]
+    assert rows[0].infobox == "in" and rows[0].rest == raw[at + 2 :].decode() and rows[2:] == [None] * 3
+    assert rows[1].infobox.startswith("<table class") and rows[1].rest == "<p>Lead.</p>"
+
+
+def test_json_lines_and_documents_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a\n\u2028\"", [("k", "v")]), (2, None, [])], "id long, text string, pairs array<struct<key:string,value:string>>")
+    readers.write_lines(rows, str(tmp_path / "lines"))
+    back = readers.read_lines(spark, str(tmp_path / "lines"), "id long, text string, pairs array<struct<key:string,value:string>>")
+    assert sorted(back.collect()) == sorted(rows.collect())
+    for i in (1, 2):
+        (tmp_path / f"r{i}.json").write_text(f'{{\n "model": "m{i}",\n "scores": {{"d": {i}.5}}\n}}')
+    found = readers.read_results(spark, str(tmp_path / "r*.json"), "model string, scores struct<d:double>").orderBy("model").collect()
+    assert [(r.model, r.scores.d, r.file.rsplit("/", 1)[1]) for r in found] == [("m1", 1.5, "r1.json"), ("m2", 2.5, "r2.json")]
 
 
 def test_outputs_are_told_apart_by_their_digests(spark, tmp_path):
@@ -92,3 +128,21 @@ def test_build(spark, sf, tmp_path):
     with pytest.raises(Exception):
         build.run(spark, str(tmp_path / "nowhere"), str(tmp_path / "other"), config)
     assert [r.failed for r in spark.read.parquet(str(tmp_path / "other" / "_runs")).collect()] == [True]
+
+
+def test_ranks_and_indices_are_exact_across_ranges(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    g, x = rng.integers(0, 2, 5000), np.where(rng.random(5000) < 0.5, rng.integers(0, 9, 5000), rng.normal(4, 3, 5000))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(5000) ** 3, "g": g, "x": x}))
+    want = pd.Series(x).groupby(g).rank()
+    assert np.allclose(ranking.average_ranks(df, ["g"], "x").orderBy("id").toPandas()["rank"], want)
+    assert list(ranking.dense_index(df, "id").orderBy("id").toPandas()["idx"]) == list(range(5000))
+    assert ranking.dense_index(df.filter("id < 0"), "id").count() == 0 and ranking.average_ranks(df.filter("id < 0"), ["g"], "x").count() == 0
+
+
+def test_second_moments_equal_numpy(spark):
+    v = np.random.default_rng(5).normal(size=(300, 6))
+    n, mean, m = geometry.second_moments(spark.createDataFrame([(r.tolist(),) for r in v], "vec array<double>").repartition(3))
+    assert n == 300 and np.allclose(mean, v.mean(0)) and np.allclose(m, v.T @ v / 300)
