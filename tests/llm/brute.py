@@ -48,14 +48,11 @@ def repeats(rows, n=100):
 
 
 def spread_lines(rows, sites):
-    """doc_id: text without the lines that stand on so many sites, each distinct text on its least one."""
-    home, where = {}, {}
+    """doc_id: text without the lines that occur on so many distinct sites."""
+    where = {}
     for _, text, site in rows:
-        if site is not None:
-            home[text] = min(home.get(text, site), site)
-    for text, site in home.items():
         for line in (text or "").split("\n"):
-            if line.strip(" "):
+            if line.strip(" ") and site is not None:
                 where.setdefault(line.strip(" "), set()).add(site)
     out = {}
     for d, text, _ in rows:
