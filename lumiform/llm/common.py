@@ -112,9 +112,9 @@ LEAST_ROWS = 32
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], by: list[str], counts: DataFrame) -> DataFrame:
-    """rows joined with keyed on keys, which meet in one row of keyed at most. counts: keys and n_, about how many of rows have them; it is read
-    twice. A hot key's rows go to as many tasks as it holds thousandths of all rows (or LEAST_ROWS rows), dealt by a hash of the columns `by`, and its row of keyed
-    is copied to each. Hot keys are fewer than SHARES by their definition, so they may be broadcast."""
+    """rows joined with keyed on keys. counts: keys and n_, about how many rows the join makes of them; it is read
+    twice. A hot key's rows go to as many tasks as it holds thousandths of all that (or of LEAST_ROWS rows), dealt by a hash of the columns `by`, and its rows of keyed
+    are copied to each. Hot keys are fewer than SHARES by their definition, so they may be broadcast."""
     total = counts.agg(F.sum("n_")).first()[0] or 0
     part = max(total / SHARES, LEAST_ROWS)
     parts = F.ceil(F.col("n_") / F.lit(part)).cast("int")

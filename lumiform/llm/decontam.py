@@ -8,6 +8,10 @@ that count together, every slot value of the item must stand for one value in th
 or the item with other parameters. What surrounds a passage can
 run into a slot at its edges ("For example, Mary Jones" is one name where "Mary" opened the item); there a value may be
 longer on the outer side.
+
+Placeholders alone say nothing: any name is like any other. So a window must hold literal words, or the item's own values, in
+proportion: one that is half words may have any values, one without words must have all of the item's, and between the two the
+share of equal values grows as the words get fewer. Windows without words meet by a hash of their values, not of their template.
 """
 
 from __future__ import annotations
@@ -102,14 +106,18 @@ def canonical(values: pa.Array) -> Template:
 
 
 def windows(t: Template, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every run of `size` template tokens inside a text: its hash, its text, its place in the text."""
+    """For every run of `size` template tokens inside a text: its hash, its text, its place in the text. The hash is that of the template, or of the
+    values where none of the tokens is a word."""
     n = len(t.code)
     if n < size:
         e = np.zeros(0, np.int64)
         return e.astype(np.uint64), e, e
-    h = np.full(n - size + 1, size, np.uint64)
+    words_before = np.concatenate([[0], np.cumsum(t.kind == WORD)])
+    wordless = words_before[size:] == words_before[: n - size + 1]
+    h = np.where(wordless, np.uint64(size + 64), np.uint64(size))
     for j in range(size):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + t.code[j : n - size + 1 + j]
+        part = slice(j, n - size + 1 + j)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.where(wordless, t.value[part], t.code[part])
     of = np.repeat(np.arange(len(t.ptr) - 1), np.diff(t.ptr))
     whole = of[: n - size + 1] == of[size - 1 :]
     at = np.flatnonzero(whole)
@@ -187,7 +195,14 @@ def agreed(pairs: Column) -> Column:
     named = lambda x, y: (F.size(y["own"]) == 1) & (F.size(x["own"]) > 1) & (F.size(x["own"]) == F.size(x["found"])) & F.array_contains(x["own"], word(y))
     same_part = lambda x, y: F.try_element_at(x["found"], F.array_position(x["own"], word(y)).cast("int")) == F.element_at(y["found"], 1)
     within = lambda x, y: ~named(x, y) | ((F.size(y["found"]) == 1) & same_part(x, y))
-    return F.forall(pairs, lambda x: F.forall(pairs, lambda y: against(x, y) & within(x, y)))
+    own = F.forall(pairs, lambda x: x["own"] == x["found"])  # spares most alignments the comparison of all pairs of slots
+    return own | F.forall(pairs, lambda x: F.forall(pairs, lambda y: against(x, y) & within(x, y)))
+
+
+def telling(pairs: Column, size: Column) -> Column:
+    """Whether a window of `size` tokens has enough words and equal values: no value need be equal where words are half of it, all where there are none."""
+    equal = F.size(F.filter(pairs, lambda p: p["own"] == p["found"]))
+    return equal * size >= F.size(pairs) * (2 * F.size(pairs) - size)
 
 
 def bitmap(known: DataFrame) -> tuple[np.ndarray, int]:
@@ -220,7 +235,8 @@ def together(alignments: Column) -> Column:
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """A row for each document and benchmark item of which the document holds at least COVERAGE of the windows under one slot map: key, item_id,
-    n_windows, n_matched, coverage, and same_slots (every value is the item's own).
+    n_tokens (template tokens of the item), n_windows, n_matched, coverage, and same_slots (every value is the item's own). Of windows with more
+    slots than words only those count that hold the item's own values in proportion, so an item without words is found by its values alone.
 
     Null texts are empty and match nothing; items without words match nothing; texts are read whole, however long; of repeated rows one
     counts; rows with the same id and other texts are judged apart and the largest coverage is told, ties for same_slots; null keys are a key.
@@ -245,18 +261,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
 
     found = docs.select(F.col(key).alias("key_"), F.col("text").alias("text_")).mapInArrow(probe, f"key_ {kind}, text_ long, at_ long, hash long, found_ {SLOTS}")
     found = written(found, "window-hits")
-    met = spread_join(found, known, ["hash"], ["key_", "text_", "at_"], found.groupBy("hash").agg(F.count(F.lit(1)).alias("n_")))
+    # several items can share a window; a hash is hot by the rows that it makes
+    sizes = found.groupBy("hash").agg(F.count(F.lit(1)).alias("found_")).join(known.groupBy("hash").agg(F.count(F.lit(1)).alias("known_")), "hash")
+    met = spread_join(found, known, ["hash"], ["key_", "text_", "at_"], sizes.select("hash", (F.col("found_") * F.col("known_")).alias("n_")))
     pairs = F.arrays_zip(F.col("slots").alias("own"), F.col("found_").alias("found"), F.col("edges").alias("edge"))
     theirs = lambda p: F.struct(p["own"].alias("own"), p["own"].alias("found"), p["edge"].alias("edge"))
     pairs = F.transform(pairs, lambda p: F.when(extends(p, theirs(p)), theirs(p)).otherwise(p))
-    of = ["key_", "text_", "item_id", "n_windows"]
-    met = met.select(*of, "place", (F.col("at_") - F.col("place")).alias("shift_"), pairs.cast(PAIRS).alias("pairs_"))
+    of = ["key_", "text_", "item_id", "n_windows", "n_tokens"]
+    met = met.withColumn("n_tokens", F.col("n_windows") + F.col("size") - 1)
+    met = met.select(*of, "place", "size", (F.col("at_") - F.col("place")).alias("shift_"), pairs.cast(PAIRS).alias("pairs_")).filter(telling(F.col("pairs_"), F.col("size")))
     aligned = met.groupBy(*of, "shift_").agg(F.collect_set("place").alias("places_"), F.array_distinct(F.flatten(F.collect_set("pairs_"))).alias("pairs_"))
     consistent = aligned.filter(agreed(F.col("pairs_")))
     listed = consistent.groupBy(*of).agg(F.sort_array(F.collect_list(F.struct((-F.size("places_")).alias("less"), "shift_", F.col("places_").alias("places"), F.col("pairs_").alias("pairs")))).alias("all_"))
     covered = listed.select(*of, together(F.col("all_")).alias("one_")).select(*of, F.size("one_.places").cast("long").alias("n_matched"), F.forall("one_.pairs", lambda p: p["own"] == p["found"]).alias("same_slots"))
-    best = covered.filter(F.col("n_matched") >= COVERAGE * F.col("n_windows")).groupBy("key_", "item_id", "n_windows").agg(F.max(F.struct("n_matched", "same_slots")).alias("m_"))
-    return best.select(F.col("key_").alias(key), "item_id", "n_windows", F.col("m_.n_matched").alias("n_matched"), (F.col("m_.n_matched") / F.col("n_windows")).alias("coverage"), F.col("m_.same_slots").alias("same_slots"))
+    best = covered.filter(F.col("n_matched") >= COVERAGE * F.col("n_windows")).groupBy("key_", "item_id", "n_windows", "n_tokens").agg(F.max(F.struct("n_matched", "same_slots")).alias("m_"))
+    return best.select(F.col("key_").alias(key), "item_id", "n_tokens", "n_windows", F.col("m_.n_matched").alias("n_matched"), (F.col("m_.n_matched") / F.col("n_windows")).alias("coverage"), F.col("m_.same_slots").alias("same_slots"))
 
 
 def hash_of_texts(t: Template) -> np.ndarray:
@@ -268,5 +287,5 @@ def hash_of_texts(t: Template) -> np.ndarray:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark items: doc_id, item_id, n_windows, n_matched, coverage, same_slots."""
+    """Documents that hold benchmark items: doc_id, item_id, n_tokens, n_windows, n_matched, coverage, same_slots."""
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -56,7 +56,25 @@ def test_text_around_a_passage_may_run_into_its_edges(spark):
 def test_short_items_and_names_that_open_sentences(spark):
     items = [(1, "Alice has 3 red apples."), (2, "Who sings?"), (3, "Sir"), (4, "..."), (5, "")]
     docs = [(1, "It rains. Bob has 4 red apples. Then it stops."), (2, "bob has red apples"), (3, "They ask who sings? Nobody."), (4, "who never sings"), (5, "")]
-    assert pairs(spark, docs, items) == [(1, 1, False), (1, 3, False), (3, 2, True), (3, 3, False)]
+    assert pairs(spark, docs, items) == [(1, 1, False), (3, 2, True)]
+
+
+def test_placeholders_alone_match_nothing(spark):
+    """Items of a name, a number, an answer and a row of numbers are found by their own values only."""
+    row = " ".join(str(n * n + 3) for n in range(24))
+    items = [(1, "Paris"), (2, "42"), (3, "Yes"), (4, "Barack Obama"), (5, row), (6, "3 km"), (7, "Paris 7 Rome 9 London the 5 10")]
+    docs = [
+        (1, "die Katze sitzt auf dem Tisch"), (2, "we met Barack Obama, then 42 others"), (3, "Susan saw 17 birds and Peter 41"), (4, "so Yes. In Paris it rains"),
+        (5, " ".join(str(n * n + 4) for n in range(24))), (6, "table: " + row + " end"), (7, "5 km or 3 miles"), (8, "just 3 km more"),
+        (9, "Berlin 7 Oslo 8 Madrid the 6 11"), (10, "Paris 7 Rome 9 Oslo the 5 10"),
+    ]
+    assert pairs(spark, docs, items) == [(2, 2, True), (2, 4, True), (4, 1, True), (4, 3, True), (6, 5, True), (8, 6, True), (10, 1, True), (10, 7, False)]
+
+
+def test_an_item_of_hundreds_of_numbers(spark):
+    row = "the " + " ".join(f"{n} plus {n + 1} is" for n in range(400))
+    other = "the " + " ".join(f"{n + 5000} plus {n + 5001} is" for n in range(400))
+    assert pairs(spark, [(1, row), (2, other)], [(9, row)]) == [(1, 9, True), (2, 9, False)]
 
 
 TWO = "When {0} went to the old market on the hill {1} apples were sold there for a good price and then {2} came back home over the long bridge with {3} pears"
