@@ -68,3 +68,16 @@ def test_odd_rows_and_clashing_names(spark, tmp_path):
     kept = sorted((r.doc_id or 0, r.text or "") for r in got)
     assert kept == sorted([(1, rows[0][1]), (1, rows[1][1]), (2, ""), (0, rows[4][1]), (0, ""), (3, rows[7][1]), (5, "a repeated row of words"), *[(10 + i, rows[8 + i][1].split("\n")[0]) for i in range(12)]])
     assert {r.doc_id for r in C.packed(spark, docs, str(tmp_path)).collect()} == {r.doc_id for r in got}
+
+
+def test_one_word_items_cost_no_documents(spark, tmp_path):
+    """A benchmark of answers: the stage keeps what it keeps without them."""
+    items = [(1, "Paris"), (2, "42"), (3, "Yes"), (4, "Barack Obama"), (5, "3 km")]
+    long = (9, "if Robert buys 12 apples for 3 dollars each how much does Robert pay in total for all of the apples")
+    docs = spark.createDataFrame([(1, "so Yes. In Paris it rains"), (2, "we met Barack Obama, then 42 others"), (3, "just 3 km more"), (4, "Well, " + long[1].replace("12", "7").replace("Robert", "Susan"))], "doc_id long, text string")
+    kept = []
+    for some in (items, [*items, long]):
+        folder = tmp_path / str(len(some))
+        spark.createDataFrame(some, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        kept.append(sorted(r.doc_id for r in C.without_benchmark(spark, docs, str(folder)).collect()))
+    assert kept == [[1, 2, 3, 4], [1, 2, 3]]
