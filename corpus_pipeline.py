@@ -15,6 +15,8 @@ from lumiform.llm import bagminhash, decontam, lines, packing, toxicity
 from lumiform.llm.common import free_name, quoted, table, whole_rows, written
 
 TEXT_KEY = ["t1", "t2"]
+#: Benchmark items of fewer tokens ("Paris", "42") stand in many documents that never saw the benchmark: for them no document goes.
+LEAST_TOKENS = 4
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -54,10 +56,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item. A row goes for its own text: others with its id, or without one, stay. Null and empty texts stay."""
+    """Documents that hold no benchmark item of LEAST_TOKENS tokens or more. A row goes for its own text: others with its id, or without one, stay. Null and empty texts stay."""
     rows = keyed(docs)
     whole = F.struct("doc_id", *TEXT_KEY).alias("doc")
-    hits = decontam.matches(rows.select(whole, F.col("row.text").alias("text")), table(spark, sf_dir, "benchmark"), "doc").select(F.col("doc").alias("hit")).distinct()
+    found = decontam.matches(rows.select(whole, F.col("row.text").alias("text")), table(spark, sf_dir, "benchmark"), "doc")
+    hits = found.filter(F.col("n_tokens") >= LEAST_TOKENS).select(F.col("doc").alias("hit")).distinct()
     return unpacked(rows.withColumn("doc", whole).join(hits, F.col("doc").eqNullSafe(F.col("hit")), "left_anti"), docs)
 
 
