@@ -35,7 +35,7 @@ def test_the_tree_learns_its_table():
 
 
 def test_held_out_draws():
-    x, y = html.labelled_table(seed=99, pages=270)
+    x, y = html.labelled_table(seed=99, pages=600)
     assert (html.classify(TREE, x) == y).mean() > 0.98
 
 
@@ -180,12 +180,95 @@ def test_query_against_plain_strings(spark, sf):
         assert r.text == article_of(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
-def test_the_tree_decides_on_the_pages(spark, sf):
-    free = 0
+def test_other_things_inside_articles_go(spark, sf):
+    """The driver's pages, with related links, notices, adverts and comments planted between the blocks of their articles: the text is as without them."""
+    import random
+
+    draw, planted = random.Random(11), 0
+    story = lambda n: " ".join(draw.choice("river stone quay winter letter field miller ferry garden window".split()) for _ in range(n))
+    link = lambda n: f'<a href="/x">{story(n)}</a>'
+    junk = [
+        lambda: f"<ul><li>{link(6)}</li><li>{link(4)}</li><li>{link(9)}</li></ul>",
+        lambda: f"<div>{link(7)}</div>",
+        lambda: "<p>This site uses cookies to improve your experience. Please accept all cookies.</p>",
+        lambda: f'<div class="ad">{story(11)}</div>',
+        lambda: f'<div id="comments"><p>{story(18)}</p><p>{story(40)}</p></div>',
+        lambda: f'<div class="related"><p>{link(5)}</p><p>{link(8)}</p></div>',
+    ]
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
-        blocks = html.blocks_of(r.html)
-        free += sum(not b.barred and not k for b, k in zip(blocks, html.classify(TREE, html.describe(blocks)), strict=True))
-    assert free >= 50
+        head, inner = r.html[: r.html.index("</h1>") + 5], r.html[r.html.index("</h1>") + 5 :]
+        inner, tail = inner[: inner.index("</article>")], inner[inner.index("</article>") :]
+        parts = inner.split("<p>")
+        for _ in range(4):
+            at = draw.randrange(1, len(parts) + 1)
+            made = draw.choice(junk)()
+            parts[at - 1] += made
+            planted += sum(b.article for b in html.blocks_of(f"<article>{made}</article>"))
+        page = head + "<p>".join(parts) + tail
+        assert html.main_text(page, TREE) == article_of(r.html)
+    assert planted >= 200
+
+
+IN_ARTICLES = [
+    """
+    +h The harbour that learned to wait
+    -p This site uses cookies to improve your experience. Accept all [Read more]
+    +p For three winters nobody in the town believed that the ferry would come back, and yet every morning somebody swept the quay.
+    -l [More from the coast this week]
+    -l [Ferry times for the summer season]
+    -l [The letter in full, with photographs]
+    +p The harbour master keeps two ledgers. One holds the arrivals that were announced, the other those that happened, and he says that only fools read [them side by side].
+    +p It came late.
+    -d [Ten harbours you should have seen before you are forty]
+    +p Since then it has come twice a week, sometimes early, mostly late, and the sweeping has not stopped.
+    """,
+    """
+    +h Bread without an oven
+    +p All you need is a heavy pan with a lid, a flame that can be turned very low, and patience.
+    +l flour from the mill
+    +l salt
+    +l three quarters of its weight in water
+    +p Mix the flour with the water and a spoon of salt, cover it and go away for as long as [the dough] needs in a cold kitchen.
+    -p Subscribe to our newsletter and accept our privacy settings
+    +p Bake it covered for half an hour on one side and ten minutes on the other, and do not lift the lid to look.
+    -l [Flat breads from five countries]
+    -l [Sourdough for beginners and doubters]
+    -l [Ask the baker a question]
+    """,
+]
+
+
+def test_articles_labelled_by_hand_hold_other_things():
+    for text in IN_ARTICLES:
+        page, want, every = by_hand(text)
+        page = page.replace("<body>", "<article>").replace("</body>", "</article>").replace("x1", "x2").replace("promo-main", "c5").replace("sidebar", "c7")
+        assert [b.text for b in html.blocks_of(page)] == every and all(b.article and not b.barred for b in html.blocks_of(page))
+        assert html.main_text(page, TREE).split("\n") == want
+
+
+LONG = "alpha beta gamma delta " * 8
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<article><h1>T</h1><p>{LONG}</p><section id="discussion"><p>short text</p><p>{LONG}</p></section></article>', f"T\n{LONG.strip()}\nshort text\n{LONG.strip()}"),
+        (f'<article><p>{LONG}</p><div class="related work"><p>{LONG}</p><p>{LONG}</p></div></article>', "\n".join([LONG.strip()] * 3)),
+        ('<div id="discussion"><p>Hello there you</p></div>', "Hello there you"),
+        (f'<div id="comments"><h1>On comments</h1><p>{LONG}</p></div>', f"On comments\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><p>This site uses cookies to improve your experience.</p><p>{LONG}</p></article>", "\n".join([LONG.strip()] * 2)),
+        (f'<article><p>{LONG}</p><a href="/x"><div>Click here for the great offer</div></a><p>{LONG}</p></article>', "\n".join([LONG.strip()] * 2)),
+        (f'<article><p>{LONG}</p><p>see <a href="/x">the map<p>{LONG}</p><p>{LONG}</p></article>', f"{LONG.strip()}\nsee the map\n{LONG.strip()}\n{LONG.strip()}"),
+    ],
+)
+def test_names_alone_drop_nothing(page, text):
+    assert html.main_text(page, TREE) == text
+
+
+def test_links_hold_over_blocks():
+    counts = lambda page: [(b.text, b.linked) for b in html.blocks_of(page)]
+    assert counts("<a href=x><div>one two</div><p>three</p></a><p>four</p>") == [("one two", 2), ("three", 1), ("four", 0)]
+    assert counts("<p><a>one<p>two <a>three</a></p>") == [("one", 1), ("two three", 1)]
 
 
 def test_nulls_repeats_and_clashes(spark):
@@ -199,7 +282,7 @@ def test_very_long_page():
     assert html.main_text(page, TREE).count("\n") == 19999
 
 
-@pytest.mark.parametrize("piece", ["<a", "<a \"'>", "<div>", "<p>x", "</span>", "<!--", "<ul><li>", "<h1>"])
+@pytest.mark.parametrize("piece", ["<a", "<a>", "<a><p>", "<a \"'>", "<div>", "<p>x", "</span>", "<!--", "<ul><li>", "<h1>"])
 def test_time_is_linear_in_a_page(piece):
     def seconds(n):
         began = time.process_time()
