@@ -27,14 +27,16 @@ def counted_before(counts: DataFrame, groups: list[str]) -> DataFrame:
     return counts.select(*groups, "range_", F.coalesce(F.sum("c_").over(w), F.lit(0)).alias("before_"))
 
 
-def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
-    """df with a gapless index from 0 in the order of a number that is unique, however sparse: ranges are counted, and rows numbered inside theirs.
-    Rows without the number are left out."""
+def dense_index(df: DataFrame, key: str, name: str = "idx", groups: tuple[str, ...] = ()) -> DataFrame:
+    """df with a gapless index from 0, within each group, in the order of a number that is unique there, however sparse: ranges are counted, and rows
+    numbered inside theirs. Rows without the number are left out. Groups are few."""
     df = df.filter(F.col(key).isNotNull())
-    placed = df.join(F.broadcast(df.agg(cuts_of(key)))).withColumn("range_", range_of(key)).drop("cuts_")
-    before = counted_before(placed.groupBy("range_").agg(F.count(F.lit(1)).alias("c_")), [])
-    inner = F.row_number().over(Window.partitionBy("range_").orderBy(key)) - 1
-    return placed.join(F.broadcast(before), "range_").withColumn(name, F.col("before_") + inner).drop("range_", "before_")
+    on = list(groups)
+    cuts = F.broadcast(df.groupBy(*groups).agg(cuts_of(key)))
+    placed = (df.join(cuts, on) if groups else df.join(cuts)).withColumn("range_", range_of(key)).drop("cuts_")
+    before = counted_before(placed.groupBy(*groups, "range_").agg(F.count(F.lit(1)).alias("c_")), on)
+    inner = F.row_number().over(Window.partitionBy(*groups, "range_").orderBy(key)) - 1
+    return placed.join(F.broadcast(before), [*groups, "range_"]).withColumn(name, F.col("before_") + inner).drop("range_", "before_")
 
 
 def rank_histogram(histogram: DataFrame, groups: list[str], value: str, name: str = "rank") -> DataFrame:

@@ -4,8 +4,6 @@ A tensor is long rows (model, arm, seed, query_id, cand, format, fpos, score) wi
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,19 +114,15 @@ def contrast(policy: DataFrame, value: str, treatment: str, reference: str) -> D
     return means.groupBy("model", "query_id").agg((side(treatment) - side(reference)).alias("diff"))
 
 
-def paired(diffs: DataFrame, n_boot: int, n_permutations: int, seed: int = 0) -> DataFrame:
-    """model, n, diff, ci_lo, ci_hi, p, p_floor, holm_p, resolved of contrasts (model, query_id, diff): the mean, its bootstrap interval and its
-    sign-flip p, with Holm over the models, of which there are a few. Without contrasts no rows."""
-    parts = []
-    for (model,) in sorted(diffs.select("model").distinct().collect()):
-        v = diffs.filter(F.col("model") == model).select("query_id", "diff")
-        v = dense_index(v, "query_id").select("idx", "diff")
-        told = v.agg(F.lit(model).alias("model"), F.count(F.lit(1)).alias("n"), F.avg("diff").alias("diff"))
-        ci = resample.interval(resample.replicate_means(v, ["diff"], n_boot, seed), "diff").select(F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi"))
-        parts.append(told.crossJoin(ci).crossJoin(resample.sign_flips(v, "diff", n_permutations, seed).select("p", "p_floor")))
-    if not parts:
-        parts = [diffs.sparkSession.createDataFrame([], "model string, n long, diff double, ci_lo double, ci_hi double, p double, p_floor double")]
-    return resample.holm(reduce(DataFrame.unionByName, parts)).withColumnRenamed("significant", "resolved")
+def paired(diffs: DataFrame, n_boot: int, n_permutations: int, seed: int = 0, keys: tuple[str, ...] = ("model",), family: tuple[str, ...] = ()) -> DataFrame:
+    """keys, n, diff, ci_lo, ci_hi, p, p_floor, holm_p, resolved of contrasts (keys, query_id, diff): the mean, its bootstrap interval and its
+    sign-flip p, with Holm within each family (columns of keys) over the rest of the keys. All contrasts are resampled together. Without contrasts no rows."""
+    v = dense_index(diffs.select(*keys, "query_id", "diff"), "query_id", groups=keys)
+    told = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("diff"))
+    ci = resample.interval(resample.replicate_means(v, ["diff"], n_boot, seed, keys), "diff", keys=keys).select(*keys, F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi"))
+    flips = resample.sign_flips(v, "diff", n_permutations, seed, keys).select(*keys, "p", "p_floor")
+    order = [k for k in keys if k not in family]
+    return resample.holm(told.join(ci, list(keys)).join(flips, list(keys)), family=family, order=order).withColumnRenamed("significant", "resolved")
 
 
 def format_table(led: DataFrame, arm: str) -> DataFrame:

@@ -12,6 +12,7 @@ from lumiform.functions import budget as B
 from lumiform.functions import markup
 from lumiform.functions import text as T
 from lumiform.functions.ranking import dense_index
+from lumiform.functions.render import FORMATS
 from lumiform.operators import answer, bm25, corpus, effect, resample, study
 from lumiform.plans.base import (
     FMT, HELD, LEXICAL, NL, ONE, PAIRS, RECS, REN, STUDY, TWO, gold_scores, gold_sql, h, led, led_sql, lexical, recs, ren_sql, rendered, tens, tensor_sql, tidy,
@@ -33,9 +34,11 @@ def query(sql: str | None = None):
     return keep
 
 
-def full(f: Callable[..., DataFrame], *sizes: int) -> None:
-    """Register f at the reference's sizes as NAME_full. These have no SQL, which is too slow there; the small ones are held against theirs."""
-    QUERIES[f"{f.__name__}_full"] = lambda spark, d: tidy(f(spark, d, *sizes))
+def also(name: str, of: str) -> None:
+    """Keep a query's earlier name."""
+    QUERIES[name] = QUERIES[of]
+    if of in ORACLE:
+        ORACLE[name] = ORACLE[of]
 
 
 # -- renderers and passages
@@ -291,7 +294,7 @@ def bm25_topk(spark, d):
     return bm25.top(_scored(spark, d), 10).select("query_id", "rank", "id", "score")
 
 
-K = 8
+K, LIST, TRAINING = 25, 15, 7
 _NEG = _BM + f""", own AS (SELECT item_id AS query_id, 'src' || (item_id % 20) || '#' || (item_id % 7) AS title FROM benchmark),
 be AS (SELECT rk.query_id, rk.rank, rk.id, rec.title, row_number() OVER (PARTITION BY rk.query_id, rec.title ORDER BY rank) AS t FROM rk JOIN rec USING (id) JOIN own USING (query_id) WHERE rank <= {K * 4} AND rec.title <> own.title),
 mi2 AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, id AS neg_id, title FROM be WHERE t = 1),
@@ -325,8 +328,8 @@ def check_negatives(spark, d):
 _CAND = _NEG.replace("WITH ", "") + f""", bod AS (SELECT id, body, 512 - {_count('question')} - {_meta(False)} - 8 AS b FROM rec), us AS (SELECT neg.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS u FROM neg JOIN bod ON bod.id = neg_id WHERE b >= 20)"""
 
 
-@query(f"WITH {_CAND}, ok AS (SELECT query_id FROM us GROUP BY 1 HAVING count(*) >= 5) SELECT query_id, u AS cand, neg_id FROM us SEMI JOIN ok USING (query_id) WHERE u <= 5")
-def candidate_lists(spark, d, k=K, size=5):
+@query(f"WITH {_CAND}, ok AS (SELECT query_id FROM us GROUP BY 1 HAVING count(*) >= {LIST}) SELECT query_id, u AS cand, neg_id FROM us SEMI JOIN ok USING (query_id) WHERE u <= {LIST}")
+def candidate_lists(spark, d, k=K, size=LIST):
     neg, _ = _negatives(spark, d, k)
     b = recs(spark, d).select(F.col("id").alias("neg_id"), B.budget_of(F.col("question"), F.col("pairs"), B.word_count).alias("b")).filter(F.col("b") >= B.FLOOR)
     w = Window.partitionBy("query_id")
@@ -334,16 +337,16 @@ def candidate_lists(spark, d, k=K, size=5):
     return usable.filter((F.col("n") >= size) & (F.col("cand") <= size)).select("query_id", "cand", "neg_id")
 
 
-@query(f"WITH {_CAND} SELECT count(DISTINCT query_id) AS queries, (SELECT count(*) FROM neg) - count(*) AS over_budget, (SELECT count(*) FROM (SELECT query_id FROM us GROUP BY 1 HAVING count(*) >= 5)) AS kept FROM us")
+@query(f"WITH {_CAND} SELECT count(DISTINCT query_id) AS queries, (SELECT count(*) FROM neg) - count(*) AS over_budget, (SELECT count(*) FROM (SELECT query_id FROM us GROUP BY 1 HAVING count(*) >= {LIST})) AS kept FROM us")
 def candidate_drop_stats(spark, d):
     neg, _ = _negatives(spark, d)
     b = recs(spark, d).select(F.col("id").alias("neg_id"), (B.budget_of(F.col("question"), F.col("pairs"), B.word_count) >= B.FLOOR).alias("fits"))
     q = neg.join(b, "neg_id").groupBy("query_id").agg(F.count_if("fits").alias("usable"), F.count_if(~F.col("fits")).alias("over"))
-    return q.agg(F.count_if(F.col("usable") > 0).alias("queries"), F.sum("over").alias("over_budget"), F.count_if(F.col("usable") >= 5).alias("kept"))
+    return q.agg(F.count_if(F.col("usable") > 0).alias("queries"), F.sum("over").alias("over_budget"), F.count_if(F.col("usable") >= LIST).alias("kept"))
 
 
-@query(f"WITH {_NEG}, ok AS (SELECT query_id FROM neg WHERE rank <= 4 GROUP BY 1 HAVING count(*) = 4) SELECT query_id, rank, neg_id, rec.title FROM neg SEMI JOIN ok USING (query_id) JOIN rec ON rec.id = neg_id WHERE rank <= 4")
-def train_lists(spark, d, k=K, size=4):
+@query(f"WITH {_NEG}, ok AS (SELECT query_id FROM neg WHERE rank <= {TRAINING} GROUP BY 1 HAVING count(*) = {TRAINING}) SELECT query_id, rank, neg_id, rec.title FROM neg SEMI JOIN ok USING (query_id) JOIN rec ON rec.id = neg_id WHERE rank <= {TRAINING}")
+def train_lists(spark, d, k=K, size=TRAINING):
     neg, _ = _negatives(spark, d, k)
     first = neg.filter(F.col("rank") <= size)
     whole = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == size).select("query_id")
@@ -401,6 +404,8 @@ def wilcoxon_signed_rank(spark, d):
     return effect.wilcoxon(gold_scores(spark, d), ["record_id"])
 
 
+#: Record pairs that flips are counted over, as in the reference.
+PAIRS_DRAWN = 20_000
 _IDX = "ix AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM documents)"
 
 
@@ -408,10 +413,10 @@ def _indexed(spark, d):
     return dense_index(table(spark, d, "documents").select(F.col("doc_id").alias("record_id")), "record_id")
 
 
-@query(f"""WITH {gold_sql()}{PAIRS}, {_IDX}, dr AS (SELECT i, {h("'1'", "'i'", "i")} % n AS a, {h("'1'", "'j'", "i")} % n AS b FROM (SELECT range AS i FROM range(2000)) CROSS JOIN (SELECT max(n) AS n FROM ix)),
+@query(f"""WITH {gold_sql()}{PAIRS}, {_IDX}, dr AS (SELECT i, {h("'1'", "'i'", "i")} % n AS a, {h("'1'", "'j'", "i")} % n AS b FROM (SELECT range AS i FROM range({PAIRS_DRAWN})) CROSS JOIN (SELECT max(n) AS n FROM ix)),
 w AS (SELECT idx, pair, a, b FROM p JOIN ix ON doc_id = record_id), f AS (SELECT x.pair, sign(x.a - y.a) * sign(x.b - y.b) < 0 AS flip FROM dr JOIN w x ON x.idx = dr.a JOIN w y ON y.idx = dr.b AND y.pair = x.pair WHERE dr.a <> dr.b)
 SELECT pair, round(count(*) FILTER (flip) * 100.0::DOUBLE / count(*), 6) AS flip_pct FROM f GROUP BY 1""")
-def cross_flip_rate(spark, d, size=2000):
+def cross_flip_rate(spark, d, size=PAIRS_DRAWN):
     ix = _indexed(spark, d)
     n = ix.agg((F.max("idx") + 1).alias("n"))
     pick = lambda name: F.pmod(corpus.hashed(1, F.lit(name), "s"), "n").alias(name)
@@ -514,11 +519,25 @@ def pairwise_loss(spark, d):
 
 # -- resampling
 
-N_BOOT = 60
+#: Replicates and permutations, as in the reference.
+N_BOOT, N_PERMUTATIONS = 10_000, 20_000
 
 
-def _draws(b: int = N_BOOT) -> str:
-    return f"{_IDX}, dr AS (SELECT b, {h(chr(39) + '0' + chr(39), 'b', 'idx')} % n AS idx FROM ix CROSS JOIN (SELECT range AS b FROM range({b})))"
+def _chance(slot: str) -> str:
+    """The steps of resample.chance from the keys ka and kc and a slot, each an alias of the one before; the last is y."""
+    u = lambda x: f"{x}::UBIGINT"
+    low, first, second = u("4294967295"), u(resample.FIRST), u(resample.SECOND)
+    mix = lambda v: f"xor({v}0, {v}0 >> 16) AS {v}1, ({v}1 * {first}) & {low} AS {v}2, xor({v}2, {v}2 >> 13) AS {v}3, ({v}3 * {second}) & {low} AS {v}4"
+    return f"({u(slot)} * {u(resample.GOLDEN)} + ka) & {low} AS x0, {mix('x')}, xor(xor(x4, x4 >> 16), kc) AS y0, {mix('y')}, xor(y4, y4 >> 16) AS y"
+
+
+def _keys(purpose: str, name: str, count: int) -> str:
+    return f"SELECT {name}, ('0x' || substr(k, 1, 8))::UBIGINT AS ka, ('0x' || substr(k, 9, 8))::UBIGINT AS kc FROM (SELECT range AS {name}, md5('0|{purpose}|' || range) AS k FROM range({count}))"
+
+
+def _draws() -> str:
+    """ix, and dw (b, idx, t: how often a replicate draws a row): the draws of a single block, so of up to resample.BLOCK rows."""
+    return f"{_IDX}, kb AS ({_keys('draw', 'b', N_BOOT)}), dq AS (SELECT b, n, {_chance('idx')} FROM ix CROSS JOIN kb), dw AS (SELECT b, (y % n)::BIGINT AS idx, count(*) AS t FROM dq GROUP BY ALL)"
 
 
 def _values(spark, d, arms=ONE):
@@ -531,12 +550,12 @@ _VAL = ", va AS (SELECT arm, idx, avg(rr) AS rr, count(*) FILTER (lead) AS k FRO
 _CI = "round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi"
 
 
-@query(f"WITH {led_sql()}, {_draws()}{_VAL}, r AS (SELECT b, avg(rr) AS x FROM dr JOIN va USING (idx) GROUP BY b) SELECT round(avg(x), 6) AS mean, {_CI}, count(*) AS n FROM r")
+@query(f"WITH {led_sql()}, {_draws()}{_VAL}, r AS (SELECT b, sum(t * rr) / sum(t) AS x FROM dw JOIN va USING (idx) GROUP BY b) SELECT round(avg(x), 6) AS mean, {_CI}, count(*) AS n FROM r")
 def bootstrap_mean_ci(spark, d, n_boot=N_BOOT):
     return resample.interval(resample.replicate_means(_values(spark, d), ["rr"], n_boot), "rr")
 
 
-@query(f"WITH {led_sql(TWO)}, {_draws()}{_VAL}, df AS (SELECT idx, max(rr) FILTER (arm = 'winner') - max(rr) FILTER (arm = 'untrained') AS v FROM va GROUP BY idx), r AS (SELECT b, avg(v) AS x FROM dr JOIN df USING (idx) GROUP BY b), i AS (SELECT round(avg(x), 6) AS mean, {_CI} FROM r) SELECT mean, lo, hi, lo > -0.03 AS non_inferior FROM i")
+@query(f"WITH {led_sql(TWO)}, {_draws()}{_VAL}, df AS (SELECT idx, max(rr) FILTER (arm = 'winner') - max(rr) FILTER (arm = 'untrained') AS v FROM va GROUP BY idx), r AS (SELECT b, sum(t * v) / sum(t) AS x FROM dw JOIN df USING (idx) GROUP BY b), i AS (SELECT round(avg(x), 6) AS mean, {_CI} FROM r) SELECT mean, lo, hi, lo > -0.03 AS non_inferior FROM i")
 def paired_rr_delta(spark, d, n_boot=N_BOOT):
     v = _values(spark, d, TWO)
     side = lambda a: F.max(F.when(F.col("arm") == a, F.col("rr")))
@@ -544,8 +563,12 @@ def paired_rr_delta(spark, d, n_boot=N_BOOT):
     return resample.interval(resample.replicate_means(diff, ["v"], n_boot), "v").select("mean", "lo", "hi", (F.round("lo", 6) > resample.NI_MARGIN).alias("non_inferior"))
 
 
-_BD = f"""WITH {gold_sql(TWO)}{PAIRS}, {_draws()}, di AS (SELECT arm, idx, pair, diff FROM p JOIN ix ON doc_id = record_id), m AS (SELECT arm, b, pair, avg(diff) AS mu, count(*) AS n, sum(diff) AS s, sum(diff * diff) AS q FROM dr JOIN di USING (idx) GROUP BY ALL),
-r AS (SELECT arm, b, max(abs(s / n / (sqrt(greatest(q / n - (s / n) * (s / n), 0)) + 1e-12))) AS d FROM m GROUP BY ALL)"""
+_SIDES = [(arm, f"{x}-{y}") for arm in ("untrained", "winner") for i, x in enumerate(FORMATS) for y in FORMATS[i + 1 :]]
+_WIDE = ", ".join(f"max(diff) FILTER (arm = '{arm}' AND pair = '{pair}') AS c{i}" for i, (arm, pair) in enumerate(_SIDES))
+_SUMS = ", ".join(f"sum(t * c{i}) / sum(t) AS m{i}, sum(t * c{i} * c{i}) / sum(t) AS q{i}" for i in range(len(_SIDES)))
+_MOST = lambda arm: "greatest(" + ", ".join(f"abs(m{i}) / (sqrt(greatest(q{i} - m{i} * m{i}, 0)) + 1e-12)" for i, (x, _) in enumerate(_SIDES) if x == arm) + ")"
+_BD = f"""WITH {gold_sql(TWO)}{PAIRS}, {_draws()}, wd AS (SELECT idx, {_WIDE} FROM p JOIN ix ON doc_id = record_id GROUP BY 1), m AS (SELECT b, {_SUMS} FROM dw JOIN wd USING (idx) GROUP BY 1),
+r AS (SELECT b, 'untrained' AS arm, {_MOST('untrained')} AS d FROM m UNION ALL SELECT b, 'winner', {_MOST('winner')} FROM m)"""
 
 
 def _replicated_d(spark, d, n_boot=N_BOOT):
@@ -571,15 +594,15 @@ def bootstrap_p_above(spark, d, n_boot=N_BOOT):
     return resample.p_above(_replicated_d(spark, d, n_boot), "d", 0.5, ("arm",))
 
 
-@query(f"""WITH {led_sql()}, {_draws()}{_VAL}, r AS (SELECT b, count(*) FILTER (k > 0 AND k < 5) * 100.0::DOUBLE / nullif(count(*) FILTER (k > 0), 0) AS x FROM dr JOIN va USING (idx) GROUP BY b) SELECT round(avg(x), 6) AS mean, {_CI}, count(x) AS n FROM r WHERE x IS NOT NULL""")
+@query(f"""WITH {led_sql()}, {_draws()}{_VAL}, r AS (SELECT b, sum(t) FILTER (k > 0 AND k < 5) * 100.0::DOUBLE / nullif(sum(t) FILTER (k > 0), 0) AS x FROM dw JOIN va USING (idx) GROUP BY b) SELECT round(avg(x), 6) AS mean, {_CI}, count(x) AS n FROM r WHERE x IS NOT NULL""")
 def bootstrap_inconsistency_ci(spark, d, n_boot=N_BOOT):
     v = _values(spark, d).select("idx", (F.col("k") > 0).cast("double").alias("a"), F.when((F.col("k") > 0) & (F.col("k") < 5), 1.0).otherwise(0.0).alias("i"))
     r = resample.replicate_means(v, ["a", "i"], n_boot).withColumn("x", F.try_divide(F.col("i") * 100, "a")).filter("x IS NOT NULL")
     return resample.interval(r, "x")
 
 
-@query(f"WITH {led_sql(TWO)}, {_IDX}{_VAL}, df AS (SELECT idx, max(rr) FILTER (arm = 'winner') - max(rr) FILTER (arm = 'untrained') AS v FROM va GROUP BY idx), o AS (SELECT round(avg(v), 9) AS observed FROM df), pm AS (SELECT perm, round(abs(avg(CASE WHEN {h(chr(39) + '0' + chr(39), chr(39) + 'sign' + chr(39), 'perm', 'idx')} % 2 = 0 THEN v ELSE -v END)), 9) AS m FROM df CROSS JOIN (SELECT range AS perm FROM range(40)) GROUP BY perm) SELECT round(observed, 6) AS observed, round((1 + count(*) FILTER (m >= abs(observed))) / (count(*) + 1.0::DOUBLE), 6) AS p, round(1 / (count(*) + 1.0::DOUBLE), 6) AS p_floor FROM pm CROSS JOIN o GROUP BY observed")
-def sign_flip_permutation(spark, d, n_permutations=40):
+@query(f"WITH {led_sql(TWO)}, {_IDX}{_VAL}, df AS (SELECT idx, max(rr) FILTER (arm = 'winner') - max(rr) FILTER (arm = 'untrained') AS v FROM va GROUP BY idx), o AS (SELECT round(avg(v), 9) AS observed, count(*) AS n FROM df), kg AS ({_keys('sign', 'g', N_PERMUTATIONS // 32)}), fq AS (SELECT g, v, {_chance('idx')} FROM df CROSS JOIN kg), pm AS (SELECT g * 32 + bit AS perm, round(abs(sum(CASE WHEN (y >> bit::UBIGINT) & 1 = 0 THEN v ELSE -v END) / any_value(n)), 9) AS m FROM fq CROSS JOIN (SELECT range AS bit FROM range(32)) CROSS JOIN o GROUP BY ALL) SELECT round(observed, 6) AS observed, round((1 + count(*) FILTER (m >= abs(observed))) / (count(*) + 1.0::DOUBLE), 6) AS p, round(1 / (count(*) + 1.0::DOUBLE), 6) AS p_floor FROM pm CROSS JOIN o GROUP BY observed")
+def sign_flip_permutation(spark, d, n_permutations=N_PERMUTATIONS):
     v = _values(spark, d, TWO)
     side = lambda a: F.max(F.when(F.col("arm") == a, F.col("rr")))
     return resample.sign_flips(v.groupBy("idx").agg((side("winner") - side("untrained")).alias("v")), "v", n_permutations)
@@ -594,9 +617,9 @@ def holm(spark, d):
 _SEEDS = [("m1", "control", 0, 50, 3), ("m1", "control", 1, 50, 3), ("m1", "winner", 0, 30, 1), ("m1", "winner", 1, 30, 1)]
 
 
-@query(f"""WITH {led_sql(_SEEDS)}, {_draws(30)}, v AS (SELECT seed, idx, avg(rr) FILTER (arm = 'winner') - avg(rr) FILTER (arm = 'control') AS v FROM led JOIN ix ON doc_id = query_id GROUP BY ALL), ps AS (SELECT seed AS sidx, b, avg(v) AS value FROM dr JOIN v USING (idx) GROUP BY ALL),
-sd AS (SELECT b, j, {h(chr(39) + '0' + chr(39), chr(39) + 'seeds' + chr(39), 'b', 'j')} % 2 AS sidx FROM (SELECT range AS b FROM range(30)) CROSS JOIN (SELECT range AS j FROM range(2))), r AS (SELECT b, avg(value) AS x FROM sd JOIN ps USING (b, sidx) GROUP BY b) SELECT round(avg(x), 6) AS mean, {_CI}, count(*) AS n FROM r""")
-def two_level_seed_bootstrap(spark, d, n_boot=30):
+@query(f"""WITH {led_sql(_SEEDS)}, {_draws()}, v AS (SELECT seed, idx, avg(rr) FILTER (arm = 'winner') - avg(rr) FILTER (arm = 'control') AS v FROM led JOIN ix ON doc_id = query_id GROUP BY ALL), ps AS (SELECT seed AS sidx, b, sum(t * v) / sum(t) AS value FROM dw JOIN v USING (idx) GROUP BY ALL),
+sd AS (SELECT b, j, {h(chr(39) + '0' + chr(39), chr(39) + 'seeds' + chr(39), 'b', 'j')} % 2 AS sidx FROM (SELECT range AS b FROM range({N_BOOT})) CROSS JOIN (SELECT range AS j FROM range(2))), r AS (SELECT b, avg(value) AS x FROM sd JOIN ps USING (b, sidx) GROUP BY b) SELECT round(avg(x), 6) AS mean, {_CI}, count(*) AS n FROM r""")
+def two_level_seed_bootstrap(spark, d, n_boot=N_BOOT):
     side = lambda a: F.avg(F.when(F.col("arm") == a, F.col("rr")))
     v = led(spark, d, _SEEDS).groupBy("seed", F.col("query_id").alias("record_id")).agg((side("winner") - side("control")).alias("v")).join(_indexed(spark, d), "record_id")
     wide = v.groupBy("idx").agg(*[F.max(F.when(F.col("seed") == s, F.col("v"))).alias(f"v{s}") for s in (0, 1)])
@@ -613,12 +636,5 @@ def sweep_selection(spark, d):
     return resample.select_winner(rows).select("value", "d", "survives", "tied", "winner")
 
 
-# -- at the reference's sizes
-
-full(hard_negatives, 25)
-full(candidate_lists, 25, 15)
-full(train_lists, 25, 7)
-full(cross_flip_rate, 20_000)
-for _f in (bootstrap_mean_ci, paired_rr_delta, bootstrap_max_d_ci, bootstrap_delta_max_d, bootstrap_p_above, bootstrap_inconsistency_ci, two_level_seed_bootstrap):
-    full(_f, 10_000)
-full(sign_flip_permutation, 20_000)
+for _name in "hard_negatives candidate_lists train_lists cross_flip_rate bootstrap_mean_ci paired_rr_delta bootstrap_max_d_ci bootstrap_delta_max_d bootstrap_p_above bootstrap_inconsistency_ci two_level_seed_bootstrap sign_flip_permutation".split():
+    also(f"{_name}_full", _name)
