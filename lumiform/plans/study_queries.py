@@ -81,19 +81,6 @@ def levels_table(spark, d):
     return study.levels(_policies(spark, d))
 
 
-@query(f"WITH {led_sql(STUDY)}, {_POL}, c AS (SELECT model, query_id, avg(mixed) FILTER (arm = 'winner') - avg(mixed) FILTER (arm = 'control') AS diff FROM pol GROUP BY ALL) SELECT model, count(*) AS n, round(avg(diff), 6) AS mean, round(stddev_samp(diff) / sqrt(count(*)), 6) AS se FROM c GROUP BY 1")
-def contrast_table(spark, d):
-    c = study.contrast(_policies(spark, d), "mixed", "winner", "control")
-    return c.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean"), (F.stddev_samp("diff") / F.sqrt(F.count(F.lit(1)))).alias("se"))
-
-
-@query(f"WITH {led_sql(STUDY)}, c AS (SELECT model, arm, seed, query_id, count(*) FILTER (lead) AS k FROM led GROUP BY ALL) SELECT model, arm, round(avg((k > 0 AND k < 5)::INT) * 100, 6) AS disagree_pct, count(*) FILTER (k > 0) AS pool FROM c GROUP BY ALL")
-def agreement_table(spark, d):
-    c = answer.counts_of_leads(led(spark, d, STUDY), study.TENSOR_KEYS)
-    some = (F.col("k") > 0) & (F.col("k") < F.col("n"))
-    return c.groupBy("model", "arm").agg((F.avg(some.cast("int")) * 100).alias("disagree_pct"), F.count_if(F.col("k") > 0).alias("pool"))
-
-
 _FT = ", ".join(f"round(avg(lead::INT) FILTER (format = '{f}'), 6) AS {f}" for f in FORMATS)
 _G = "greatest(" + ", ".join(f"avg(lead::INT) FILTER (format = '{f}')" for f in FORMATS) + ")"
 
@@ -103,36 +90,6 @@ def format_table(spark, d):
     return study.format_table(led(spark, d, STUDY), "untrained")
 
 
-@query(f"WITH {led_sql(STUDY)}, m AS (SELECT model, arm, format, avg(rr) AS mrr FROM led GROUP BY ALL) SELECT model, arm, round(max(mrr), 6) AS best_mrr, round(avg(mrr), 6) AS mean_mrr, round(min(mrr), 6) AS worst_mrr FROM m GROUP BY ALL")
-def guardrail_table(spark, d):
-    m = answer.mrr(led(spark, d, STUDY), ("model", "arm"))
-    return m.groupBy("model", "arm").agg(F.max("mrr").alias("best_mrr"), F.avg("mrr").alias("mean_mrr"), F.min("mrr").alias("worst_mrr"))
-
-
-def contrast_table_full(spark, d, n_boot=10_000, n_permutations=20_000):
-    return study.paired(study.contrast(_policies(spark, d), "mixed", "winner", "control"), n_boot, n_permutations)
-
-
-def agreement_table_full(spark, d, n_boot=10_000, n_permutations=20_000):
-    c = answer.counts_of_leads(led(spark, d, STUDY), study.TENSOR_KEYS)
-    c = c.withColumn("some", ((F.col("k") > 0) & (F.col("k") < F.col("n"))).cast("double"))
-    shares = c.groupBy("model", "arm", "query_id").agg(F.avg("some").alias("some")).groupBy("model").pivot("arm", ["untrained", "control", "winner"]).agg(F.avg("some"))
-    shares = shares.select("model", *[F.col(a).alias(f"disagree_{a}") for a in ("untrained", "control", "winner")])
-    return shares.join(study.paired(study.contrast(c, "some", "winner", "control"), n_boot, n_permutations), "model")
-
-
-def guardrail_table_full(spark, d):
-    """Of the first training seed, as in the reference."""
-    t = tens(spark, d, STUDY).filter("seed = 0")
-    m = answer.mrr(answer.leads(t, study.TENSOR_KEYS), ("model", "arm")).groupBy("model", "arm").agg(F.max("mrr").alias("uniform_best_mrr"), F.avg("mrr").alias("uniform_mean_mrr"))
-    out = m.join(study.mixed_lead(t).groupBy("model", "arm").agg(F.avg("p").alias("mixed_top1")), ["model", "arm"]).withColumn("delta", F.col("mixed_top1") - F.col("uniform_best_mrr"))
-    return out.withColumns({"ni_margin": F.lit(-resample.NI_MARGIN), "kept": F.col("delta") > resample.NI_MARGIN})
-
-
-for _f in (contrast_table_full, agreement_table_full, guardrail_table_full):
-    query()(_f)
-
-
 @query(f"WITH {led_sql(STUDY)} SELECT model, format, round(avg(lead::INT) FILTER (arm = 'untrained'), 6) AS untrained, round(avg(lead::INT) FILTER (arm = 'control'), 6) AS control, round(avg(lead::INT) FILTER (arm = 'winner'), 6) AS winner FROM led GROUP BY ALL")
 def standardised_table(spark, d):
     return led(spark, d, STUDY).groupBy("model", "format").pivot("arm", ["untrained", "control", "winner"]).agg(F.avg(F.col("lead").cast("int")))
