@@ -39,6 +39,19 @@ def dense_index(df: DataFrame, key: str, name: str = "idx", groups: tuple[str, .
     return placed.join(F.broadcast(before), [*groups, "range_"]).withColumn(name, F.col("before_") + inner).drop("range_", "before_")
 
 
+#: Ranges of a hash that rows are shuffled in.
+RANGES = 256
+
+
+def shuffled_index(df: DataFrame, key: str, order: Column, name: str = "idx", groups: tuple[str, ...] = ()) -> DataFrame:
+    """df with a gapless index from 0, within each group, in the order of `order` (a number from 0 to 2**32 - 1, such as a hash of the key) and key: rows
+    are numbered inside ranges of the hash, and ranges by their counts. Keys are unique within a group; groups are few."""
+    placed = df.withColumn("order_", order).withColumn("range_", F.floor(F.col("order_") / (2**32 // RANGES)).cast("int"))
+    before = counted_before(placed.groupBy(*groups, "range_").agg(F.count(F.lit(1)).alias("c_")), list(groups))
+    inner = F.row_number().over(Window.partitionBy(*groups, "range_").orderBy("order_", key)) - 1
+    return placed.join(F.broadcast(before), [*groups, "range_"]).withColumn(name, F.col("before_") + inner).drop("order_", "range_", "before_")
+
+
 def rank_histogram(histogram: DataFrame, groups: list[str], value: str, name: str = "rank") -> DataFrame:
     """histogram (groups, value, c_ rows of that value, ...) with the average rank (from 1) of each value inside its group, sorted range by range."""
     cuts = histogram.groupBy(*groups).agg(cuts_of(value))

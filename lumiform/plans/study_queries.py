@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from lumiform.functions import text as T
 from lumiform.functions.ranking import average_ranks
 from lumiform.functions.render import FORMATS
-from lumiform.operators import answer, effect, geometry, resample, scorers, study
+from lumiform.operators import answer, effect, scorers, study
 from lumiform.operators.corpus import hashed
 from lumiform.plans.base import HELD, PAIRS, REN, STUDY, TWO, gold_scores, gold_sql, h, led, led_sql, rendered, tens, tensor_sql
 from lumiform.plans.queries import query
@@ -169,58 +169,6 @@ def axis_correlation(spark, d):
     return w.agg(F.count(F.lit(1)).alias("n"), effect.correlation("m1", "m2").alias("r"))
 
 
-# -- geometry
-
-
-_FEAT = "fmt AS (SELECT * FROM (VALUES ('yaml', 0), ('json', 1), ('toml', 2), ('inline_kv', 3), ('markdown', 4)) t(format, fpos)), em AS (SELECT vec_id AS record_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), ft AS (SELECT record_id, format, fpos, dim, CASE WHEN dim = fpos THEN x + 0.5 WHEN dim = fpos + 8 THEN x * 1.5 ELSE x END AS x FROM em CROSS JOIN fmt)"
-
-
-def _feats(spark, d):
-    return geometry.features(table(spark, d, "embeddings"))
-
-
-@query(f"WITH {_FEAT}, s AS (SELECT format, fpos, dim, avg(x) AS m, var_pop(x) AS v FROM ft GROUP BY ALL) SELECT a.format || '-' || b.format AS pair, round(sqrt(sum((a.m - b.m) ** 2)) / sqrt(sum((a.v + b.v) / 2)), 6) AS separation FROM s a JOIN s b ON a.dim = b.dim AND a.fpos < b.fpos GROUP BY 1")
-def pair_separation(spark, d):
-    return geometry.pair_separation(_feats(spark, d))
-
-
-@query(f"WITH {_FEAT}, s AS (SELECT format, dim, avg(x) AS m, var_pop(x) AS v FROM ft GROUP BY ALL), z AS (SELECT dim, var_pop(m) AS b, avg(v) AS w FROM s GROUP BY 1) SELECT round(sum(b) / (sum(b) + sum(w)), 6) AS separation FROM z")
-def spread_share(spark, d):
-    return geometry.spread_share(_feats(spark, d))
-
-
-@query(f"WITH {_FEAT}, m AS (SELECT record_id, dim, avg(x) AS m FROM ft GROUP BY ALL) SELECT format, round(avg(n), 6) AS mean_norm FROM (SELECT format, record_id, sqrt(sum((x - m) ** 2)) AS n FROM ft JOIN m USING (record_id, dim) GROUP BY ALL) GROUP BY 1")
-def format_shift_norms(spark, d):
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    return geometry.format_shifts(_feats(spark, d)).groupBy("format").agg(F.avg(norm).alias("mean_norm"))
-
-
-@query(f"WITH {_FEAT}, a AS (SELECT *, {h(chr(39) + '0' + chr(39), chr(39) + 'half' + chr(39), 'record_id')} % 2 AS half FROM ft) SELECT half, format, count(DISTINCT record_id) AS n, round(avg(x), 6) AS mean FROM a GROUP BY ALL")
-def halves(spark, d):
-    return geometry.by_dimension(_feats(spark, d)).withColumn("half", geometry.half_of()).groupBy("half", "format").agg(F.count_distinct("record_id").alias("n"), F.avg("x").alias("mean"))
-
-
-@query()
-def whitened_separation(spark, d):
-    f = _feats(spark, d)
-    first, second = f.filter(geometry.half_of() == 0), f.filter(geometry.half_of() == 1)
-    return geometry.pair_separation(geometry.projected(second, geometry.whitener(first)))
-
-
-@query()
-def plane_view(spark, d):
-    f = _feats(spark, d)
-    basis = geometry.mean_plane(f.filter(geometry.half_of() == 0))
-    return geometry.spread_share(geometry.projected(geometry.format_shifts(f.filter(geometry.half_of() == 1)), basis))
-
-
-@query()
-def discriminant_plane(spark, d):
-    f = _feats(spark, d)
-    basis = geometry.discriminant_plane(f.filter(geometry.half_of() == 0))
-    return geometry.spread_share(geometry.projected(geometry.format_shifts(f.filter(geometry.half_of() == 1)), basis))
-
-
 # -- logs, progress, manifests, ingestion
 
 
