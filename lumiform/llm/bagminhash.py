@@ -8,8 +8,9 @@ a time by which the registers of a document are very likely full; documents that
 
 Documents with the same words are one node. In each band bucket a hub, another one in every band, is compared with the
 bucket's other nodes, so a bucket of any size costs a pair a node. In buckets that still hold different components the
-signatures of pairs across components are compared in blocks; the nodes of pairs that may be similar meet in their blocks once
-more, with their shingles, and only links leave them. No candidate pair that could join two classes stays unexamined.
+signatures of pairs across components are compared in blocks, a row of 141 bytes for each node and block; the nodes of pairs that
+may be similar meet in smaller blocks once more, with their shingles, and only links leave them. No candidate pair that could
+join two classes stays unexamined.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ REGISTERS = BANDS * ROWS
 #: Time is in units of a register's mean wait; registers of a document are full by ln(REGISTERS) + MARGIN with probability 1 - exp(-MARGIN).
 MARGIN = 3.0
 ALL = (1 << 64) - 1
-#: Nodes of a block in which pairs across components are compared, and standard errors that a signature may be off.
-BLOCK = 256
+#: Nodes of a block in which the signatures of pairs across components are compared, nodes of one in which their shingles are, and standard errors
+#: that a signature may be off.
+BLOCK, VERIFIED = 1024, 128
 ERRORS = 4.0
 
 
@@ -109,9 +111,9 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def banded(signature: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of every signature."""
-    s = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
+def banded(registers: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of every signature, from the low bytes of its registers alone, so bands can be made again from stored registers."""
+    s = registers.astype(np.uint8).reshape(len(registers), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), s.shape[:2]).copy()
     for r in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, r])
@@ -150,20 +152,28 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, codes binary")
 
 
+def overlap(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets of codes have that weighted Jaccard similarity."""
+    if len(p) > len(q):
+        p, q = q, p
+    if len(p) < similarity * len(q):
+        return False
+    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(q) else 0
+    return both >= similarity * (len(p) + len(q) - both)
+
+
+def codes_of(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """The codes of each row, read where they lie."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose multisets overlap to `similarity` or more. pairs: distinct and written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
-                keep[i] = both >= similarity * (len(p) + len(q) - both)
-            yield batch.filter(pa.array(keep)).select([0, 1])
+            keep = [overlap(p, q, similarity) for p, q in zip(codes_of(batch.column(2)), codes_of(batch.column(3)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left, right = sets.select(F.col("node").alias("a"), F.col("codes").alias("x")), sets.select(F.col("node").alias("b"), F.col("codes").alias("y"))
     both = spread_join(spread_join(pairs, left, ["a"], ["b"], times(pairs, "a")), right, ["b"], ["a"], times(pairs, "b")).select("a", "b", "x", "y")
@@ -176,8 +186,8 @@ def near(block: pa.Table, similarity: float) -> Iterator[tuple[int, np.ndarray]]
     bucket, i, j = (block.column(c)[0].as_py() for c in ("bucket", "i", "j"))
     least = similarity - ERRORS * np.sqrt(similarity * (1 - similarity) / REGISTERS)
     node, label, side = (block.column(c).to_numpy() for c in ("node", "label", "side"))
-    bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
     registers = np.frombuffer(b"".join(block.column("registers").to_pylist()), np.uint8).reshape(len(node), REGISTERS)
+    bands = banded(registers).view(np.int64)
     here = int(np.argmax(bands[0] == bucket))
     left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
     for p in left:
@@ -186,12 +196,20 @@ def near(block: pa.Table, similarity: float) -> Iterator[tuple[int, np.ndarray]]
         yield p, q[(registers[q] == registers[p]).mean(axis=1) >= least]
 
 
+def in_blocks(rows: DataFrame, size: int, names: list[str]) -> DataFrame:
+    """names, with bucket, i, j, side: each row of rows (bucket, n, node, ...) in every pair of blocks of about `size` nodes that its own block is in."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    placed = rows.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return placed.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", *names)
+
+
 def links_across(rows: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between nodes of one bucket and different labels. rows: bucket, n (the bucket's size), node, label, bands, registers.
+    """Links (a, b) between nodes of one bucket and different labels. rows: bucket, n (the bucket's size), node, label, registers.
 
-    A bucket is cut into blocks of BLOCK nodes, and pairs of blocks are compared in memory, each by a task of its own: first the signatures alone,
-    then the shingles of the nodes that may have partners. A pair that shares several buckets is looked at in the first of them. A pair of
-    `similarity` fails by ERRORS standard errors, or never. Once a link joins two labels of a block pair, their other pairs needn't be verified."""
+    A bucket is cut into blocks of BLOCK nodes, and the signatures of pairs of blocks are compared in memory, each by a task of its own, which is a
+    row for each node and block. What may have partners is cut into blocks of VERIFIED nodes and compared with its shingles. A pair that shares
+    several buckets is looked at in the first of them. A pair of `similarity` fails by ERRORS standard errors, or never. Once a link joins two
+    labels of a block pair, their other pairs needn't be verified."""
 
     def survive(key: tuple, block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
@@ -199,14 +217,13 @@ def links_across(rows: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
         for p, q in near(block, similarity):
             kept[q] = True
             kept[p] |= len(q) > 0
-        return block.filter(pa.array(kept)).select(names)
+        return block.select(names).filter(pa.array(kept))
 
     def verify(key: tuple, block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        node = block.column("node").to_numpy()
-        codes = [np.frombuffer(x, np.uint64) for x in block.column("codes").to_pylist()]
-        root = {x: x for x in block.column("label").to_pylist()}
-        label = block.column("label").to_pylist()
+        codes = codes_of(block.column("codes"))
+        block = block.drop_columns("codes").combine_chunks()
+        node, label = block.column("node").to_pylist(), block.column("label").to_pylist()
+        root = {x: x for x in label}
 
         def top(x: int) -> int:
             while root[x] != x:
@@ -218,26 +235,17 @@ def links_across(rows: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
         for p, q in near(block, similarity):
             for r in q.tolist():
                 x, y = top(label[p]), top(label[r])
-                if x == y:
-                    continue
-                short, long = sorted((codes[p], codes[r]), key=len)
-                if len(short) < similarity * len(long):
-                    continue
-                at = np.searchsorted(long, short)
-                both = int((long[np.minimum(at, len(long) - 1)] == short).sum())
-                if both >= similarity * (len(short) + len(long) - both):
+                if x != y and overlap(codes[p], codes[r], similarity):
                     root[max(x, y)] = min(x, y)
                     out.append((min(node[p], node[r]), max(node[p], node[r])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    names = ["bucket", "i", "j", "side", "node", "label", "bands", "registers"]
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    side = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    placed = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    keyed = placed.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), *names[3:])
-    schema = "bucket long, i int, j int, side int, node long, label long, bands array<long>, registers binary"
-    alive = written(keyed.groupBy("bucket", "i", "j").applyInArrow(survive, schema), "survivors")
-    return alive.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(verify, "a long, b long").distinct()
+    names = ["bucket", "node", "label", "registers"]
+    keyed = in_blocks(rows, BLOCK, names[1:])
+    alive = written(keyed.groupBy("bucket", "i", "j").applyInArrow(survive, "bucket long, node long, label long, registers binary").distinct(), "survivors")
+    sizes = alive.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    again = in_blocks(alive.join(sizes, "bucket"), VERIFIED, names[1:])
+    return again.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(verify, "a long, b long").distinct()
 
 
 def times(rows: DataFrame, key: str) -> DataFrame:
@@ -304,7 +312,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # buckets that hold different components
     placed = crowded.select("bucket", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n_")).filter("lo < hi").select("bucket", F.col("n_").alias("n"))
-    rest = placed.join(mixed, "bucket").join(nodes.select("node", "bands", "registers"), "node")
+    rest = placed.join(mixed, "bucket").join(nodes.select("node", "registers"), "node")
     more = written(links_across(rest, sets, similarity), "links")
     twins = written(spread_join(known.select("doc_id", *same), nodes.select(*same, "node"), same, ["doc_id"], nodes.select(*same, "n_")).select("doc_id", "node"), "members")
     # an id that stands on several texts links their nodes, be it a node itself or not

@@ -94,3 +94,28 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.label for r in B.components(spark.createDataFrame(edges + edges[:3], "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(20)} | {300: 100} | {n: 200 for n in (200, 201, 205, 210)}
     assert B.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def crowded_bucket(spark, n, seed=1):
+    """Nodes whose signatures agree in one band and nowhere else, but for ten planted pairs: rows and sets for links_across, and the pairs."""
+    import numpy as np
+
+    draw = np.random.default_rng(seed)
+    registers = draw.integers(0, 256, (n, B.REGISTERS), np.uint8)
+    registers[:, : B.ROWS] = 7
+    codes = np.sort(draw.integers(0, 2**63, (n, 40)).astype(np.uint64), axis=1)
+    pairs = [(i, i + n // 2) for i in range(0, n // 2, n // 20)][:10]
+    for a, b in pairs:
+        registers[b] = registers[a]
+        registers[b, -9:] += 1
+        codes[b] = codes[a]
+        codes[b, -2:] += np.uint64(1)
+    bucket = int(B.banded(registers[:1]).view(np.int64)[0, 0])
+    rows = spark.createDataFrame([(bucket, n, i, i, bytearray(registers[i].tobytes())) for i in range(n)], "bucket long, n long, node long, label long, registers binary")
+    sets = spark.createDataFrame([(i, bytearray(np.sort(codes[i]).tobytes())) for i in range(n)], "node long, codes binary")
+    return rows, sets, pairs
+
+
+def test_a_bucket_of_nodes_that_no_hub_links(spark):
+    rows, sets, pairs = crowded_bucket(spark, 3000)
+    assert sorted((r.a, r.b) for r in B.links_across(rows, sets).collect()) == pairs
