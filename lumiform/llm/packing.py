@@ -26,6 +26,8 @@ from lumiform.llm.tokens import default_path, encode
 CAPACITY = 2048
 #: The id that ends every document.
 END = 0
+#: Bytes of text that are encoded at a time: more of them share their pre-tokens.
+ENCODED = 3_000_000
 #: Pieces of a group, about, and islands that work on one.
 GROUP, ISLANDS = 3000, 3
 #: Solutions of an island, generations of an epoch, epochs of a level.
@@ -45,7 +47,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, i
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", ENCODED):
             flat, ptr = encode(batch.column(1), path)
             of, number, start, length, crc, all_ids = [], [], [], [], [], []
             for d in range(batch.num_rows):

@@ -1,8 +1,10 @@
 """Media columns: TIFF. A reader that gives one row a page, and the writer that the round trip needs.
 
 The reader walks the chain of image directories (either byte order), decodes strips or tiles that are stored plain,
-as PackBits, LZW or deflate, unpacks samples of 1, 2, 4, 8, 16, 32 or 64 bits, undoes horizontal differencing and the
-floating-point predictor and returns the samples of each page, row by row.
+as PackBits, LZW or deflate, unpacks samples of 1, 2, 4, 8, 16, 32 or 64 bits in either fill order, undoes horizontal differencing and the
+floating-point predictor and returns the samples of each page, row by row, the lowest byte of a sample first.
+
+Not read, with an error row: BigTIFF, samples of other sizes or of different sizes in a page, JPEG, CCITT and old-style LZW.
 """
 
 from __future__ import annotations
@@ -20,9 +22,13 @@ from lumiform.llm.common import chunks, table
 
 #: TIFF tags.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
-PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES, FORMAT = 317, 322, 323, 324, 325, 339
-#: Predictors (none, horizontal differencing, floating point) and the sample format that means floating point.
-NONE, HORIZONTAL, FLOATING, IEEE = 1, 2, 3, 3
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES, FORMAT, FILL_ORDER = 317, 322, 323, 324, 325, 339, 266
+#: Predictors (none, horizontal differencing, floating point), and sample formats (unsigned, signed, floating point, undefined).
+NONE, HORIZONTAL, FLOATING = 1, 2, 3
+UNSIGNED, SIGNED, IEEE, UNDEFINED = 1, 2, 3, 4
+#: Fixed value: the fill order in which a byte's lowest bit comes first; such bytes are turned round as they are read.
+LOWEST_FIRST = 2
+TURNED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 #: Bytes of a page's samples that the reader gives at most: what a binary column can hold.
 LARGEST = (1 << 31) - 1
 #: Codes of compressions.
@@ -224,7 +230,8 @@ def unpredicted(block: np.ndarray, raw: bytes, predictor: int, bits: int) -> np.
 
 
 def decode_page(data: bytes, order: str, fields: dict[int, tuple]) -> np.ndarray:
-    """Samples of a page: an array of height, width, samples. What the header says is held against the file before anything is allocated."""
+    """Samples of a page: an array of height, width, samples, little-endian, of the kind that the sample format names (signed samples of less than a byte
+    and undefined ones are given as unsigned). What the header says is held against the file before anything is allocated."""
     one = lambda tag, other: fields.get(tag, (other,))[0]
     width, height, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
     code, predictor = one(COMPRESSION, PLAIN), one(PREDICTOR, NONE)
@@ -232,6 +239,11 @@ def decode_page(data: bytes, order: str, fields: dict[int, tuple]) -> np.ndarray
         raise TiffError("a page without size")
     if bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(fields.get(BITS, (bits,)))) > 1:
         raise TiffError(f"{bits} bits a sample aren't supported")
+    if one(FILL_ORDER, 1) not in (1, LOWEST_FIRST):
+        raise TiffError(f"fill order {one(FILL_ORDER, 1)} is unknown")
+    told = one(FORMAT, UNSIGNED)
+    if told not in (UNSIGNED, SIGNED, IEEE, UNDEFINED) or (told == IEEE and bits < 16):
+        raise TiffError(f"sample format {told} isn't supported for {bits} bits")
     if code not in DECODERS:
         raise TiffError(f"compression {code} isn't supported")
     if predictor not in (NONE, HORIZONTAL, FLOATING) or (predictor == FLOATING and (bits < 16 or one(FORMAT, 1) != IEEE)):
@@ -259,8 +271,11 @@ def decode_page(data: bytes, order: str, fields: dict[int, tuple]) -> np.ndarray
         tall = down if tiled else min(down, height - y)
         if at < 0 or size < 0 or at + size > len(data):
             raise TiffError("a strip or tile outside the file")
+        stored = data[at : at + size]
+        if one(FILL_ORDER, 1) == LOWEST_FIRST:
+            stored = stored.translate(TURNED)
         try:
-            raw = DECODERS[code](data[at : at + size], max(need, 1))
+            raw = DECODERS[code](stored, max(need, 1))
         except zlib.error as e:
             raise TiffError(str(e)) from e
         if len(raw) < (-(-across * depth * bits // 8)) * tall:
@@ -276,6 +291,9 @@ def decode_page(data: bytes, order: str, fields: dict[int, tuple]) -> np.ndarray
             out[y : y + len(part), x : x + across, plane] = part[:, :, 0]
         else:
             out[y : y + len(part), x : x + across] = part
+    out = out.astype(out.dtype.newbyteorder("<"), copy=False)
+    if bits >= 8 and told in (SIGNED, IEEE):
+        return out.view(f"<{'i' if told == SIGNED else 'f'}{bits // 8}")
     return out
 
 
@@ -285,8 +303,8 @@ def read_pages(data: bytes) -> Iterator[tuple[int, dict, np.ndarray | None, str
     whole = lambda x: x if isinstance(x, int) and 0 <= x < 1 << 31 else None
     try:
         for page, (order, fields) in enumerate(directories(data)):
-            facts = {"width": fields.get(WIDTH, (0,))[0], "height": fields.get(HEIGHT, (0,))[0], "bits": fields.get(BITS, (1,))[0], "samples": fields.get(SAMPLES, (1,))[0], "compression": fields.get(COMPRESSION, (1,))[0], "predictor": fields.get(PREDICTOR, (1,))[0]}
-            facts = {name: whole(value) for name, value in facts.items()}
+            facts = {"width": fields.get(WIDTH, (0,))[0], "height": fields.get(HEIGHT, (0,))[0], "bits": fields.get(BITS, (1,))[0], "samples": fields.get(SAMPLES, (1,))[0], "compression": fields.get(COMPRESSION, (1,))[0], "predictor": fields.get(PREDICTOR, (1,))[0], "sample_format": fields.get(FORMAT, (UNSIGNED,))[0], "fill_order": fields.get(FILL_ORDER, (1,))[0]}
+            facts = {name: whole(value) for name, value in facts.items()} | {"byte_order": "II" if order == "<" else "MM"}
             try:
                 yield page, facts, decode_page(data, order, fields), None
             except (TiffError, struct.error, MemoryError) as e:
@@ -296,32 +314,41 @@ def read_pages(data: bytes) -> Iterator[tuple[int, dict, np.ndarray | None, str
 
 
 def feature(samples: np.ndarray) -> str:
-    """Size, mean in thousandths, and a 64-bit average hash of the page's first sample over an 8 x 8 grid."""
+    """Size, mean in thousandths, and a 64-bit average hash of the page's first sample over an 8 x 8 grid. Of floating-point samples those that aren't finite
+    count as 0."""
     flat = samples[:, :, 0]
+    kind = np.int64
+    if flat.dtype.kind == "f":
+        flat, kind = np.where(np.isfinite(flat), flat, 0).astype(float), float
+    elif flat.dtype.itemsize == 8:
+        kind = float  # sums of these leave 64 bits
     h, w = flat.shape
     rows, cols = np.arange(8) * h // 8, np.arange(8) * w // 8
-    sums = np.add.reduceat(np.add.reduceat(flat, rows, axis=0, dtype=np.int64), cols, axis=1)
+    sums = np.add.reduceat(np.add.reduceat(flat, rows, axis=0, dtype=kind), cols, axis=1)
     area = np.outer(np.maximum(np.diff(np.append(rows, h)), 1), np.maximum(np.diff(np.append(cols, w)), 1))
-    total = int(flat.sum(dtype=np.int64))
+    total = flat.sum(dtype=kind)
+    total = int(total) if kind is np.int64 else float(total)
     bits = sums * (h * w) > total * area
-    return f"{w}x{h}x{samples.shape[2]}:{total * 1000 // (h * w)}:{np.packbits(bits).tobytes().hex()}"
+    mean = total * 1000 // (h * w)
+    return f"{w}x{h}x{samples.shape[2]}:{int(mean) if np.isfinite(mean) else 0}:{np.packbits(bits).tobytes().hex()}"
 
 
-PAGE_SCHEMA = "page int, width long, height long, bits int, samples int, compression int, predictor int, pixels binary, feature string, error string"
+PAGE_SCHEMA = "page int, width long, height long, bits int, samples int, compression int, predictor int, sample_format int, fill_order int, byte_order string, pixels binary, feature string, error string"
 
 
 def decode_pages(media: DataFrame, key: str, column: str) -> DataFrame:
-    """One row for every page of the TIFF files in `column`: the key, then PAGE_SCHEMA; pixels are the samples row by row.
+    """One row for every page of the TIFF files in `column`: the key, then PAGE_SCHEMA; pixels are the samples row by row, the lowest byte of each first
+    whatever the file's byte_order, and sample_format tells what they are (1 unsigned, 2 signed, 3 floating point, 4 undefined).
 
     A null file gives no row. What can't be decoded, an empty file too, gives a row with `error` and null pixels: one for the page, or one
     for the rest of a file whose directories are broken; sizes that don't fit 31 bits are null. A page may have up to LARGEST bytes. Null
     keys and repeated rows give their pages like others; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     kind = media.schema[key].dataType.simpleString()
-    names = ["page", "width", "height", "bits", "samples", "compression", "predictor", "pixels", "feature", "error"]
+    names = ["page", "width", "height", "bits", "samples", "compression", "predictor", "sample_format", "fill_order", "byte_order", "pixels", "feature", "error"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.string(), pa.string()]
+        types = [pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.string(), pa.binary(), pa.string(), pa.string()]
         for batch in chunks(batches, "media_", 8_000_000):
             keys, rows = [], [[] for _ in names]
             for i, data in enumerate(batch.column(1)):
@@ -329,7 +356,7 @@ def decode_pages(media: DataFrame, key: str, column: str) -> DataFrame:
                     continue
                 for page, facts, samples, error in read_pages(data.as_py()):
                     keys.append(i)
-                    values = [page, *(facts.get(n) for n in names[1:7]), None if samples is None else samples.tobytes(), None if samples is None else feature(samples), error]
+                    values = [page, *(facts.get(n) for n in names[1:10]), None if samples is None else samples.tobytes(), None if samples is None else feature(samples), error]
                     for column_values, v in zip(rows, values, strict=True):
                         column_values.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *(pa.array(r, t) for r, t in zip(rows, types, strict=True))], ["key_", *names])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -136,11 +137,11 @@ def known(raw: bytes, start: list[int], end: list[int], path: str) -> tuple[np.n
         memory["place"], memory["used"], memory["bytes"] = {}, 0, 0
     place = memory["place"]
     keys = [raw[a:b] for a, b in zip(start, end, strict=True)]
-    found = [place.get(k, -1) for k in keys]
-    missing = [i for i, f in enumerate(found) if f < 0]
+    index = np.fromiter(map(place.get, keys, repeat(-1)), np.int64, len(keys))
+    missing = np.flatnonzero(index < 0).tolist()
     if missing:
-        encode_one = encoder(path).encode_ordinary
-        fresh = [encode_one(keys[i].decode("utf-8")) for i in missing]
+        texts = [keys[i] for i in missing]
+        fresh = list(map(encoder(path).encode_ordinary, map(bytes.decode, texts)))
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         used, n = memory["used"], len(place)
         total = int(sizes.sum())
@@ -148,15 +149,13 @@ def known(raw: bytes, start: list[int], end: list[int], path: str) -> tuple[np.n
             memory["ids"] = np.concatenate([memory["ids"], np.zeros_like(memory["ids"])])
         while len(memory["at"]) < n + len(fresh):
             memory["at"], memory["size"] = (np.concatenate([x, np.zeros_like(x)]) for x in (memory["at"], memory["size"]))
-        memory["ids"][used : used + total] = np.fromiter((x for ids in fresh for x in ids), np.uint32, total)
+        memory["ids"][used : used + total] = np.fromiter(chain.from_iterable(fresh), np.uint32, total)
         memory["at"][n : n + len(fresh)] = used + np.cumsum(sizes) - sizes
         memory["size"][n : n + len(fresh)] = sizes
         memory["used"] = used + total
-        memory["bytes"] += sum(len(keys[i]) for i in missing)
-        for k, i in enumerate(missing):
-            place[keys[i]] = n + k
-            found[i] = n + k
-    index = np.asarray(found, np.int64)
+        memory["bytes"] += sum(map(len, texts))
+        place.update(zip(texts, range(n, n + len(texts)), strict=True))
+        index[missing] = np.arange(n, n + len(texts))
     return memory["ids"], memory["at"][index], memory["size"][index]
 
 

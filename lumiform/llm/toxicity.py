@@ -1,8 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed words, word pairs and skip-pairs.
 
-Training sees a bounded sample of the labelled rows (SAMPLE) in one task, as a sorted stream with a copy of the sample for
-each epoch, so its memory is that of the coordinates (2**BITS), not that of the texts. The sparse weights that L1 leaves are
-bounded by the hashing space too and may be collected and broadcast. Scoring reads every whole text once, without a shuffle.
+Training sees a bounded sample of the labelled rows (SAMPLE). Its features are written once; every epoch is a job that streams
+them through one task in an order of its own and hands the learner's state, bounded by the hashing space (2**BITS), to the next.
+So memory is that of the coordinates, not that of the texts, and a lost executor costs an epoch. The sparse weights that L1
+leaves are bounded too and may be broadcast. Scoring reads every whole text once, without a shuffle.
 """
 
 from __future__ import annotations
@@ -49,8 +50,15 @@ def features(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Learner:
     """FTRL-proximal: per coordinate the shifted sum of gradients z and the sum of their squares n."""
 
-    def __init__(self) -> None:
+    def __init__(self, state: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
         self.z, self.n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
+        if state:
+            at, self.z[state[0]], self.n[state[0]] = state
+
+    def state(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The coordinates that were touched, and their z and n."""
+        at = np.flatnonzero(self.n)
+        return at, self.z[at], self.n[at]
 
     def weights(self, i: np.ndarray | slice = slice(None)) -> np.ndarray:
         zi = self.z[i]
@@ -81,27 +89,6 @@ def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fitted(stream: Iterator[tuple[np.ndarray, float, bool]]) -> tuple[np.ndarray, np.ndarray]:
-    """Non-zero coordinates and calibrated weights from (distinct coordinates, label, aside). What is aside comes last and calibrates the weights
-    that the rest gave; if it lacks a class, weights stay as learnt."""
-    learner, margins, labels, w = Learner(), [], [], None
-    for x, y, aside in stream:
-        x = np.append(x, BIAS)
-        if not aside:
-            learner.learn(x, y)
-            continue
-        w = learner.weights() if w is None else w
-        margins.append(w[x].sum())
-        labels.append(y)
-    w = learner.weights() if w is None else w
-    if 0 < sum(labels) < len(labels):
-        a, b = calibrate(np.array(margins), np.array(labels))
-        w *= a
-        w[BIAS] += b
-    kept = np.flatnonzero(w)
-    return kept, w[kept]
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -110,38 +97,68 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     """Weights learnt from the labelled documents outside the held-out third, whole texts of any length.
 
     Of repeated labels the largest counts, of repeated ids the least text, so repeated rows change nothing; null labels and ids are left out,
-    null texts count as empty. Rows are chosen and ordered by a hash of doc_id, ties by doc_id. Without labelled rows, or with empty tables,
+    null texts count as empty. Rows are chosen by a hash of doc_id, ties by doc_id, and come in another order every epoch. One in CALIBRATION is
+    kept aside and turns the margins into probabilities, unless it lacks a class. Without labelled rows, or with empty tables,
     there are no weights, and every score is 0.5. Other columns of both tables are ignored, whatever their names."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("y_"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y_").agg(F.min("text").alias("text"))
-    names = ["place", "doc_id", "aside", "y", "x"]
+    names = ["doc_id", "aside", "y", "x"]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            index, ptr = features(batch.column(4))
-            lists = pa.array([np.unique(index[a:b]) for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], names)
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stream() -> Iterator[tuple[np.ndarray, float, bool]]:
-            for batch in batches:
-                for aside, y, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
-                    yield x.values.to_numpy(), y, aside
-
-        kept, w = fitted(stream())
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(w, pa.float64())], ["i", "w"])
+            index, ptr = features(batch.column(3))
+            lists = pa.array([np.append(np.unique(index[a:b]), BIAS) for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names)
 
     aside = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(CALIBRATION)) == 0
-    keyed = rows.select(F.xxhash64("doc_id").alias("place"), F.col("doc_id").cast("long").alias("doc_id"), aside.alias("aside"), F.col("y_").cast("double").alias("y"), "text")
-    schema = "place long, doc_id long, aside boolean, y double, x array<int>"
-    examples = written(keyed.mapInArrow(extract, schema), "examples")  # features are made where the texts are
-    epochs = F.when(F.col("aside"), F.array(F.lit(EPOCHS))).otherwise(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))
-    ordered = examples.withColumn("epoch", F.explode(epochs)).repartition(1).sortWithinPartitions("epoch", "place", "doc_id").select(*names)
-    found = ordered.mapInArrow(fit, "i long, w double").toPandas()
+    keyed = rows.select(F.col("doc_id").cast("long").alias("doc_id"), aside.alias("aside"), F.col("y_").cast("double").alias("y"), "text")
+    examples = written(keyed.mapInArrow(extract, "doc_id long, aside boolean, y double, x array<int>"), "examples")  # features are made where the texts are
+    state = None
+    for epoch in range(EPOCHS):
+        state = one_epoch(examples.filter("NOT aside"), epoch, state)
+    w = Learner(state).weights()
+    margins, y = margins_of(examples.filter("aside"), w)
+    if 0 < y.sum() < len(y):
+        a, b = calibrate(margins, y)
+        w *= a
+        w[BIAS] += b
     dropped(examples)
-    return found["i"].to_numpy(np.int64), found["w"].to_numpy(float)
+    kept = np.flatnonzero(w)
+    return kept, w[kept]
+
+
+def one_epoch(examples: DataFrame, epoch: int, state: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The learner's state behind all examples (doc_id, y, x), which come in the order of a hash of epoch and doc_id."""
+    sent = examples.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(sent.value)
+        for batch in batches:
+            for y, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                learner.learn(x.values.to_numpy(), y)
+        at, z, n = learner.state()
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(z), pa.array(n)], ["i", "z", "n"])
+
+    ordered = examples.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(epoch), "doc_id"), "doc_id").select("y", "x")
+    found = ordered.mapInArrow(run, "i long, z double, n double").toArrow()  # at most 2**BITS rows
+    sent.unpersist()
+    return found["i"].to_numpy(), found["z"].to_numpy(), found["n"].to_numpy()
+
+
+def margins_of(examples: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Margin and label of each example (y, x); there are as many as the sample holds at most."""
+    sent = examples.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [float(sent.value[x.values.to_numpy()].sum()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.float64()), batch.column(0)], ["margin", "y"])
+
+    found = examples.select("y", "x").mapInArrow(run, "margin double, y double").toArrow()
+    order = np.lexsort((found["y"].to_numpy(), found["margin"].to_numpy()))  # sums don't depend on the order of tasks
+    return found["margin"].to_numpy()[order], found["y"].to_numpy()[order]
 
 
 def scores_of(values: pa.Array, dense: np.ndarray) -> np.ndarray:

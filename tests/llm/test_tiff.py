@@ -57,6 +57,27 @@ def test_samples_of_less_than_a_byte():
     assert page_of(four)[0].ravel().tolist() == [1, 3, 6]
 
 
+def test_fill_order_two_turns_bytes():
+    one = file_of(b"\x01\x80", entry(256, 8), entry(257, 2), entry(258, 1), entry(266, 2), entry(273, 8), entry(279, 2))
+    assert page_of(one)[0][:, :, 0].tolist() == [[1, 0, 0, 0, 0, 0, 0, 0], [0, 0, 0, 0, 0, 0, 0, 1]]
+    packed = bytes(int(f"{b:08b}"[::-1], 2) for b in b"\x01\xa5\x80")
+    two = file_of(packed, entry(256, 10), entry(257, 1), entry(258, 1), entry(259, 32773), entry(266, 2), entry(273, 8), entry(279, 3))
+    assert page_of(two)[0].ravel().tolist() == [1, 0, 1, 0, 0, 1, 0, 1, 1, 0]
+    assert page_of(file_of(b"\0", entry(256, 8), entry(257, 1), entry(266, 3), entry(273, 8), entry(279, 1)))[1] == "fill order 3 is unknown"
+
+
+def test_samples_come_lowest_byte_first_and_of_their_kind(spark):
+    little = file_of(struct.pack("<hhh", -1, 2, 300), entry(256, 3), entry(257, 1), entry(258, 16), entry(273, 8), entry(279, 6), entry(339, 2))
+    big = b"MM" + struct.pack(">HI", 42, 14) + struct.pack(">hhh", -1, 2, 300) + struct.pack(">H", 6)
+    big += b"".join(struct.pack(">HHII", t, 4, 1, v) for t, v in ((256, 3), (257, 1), (258, 16), (273, 8), (279, 6), (339, 2))) + bytes(4)
+    floats = file_of(struct.pack("<ff", 1.5, float("nan")), entry(256, 2), entry(257, 1), entry(258, 32), entry(273, 8), entry(279, 8), entry(339, 3))
+    rows = tiff.decode_pages(spark.createDataFrame([(1, bytearray(little)), (2, bytearray(big)), (3, bytearray(floats))], "doc_id long, media binary"), "doc_id", "media").orderBy("doc_id").collect()
+    assert bytes(rows[0].pixels) == bytes(rows[1].pixels) == struct.pack("<hhh", -1, 2, 300)
+    assert [(r.byte_order, r.sample_format, r.fill_order, r.bits) for r in rows] == [("II", 2, 1, 16), ("MM", 2, 1, 16), ("II", 3, 1, 32)]
+    assert rows[0].feature == rows[1].feature and rows[0].feature.startswith(f"3x1x1:{301 * 1000 // 3}:") and rows[2].feature.startswith("2x1x1:750:")
+    assert page_of(file_of(b"\0", entry(256, 1), entry(257, 1), entry(258, 8), entry(273, 8), entry(279, 1), entry(339, 3)))[1]
+
+
 def test_floating_point_predictor():
     values = np.array([[1.5, -2.25, 1e10], [0.0, 3.25, 7.0]], np.float32)
     rows = [np.diff(np.frombuffer(r.astype(">f4").tobytes(), np.uint8).reshape(3, 4).T.ravel(), prepend=np.uint8(0)).astype(np.uint8).tobytes() for r in values]
@@ -107,6 +128,18 @@ def test_damage_is_told(damage):
     assert [p[3] is not None for p in tiff.read_pages(damage)] == [True]
 
 
+def plain_feature(payload):
+    """The feature of a page of 64 columns, cell by cell."""
+    h, w = len(payload) // 64, 64
+    mean = sum(payload) / (h * w)
+    bits = ""
+    for i in range(8):
+        for j in range(8):
+            cell = [payload[y * 64 + x] for y in range(i * h // 8, max((i + 1) * h // 8, i * h // 8 + 1)) for x in range(j * 8, j * 8 + 8)]
+            bits += "1" if sum(cell) * h * w > sum(payload) * len(cell) else "0"
+    return f"64x{h}x1:{int(mean * 1000 + 1e-9)}:{int(bits, 2):016x}"
+
+
 def test_query(spark, sf):
     docs = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     rows = tiff.op1_tiff(spark, sf).collect()
@@ -115,6 +148,8 @@ def test_query(spark, sf):
         raw = (docs[r.doc_id] or "").encode()
         payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        media = tiff.stored_as(payload)
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), plain_feature(payload))
 
 
 def test_forms_do_not_depend_on_length():
