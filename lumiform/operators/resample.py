@@ -100,17 +100,42 @@ def sign_weights(n_permutations: int, seed: int) -> Weights:
     return weights
 
 
+def and_plain(weights: Weights, count: int) -> Weights:
+    """weights, and as set number `count` the values as they are, each once."""
+
+    def every(n: int, block: int, m: int) -> Iterator[tuple[int, np.ndarray]]:
+        yield from weights(n, block, m)
+        yield count, np.ones((1, m))
+
+    return every
+
+
+def placed(values: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """values with n, the rows of their keys, and block."""
+    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    rows = values.join(F.broadcast(sizes), list(keys)) if keys else values.join(F.broadcast(sizes))
+    return rows.withColumn("block", F.floor(F.col("idx") / BLOCK).cast("long"))
+
+
+def merged(sums: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, b, n, s, w: partial sums of `block_sums` added up, as many rows a replicate as there were parts."""
+    added = lambda c: F.aggregate(F.slice(c, 2, F.lit(1 << 30)), F.element_at(c, 1), lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q)).alias(c)
+    return sums.groupBy(*keys, "n", "b").agg(F.array_agg("s").alias("s"), F.array_agg("w").alias("w")).select(*keys, "n", "b", added("s"), added("w"))
+
+
 def weighted_sums(values: DataFrame, count: int, weights: Weights, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, b (0 .. count - 1), n, s and w: for each of `count` sets of weights the weighted sums of v's elements and of the weights of those that
     aren't null. values: keys, idx (gapless from 0 within the keys), v (array of double, of one length). Keys are few: models, arms, seeds.
 
     A task holds count x (v's length) sums for each of its keys, and gives as many rows of them, however many rows it read."""
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    rows = values.join(F.broadcast(sizes), list(keys)) if keys else values.join(F.broadcast(sizes))
-    rows = rows.withColumn("block", F.floor(F.col("idx") / BLOCK).cast("long"))
-    where = [F.col(k) for k in (*keys, "block")]
+    return merged(block_sums(placed(values, keys), count, weights, keys, False), keys)
+
+
+def block_sums(rows: DataFrame, count: int, weights: Weights, keys: tuple[str, ...] = (), by_block: bool = True) -> DataFrame:
+    """keys, n, b, s, w as in `weighted_sums`, in parts: one a task and key, or with by_block one a block, and its number in `block` (else -1). rows: `placed`."""
+    source, where = rows, [F.col(k) for k in (*keys, "block")]
     rows = rows.repartition(*where).sortWithinPartitions(*where, "idx").select(*keys, "n", "block", "v")
-    kinds = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in keys)
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
         """(keys..., n, block) and the matrix of every block; the rows of one come together."""
@@ -134,7 +159,7 @@ def weighted_sums(values: DataFrame, count: int, weights: Weights, keys: tuple[s
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         for (*key, n, block), x in blocks(batches):
-            s, w = totals.setdefault((*key, n), (np.zeros((count, x.shape[1])), np.zeros((count, x.shape[1]))))
+            s, w = totals.setdefault((*key, n, block if by_block else -1), (np.zeros((count, x.shape[1])), np.zeros((count, x.shape[1]))))
             there = ~np.isnan(x)
             whole = there.all()
             x = x if whole else np.where(there, x, 0.0)
@@ -148,16 +173,12 @@ def weighted_sums(values: DataFrame, count: int, weights: Weights, keys: tuple[s
                 m = part.stop - a
                 ends = pa.array(np.arange(m + 1) * s.shape[1], pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(t[part].ravel())) for t in (s, w)]
-                yield pa.RecordBatch.from_arrays([*(pa.array([k] * m, values_types[i]) for i, k in enumerate(key)), pa.array(np.arange(a, part.stop), pa.int32()), *lists], [*keys, "n", "b", "s", "w"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([k] * m, values_types[i]) for i, k in enumerate(key)), pa.array(np.arange(a, part.stop), pa.int32()), *lists], [*keys, "n", "block", "b", "s", "w"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    values_types = [*(to_arrow_type(values.schema[k].dataType) for k in keys), pa.int64()]
-    parts = rows.mapInArrow(add, f"{kinds + ', ' if kinds else ''}n long, b int, s array<double>, w array<double>")
-    together = lambda c: F.array_agg(c)
-    added = lambda c: F.aggregate(F.slice(c, 2, F.lit(1 << 30)), F.element_at(c, 1), lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q)).alias(c)
-    # as many rows a replicate as there were tasks
-    return parts.groupBy(*keys, "n", "b").agg(together("s").alias("s"), together("w").alias("w")).select(*keys, "n", "b", added("s"), added("w"))
+    values_types = [*(to_arrow_type(source.schema[k].dataType) for k in keys), pa.int64(), pa.int64()]
+    return rows.mapInArrow(add, f"{kinds + ', ' if kinds else ''}n long, block long, b int, s array<double>, w array<double>")
 
 
 def replicate_means(values: DataFrame, columns: list[str], n_boot: int, seed: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -179,10 +200,17 @@ def replicate_d(diffs: DataFrame, n_boot: int, seed: int = 0, keys: tuple[str, .
     x = F.transform("p", lambda p: p["diff"])
     sums = weighted_sums(wide.select(*keys, "idx", F.concat(x, F.transform(x, lambda y: y * y)).alias("v")), n_boot, draw_weights(n_boot, seed), keys)
     half = (F.size("s") / 2).cast("int")
-    mean, square = F.slice("s", F.lit(1), half), F.slice("s", half + 1, half)
-    moments = sums.select(*keys, "b", F.arrays_zip(mean.alias("s"), square.alias("q"), F.slice("w", F.lit(1), half).alias("n")).alias("m"))
-    one = lambda m: F.abs(m["s"] / m["n"]) / (F.sqrt(F.greatest(m["q"] / m["n"] - (m["s"] / m["n"]) * (m["s"] / m["n"]), F.lit(0.0))) + 1e-12)
-    return moments.select(*keys, "b", F.array_max(F.transform("m", one)).alias("d"))
+    return sums.select(*keys, "b", largest_effect(F.slice("s", F.lit(1), half), F.slice("s", half + 1, half), F.slice("w", F.lit(1), half)).alias("d"))
+
+
+def largest_effect(sums: Column, squares: Column, weights: Column) -> Column:
+    """The largest absolute paired effect of pairs, from arrays of their sums, sums of squares and weights."""
+
+    def one(m: Column) -> Column:
+        mean = m["s"] / m["n"]
+        return F.abs(mean) / (F.sqrt(F.greatest(m["q"] / m["n"] - mean * mean, F.lit(0.0))) + 1e-12)
+
+    return F.array_max(F.transform(F.arrays_zip(sums.alias("s"), squares.alias("q"), weights.alias("n")), one))
 
 
 def p_above(replicates: DataFrame, value: str, null: float, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -232,16 +260,28 @@ def sign_test_p(wins: int, losses: int) -> float | None:
 NI_MARGIN = -0.03
 
 
-def select_winner(rows: DataFrame, rule: str = "median") -> DataFrame:
-    """The sweep rows with survives, tied, winner. A row survives if its MRR interval's lower bound is above NI_MARGIN. The leader has the least d; rows tie
-    with it whose intervals overlap its on both statistics; the rule picks the lower median (weights) or least (ranks) of their values.
-    rows: value, d, d_lo, d_hi, mrr_lo, mrr_hi. A sweep is a handful of rows; without survivors nothing wins."""
+def select_winner(rows: DataFrame, rule: str = "median", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The sweep rows with survives, tied, winner, sweep by sweep (keys). A row survives if its MRR interval's lower bound is above NI_MARGIN. The leader has the least
+    d; rows tie with it whose intervals overlap its on both statistics; the rule picks the lower median (weights) or least (ranks) of their values.
+    rows: keys, value, d, d_lo, d_hi, mrr_lo, mrr_hi. A sweep is a handful of rows; without survivors nothing wins."""
     rows = rows.withColumn("survives", F.col("mrr_lo") > NI_MARGIN)
-    lead = rows.filter("survives").orderBy("d", "value").limit(1).select(*[F.col(c).alias(f"l_{c}") for c in ("d_lo", "d_hi", "mrr_lo", "mrr_hi")])
-    joined = rows.join(F.broadcast(lead), F.lit(True), "left")
-    overlap = (F.col("d_lo") <= F.col("l_d_hi")) & (F.col("l_d_lo") <= F.col("d_hi")) & (F.col("mrr_lo") <= F.col("l_mrr_hi")) & (F.col("l_mrr_lo") <= F.col("mrr_hi"))
-    tied = joined.withColumn("tied", F.coalesce(F.col("survives") & overlap, F.lit(False)))
-    n = F.count_if("tied").over(Window.partitionBy())
-    place = F.row_number().over(Window.partitionBy("tied").orderBy("value"))
+    bounds = ("d_lo", "d_hi", "mrr_lo", "mrr_hi")
+    best = F.min(F.when(F.col("survives"), F.struct("d", "value", *bounds))).over(Window.partitionBy(*keys))
+    led = rows.withColumn("lead_", best)
+    overlap = (F.col("d_lo") <= F.col("lead_.d_hi")) & (F.col("lead_.d_lo") <= F.col("d_hi")) & (F.col("mrr_lo") <= F.col("lead_.mrr_hi")) & (F.col("lead_.mrr_lo") <= F.col("mrr_hi"))
+    tied = led.withColumn("tied", F.coalesce(F.col("survives") & overlap, F.lit(False)))
+    n = F.count_if("tied").over(Window.partitionBy(*keys))
+    place = F.row_number().over(Window.partitionBy(*keys, "tied").orderBy("value"))
     wanted: Column = F.floor((n + 1) / 2) if rule == "median" else F.lit(1)
-    return tied.withColumn("winner", F.col("tied") & (place == wanted)).drop("l_d_lo", "l_d_hi", "l_mrr_lo", "l_mrr_hi")
+    return tied.withColumn("winner", F.col("tied") & (place == wanted)).drop("lead_")
+
+
+def weight_frame(selected: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, weight, max_abs_d, ci_lo, ci_hi, tied, winner of `select_winner`'s rows."""
+    return selected.select(*keys, F.col("value").alias("weight"), F.col("d").alias("max_abs_d"), F.col("d_lo").alias("ci_lo"), F.col("d_hi").alias("ci_hi"), "tied", "winner")
+
+
+def selection_counts(selected: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row: the candidates of all sweeps that pass the guardrail, all candidates, and the sweeps whose winner a tie-break chose."""
+    ties = selected.groupBy(*keys).agg(F.count_if("survives").alias("p"), F.count(F.lit(1)).alias("c"), (F.count_if("tied") > 1).alias("t"))
+    return ties.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("passed"), F.coalesce(F.sum("c"), F.lit(0)).alias("candidates"), F.count_if("t").alias("tie_broken"))

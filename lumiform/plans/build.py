@@ -28,7 +28,8 @@ def negatives(records: DataFrame, config: Config) -> DataFrame:
     """Negatives of every record's question among the records of the train split."""
     docs = records.filter("split = 'train'").select("id", "title", F.concat_ws(" ", "title", "body").alias("doc"))
     queries = records.select(F.col("id").alias("query_id"), F.col("question").alias("query"), "title")
-    return bm25.hard_negatives(bm25.scores(docs, queries), docs, queries.select("query_id", "title"), config.negatives, seed=config.negatives_seed)
+    best = bm25.top(bm25.build(docs), queries, config.negatives * bm25.MULTIPLIER)
+    return bm25.hard_negatives(best, docs, queries.select("query_id", "title"), config.negatives, seed=config.negatives_seed)
 
 
 def problems(records: DataFrame, mined: DataFrame, config: Config) -> DataFrame:

@@ -106,11 +106,6 @@ def truncate_body(spark, d):
     return recs(spark, d).select("id", t.alias("t")).select("id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
-@query()
-def refit_body(spark, d):
-    return recs(spark, d).select("id", B.refit(F.col("question"), F.col("pairs"), F.col("body")).alias("t")).select("id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
-
-
 @query(f"WITH {REN}, o AS (SELECT format, fpos, {_count('question')} + {_count('rendered')} + 3 AS n FROM ren) SELECT format, count(*) AS measured, count(*) FILTER (n > 512) AS over, coalesce(round(median(n - 512) FILTER (n > 512), 6), 0) AS median_excess, coalesce(max(n - 512) FILTER (n > 512), 0) AS max_excess, round(avg((n > 512)::INT), 6) AS share FROM o GROUP BY format, fpos")
 def overflow_scan(spark, d):
     n = B.word_count(F.col("question")) + B.word_count(F.col("rendered")) + 3
@@ -285,13 +280,13 @@ def _docs(spark, d):
     return recs(spark, d).select("id", "title", F.concat("title", F.lit(" "), pairs, F.lit(" "), "body").alias("doc"))
 
 
-def _scored(spark, d):
-    return bm25.scores(_docs(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+def _best(spark, d, k):
+    return bm25.top(bm25.build(_docs(spark, d)), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), k)
 
 
 @query(f"WITH {_BM} SELECT query_id, rank, id, score FROM rk WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return bm25.top(_scored(spark, d), 10).select("query_id", "rank", "id", "score")
+    return _best(spark, d, 10)
 
 
 K, LIST, TRAINING = 25, 15, 7
@@ -305,7 +300,7 @@ neg AS (SELECT query_id, rank, neg_id, false AS filled FROM mined UNION ALL SELE
 
 def _negatives(spark, d, k=K):
     own = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"), F.lit("#"), (F.col("item_id") % 7).cast("string")).alias("title"))
-    return bm25.hard_negatives(_scored(spark, d), _docs(spark, d), own, k), own
+    return bm25.hard_negatives(_best(spark, d, k * bm25.MULTIPLIER), _docs(spark, d), own, k), own
 
 
 @query(f"WITH {_NEG} SELECT query_id, rank, neg_id, filled FROM neg")
@@ -353,6 +348,30 @@ def train_lists(spark, d, k=K, size=TRAINING):
     return first.join(whole, "query_id", "left_semi").join(recs(spark, d).select(F.col("id").alias("neg_id"), "title"), "neg_id").select("query_id", "rank", "neg_id", "title")
 
 
+_PROSE = (
+    _NEG.replace("unnest(regexp_extract_all(lower(title || ' ' || array_to_string(list_transform(pairs, lambda p: p.key || ' ' || p.value), ' ') || ' ' || body)", "unnest(regexp_extract_all(lower(title || ' ' || body)")
+    .replace("SELECT item_id, unnest(regexp_extract_all(lower(text)", "SELECT id AS item_id, unnest(regexp_extract_all(lower(question)").replace("AS t FROM benchmark)", "AS t FROM rec)")
+    .replace("SELECT item_id AS query_id, 'src' || (item_id % 20) || '#' || (item_id % 7) AS title FROM benchmark", "SELECT id AS query_id, title FROM rec")
+    .replace(f"rank <= {K * 4} AND", "rank <= 90 AND").replace(f"rank <= {K}", "rank <= 15").replace(f"have < {K}", "have < 15").replace(f"have + r <= {K}", "have + r <= 15").replace(h("'5'", "title"), h("'42'", "title"))
+)
+
+
+def _prose(spark, d):
+    r = recs(spark, d).select("id", "title", "question", "body")
+    return r, bm25.prose_negatives(r)
+
+
+@query(f"WITH {_PROSE} SELECT query_id, rank, neg_id, filled FROM neg")
+def prose_negatives(spark, d):
+    return _prose(spark, d)[1]
+
+
+@query(f"WITH {_PROSE}, l AS (SELECT query_id, list(r.body ORDER BY rank) AS texts, count(*) AS n FROM neg JOIN rec r ON r.id = neg_id GROUP BY 1) SELECT id, title, question, md5(body) AS positive, n AS negatives, md5(array_to_string(texts, chr(10))) AS digest FROM rec JOIN l ON query_id = id")
+def build_prose_eval(spark, d):
+    rows = bm25.prose_eval(*_prose(spark, d))
+    return rows.select("id", "title", "question", F.md5("positive.text").alias("positive"), F.size("negatives").alias("negatives"), F.md5(F.array_join(F.transform("negatives", lambda x: x["text"]), "\n")).alias("digest"))
+
+
 # -- score axis
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from lumiform.plans.base import HELD, PAIRS, REN, STUDY, TWO, gold_scores, gold_
 from lumiform.plans.queries import query
 from lumiform.sources import readers
 from lumiform.sources.readers import table
+from lumiform.sources.scratch import shared_folder
 from lumiform.streaming.ingest import available_counts
 
 _MIXED = f"{h(chr(39) + '3' + chr(39), chr(39) + 'mixed' + chr(39), 'query_id', 'cand')} % 5"
@@ -248,22 +248,28 @@ def manifest_digests(spark, d):
     return out
 
 
-@query("SELECT * FROM (VALUES (0, 'parse', 7, 'x'), (1, 'split', 99, 'new'), (2, 'validate', 1, 'v')) t(ordinal, name, records, digest)")
+@query("""WITH o AS (SELECT n_nationkey AS ordinal, n_name AS name, n_regionkey AS records, 'old' AS digest FROM nation WHERE n_regionkey < 3), f AS (SELECT n_name AS name, count(c_custkey) AS records, md5(n_name) AS digest FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 GROUP BY n_name)
+SELECT ordinal, name, coalesce(f.records, o.records) AS records, coalesce(f.digest, o.digest) AS digest FROM o LEFT JOIN f USING (name) UNION ALL SELECT (SELECT max(ordinal) FROM o) + row_number() OVER (ORDER BY name), name, records, digest FROM f WHERE name NOT IN (SELECT name FROM o)""")
 def manifest_upsert(spark, d):
-    old = spark.createDataFrame([(0, "parse", 7, "x"), (1, "split", 5, "old")], "ordinal int, name string, records long, digest string")
-    return readers.upsert_stage(old, spark.createDataFrame([("split", 99, "new"), ("validate", 1, "v")], "name string, records long, digest string"))
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
+    old = nation.filter("n_regionkey < 3").select(F.col("n_nationkey").cast("int").alias("ordinal"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("records"), F.lit("old").alias("digest"))
+    made = nation.filter("n_nationkey % 2 = 0").join(customer, nation["n_nationkey"] == customer["c_nationkey"], "left").groupBy(F.col("n_name").alias("name")).agg(F.count("c_custkey").alias("records")).withColumn("digest", F.md5("name"))
+    return readers.upsert_stage(old, made)
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def streaming_ingest(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumiform-")  # an own folder only where none is named, as in tests
-    folder = f"{base}/lumiform/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/lumiform/stream-{uuid.uuid4().hex}"
     return available_counts(spark, d, "events", f"{folder}/checkpoint", f"{folder}/out").withColumn("total", F.round("total", 4))
 
 
-@query("SELECT count(*) AS scanned, count(*) FILTER (contains(html, '<article>')) AS matched FROM pages")
+@query(r"""WITH b AS (SELECT html, regexp_matches(coalesce(html, ''), '(?i)<article\b') AS hit, length(regexp_extract_all(coalesce(html, ''), '(?i)<p\b[^>]*>')) AS ps FROM pages) SELECT count(*) AS scanned, count(*) FILTER (html IS NULL OR html = '') AS empty, count(*) FILTER (hit) AS matched, sum(ps)::BIGINT AS paragraphs FROM b""")
 def scan_stats(spark, d):
-    return table(spark, d, "pages").agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.contains("html", F.lit("<article>"))).alias("matched"))
+    html = F.coalesce("html", F.lit(""))
+    return table(spark, d, "pages").agg(
+        F.count(F.lit(1)).alias("scanned"), F.count_if(html == "").alias("empty"), F.count_if(F.regexp_like(html, F.lit(r"(?i)<article\b"))).alias("matched"),
+        F.sum(F.size(F.regexp_extract_all(html, F.lit(r"(?i)<p\b[^>]*>"), F.lit(0)))).alias("paragraphs"),
+    )
 
 
 # -- scorers

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumiform.functions.render import FORMATS
-from lumiform.operators import answer, resample, study, training
-from lumiform.plans.base import STUDY, led, led_sql, tens
+from lumiform.operators import answer, axes, resample, seeds, study, training
+from lumiform.plans.base import STUDY, led, led_sql, tens, tensor_sql
 from lumiform.plans.queries import _CI, N_BOOT, N_PERMUTATIONS, _chance, _keys, also, query
 from lumiform.plans.study_queries import _ML, _POL, _policies
+from lumiform.sources.readers import table
 
 #: An arm trained on each format alone, for each model and seed.
 SPECIALISTS = [(m, f"only_{f}", s, 24 + 2 * i + k, 1) for m, k in (("m1", 0), ("m2", 12)) for i, f in enumerate(FORMATS) for s in (0, 1)]
@@ -142,3 +143,115 @@ def guardrail_table(spark, d):
 
 for _name in ("contrast_table", "agreement_table", "guardrail_table"):
     also(f"{_name}_full", _name)
+
+
+# -- both axes from one state
+
+_BASES = [("m1", "untrained", 0, 60, 4), ("m2", "untrained", 0, 72, 4)]
+#: The scores of the queries that are scored again, and of the control's.
+_AGAIN = [("m1", "untrained", 9, 61, 4), ("m2", "untrained", 9, 73, 4)]
+_PAIR_NAMES = [f"{x}-{y}" for i, x in enumerate(FORMATS) for y in FORMATS[i + 1 :]]
+_COLUMNS = ", ".join(f"max(g) FILTER (pair = '{p}') AS c{i}" for i, p in enumerate(_PAIR_NAMES))
+_MOMENTS = ", ".join(f"sum(t * c{i}) / sum(t) AS m{i}, sum(t * c{i} * c{i}) / sum(t) AS q{i}" for i in range(len(_PAIR_NAMES)))
+_LARGEST = "greatest(" + ", ".join(f"abs(m{i}) / (sqrt(greatest(q{i} - m{i} * m{i}, 0)) + 1e-12)" for i in range(len(_PAIR_NAMES))) + ")"
+
+
+def _axes_sql(tensor: str, tag: str) -> str:
+    """CTEs that end in st{tag}: model, b (-1: the sample itself), d, i of a tensor (model, query_id, cand, format, fpos, score). For up to resample.BLOCK queries."""
+    return f"""gd{tag} AS (SELECT model, query_id, format, score AS g FROM {tensor} WHERE cand = 0),
+ld{tag} AS (SELECT model, query_id, count(*) FILTER (above = 0) AS k FROM (SELECT t.model, t.query_id, t.format, count(*) FILTER (t.cand > 0 AND t.score > g) AS above FROM {tensor} t JOIN gd{tag} USING (model, query_id, format) GROUP BY ALL) GROUP BY ALL),
+pd{tag} AS (SELECT model, query_id, {_COLUMNS} FROM (SELECT a.model, a.query_id, a.format || '-' || b.format AS pair, a.score - b.score AS g FROM {tensor} a JOIN {tensor} b ON a.cand = 0 AND b.cand = 0 AND a.model = b.model AND a.query_id = b.query_id AND a.fpos < b.fpos) GROUP BY ALL),
+vl{tag} AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY query_id) - 1 AS idx FROM pd{tag} JOIN ld{tag} USING (model, query_id)),
+ws{tag} AS (SELECT b, idx, t FROM dw UNION ALL SELECT -1, idx, 1 FROM (SELECT DISTINCT idx FROM vl{tag})),
+mo{tag} AS (SELECT model, b, {_MOMENTS}, sum(t) FILTER (k > 0) AS a, sum(t) FILTER (k > 0 AND k < 5) AS x FROM ws{tag} JOIN vl{tag} USING (idx) GROUP BY ALL),
+st{tag} AS (SELECT model, b, {_LARGEST} AS d, coalesce(x, 0) * 100.0::DOUBLE / nullif(a, 0) AS i FROM mo{tag})"""
+
+
+_DW = f"nq AS (SELECT count(*) AS n FROM documents), iq AS (SELECT range AS idx, n FROM nq, range(4096) WHERE range < n), kb AS ({_keys('draw', 'b', N_BOOT)}), dq AS (SELECT b, n, {_chance('idx')} FROM iq CROSS JOIN kb), dw AS (SELECT b, (y % n)::BIGINT AS idx, count(*) AS t FROM dq GROUP BY ALL)"
+_TWO_TENSORS = f"""WITH {tensor_sql(_BASES + _AGAIN)}, old AS (SELECT model, query_id, cand, format, fpos, score FROM tensor WHERE seed = 0), again AS (SELECT model, query_id, cand, format, fpos, score FROM tensor WHERE seed = 9),
+new AS (SELECT * FROM old WHERE query_id % 10 <> 0 UNION ALL SELECT * FROM again WHERE query_id % 10 = 0), {_DW}"""
+
+
+def _ends(c: str, name: str) -> str:
+    return f"round(quantile_cont({c}, 0.025) FILTER (b >= 0), 6) AS {name}_lo, round(quantile_cont({c}, 0.975) FILTER (b >= 0), 6) AS {name}_hi"
+
+
+@query(f"""{_TWO_TENSORS}, {_axes_sql('old', '0')}, {_axes_sql('new', '1')}, ct AS (SELECT model, max(abs(a.score - o.score)) AS diff FROM again a JOIN old o USING (model, query_id, cand, format) WHERE query_id % 25 = 1 GROUP BY 1),
+bf AS (SELECT model, max(d) FILTER (b = -1) AS d, max(i) FILTER (b = -1) AS i FROM st0 GROUP BY 1), af AS (SELECT model, round(max(d) FILTER (b = -1), 6) AS max_abs_d_rescored, {_ends('d', 'd')}, round(max(i) FILTER (b = -1), 6) AS inconsistency_pct_rescored, {_ends('i', 'inconsistency')} FROM st1 GROUP BY 1)
+SELECT model, (SELECT count(*) FROM documents WHERE doc_id % 10 = 0) AS rescored, round(bf.d, 6) AS max_abs_d, round(bf.i, 6) AS inconsistency_pct, max_abs_d_rescored, d_lo, d_hi, inconsistency_pct_rescored, inconsistency_lo, inconsistency_hi, round(diff, 6) AS control_max_abs_diff FROM bf JOIN af USING (model) JOIN ct USING (model)""")
+def rescored_table(spark, d):
+    again = tens(spark, d, _AGAIN)
+    return axes.rescored_table(tens(spark, d, _BASES), again.filter("query_id % 10 = 0"), again.filter("query_id % 25 = 1"), N_BOOT)
+
+
+@query(f"""WITH {tensor_sql(_BASES)}, {_DW}, {_axes_sql('tensor', '0')}, pv AS (SELECT model, max(d) FILTER (b = -1) AS d, (1 + count(*) FILTER (b >= 0 AND d <= 0.5)) / (count(*) FILTER (b >= 0) + 1.0::DOUBLE) AS p1, max(i) FILTER (b = -1) AS i, (1 + count(*) FILTER (b >= 0 AND i <= 0)) / (count(*) FILTER (b >= 0 AND i IS NOT NULL) + 1.0::DOUBLE) AS p2 FROM st0 GROUP BY 1),
+s1 AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p1, model) + 1) * p1 AS t1, (count(*) OVER () - row_number() OVER (ORDER BY p2, model) + 1) * p2 AS t2 FROM pv), s2 AS (SELECT *, least(1.0::DOUBLE, max(t1) OVER (ORDER BY p1, model ROWS UNBOUNDED PRECEDING)) AS h1, least(1.0::DOUBLE, max(t2) OVER (ORDER BY p2, model ROWS UNBOUNDED PRECEDING)) AS h2 FROM s1)
+SELECT model, round(d, 6) AS max_abs_d, round(p1, 6) AS p_above_threshold, round(i, 6) AS inconsistency_pct, round(p2, 6) AS p_above_zero, round(h1, 6) AS holm_threshold, h1 < 0.05 AS above_threshold, round(h2, 6) AS holm_zero, h2 < 0.05 AS inconsistent FROM s2""")
+def family_table(spark, d):
+    t = tens(spark, d, _BASES)
+    return axes.family_table(axes.statistics(axes.state_of(axes.rows_of(t, axes.indexed(t)), N_BOOT)), N_BOOT)
+
+
+# -- seeds
+
+_KEYS = "model, arm, seed"
+_LEVEL = f"""WITH {led_sql(STUDY)}, pd AS (SELECT a.model, a.arm, a.seed, a.format || '-' || b.format AS pair, avg(a.score - b.score) / (stddev_pop(a.score - b.score) + 1e-12) AS d FROM tensor a JOIN tensor b ON a.cand = 0 AND b.cand = 0 AND a.model = b.model AND a.arm = b.arm AND a.seed = b.seed AND a.query_id = b.query_id AND a.fpos < b.fpos GROUP BY ALL),
+ds AS (SELECT {_KEYS}, max(abs(d)) AS score FROM pd GROUP BY ALL), kq AS (SELECT {_KEYS}, query_id, count(*) FILTER (lead) AS k, count(*) AS n FROM led GROUP BY ALL), an AS (SELECT {_KEYS}, count(*) FILTER (k > 0 AND k < n) * 100.0::DOUBLE / nullif(count(*) FILTER (k > 0), 0) AS answer FROM kq GROUP BY ALL),
+mr AS (SELECT {_KEYS}, avg(m) AS mrr FROM (SELECT {_KEYS}, format, avg(rr) AS m FROM led GROUP BY ALL) GROUP BY ALL), lv AS (SELECT * FROM ds JOIN an USING ({_KEYS}) JOIN mr USING ({_KEYS})),
+sl AS (SELECT model, seed, {', '.join(f"max({c}) FILTER (arm = '{a}') AS {c}_{n}" for c in seeds.STATISTICS for a, n in (('control', 'control'), ('winner', 'chosen')))} FROM lv WHERE arm IN ('control', 'winner') GROUP BY ALL)"""
+
+
+def _levels(spark, d):
+    return seeds.seed_levels(seeds.levels_of(tens(spark, d, STUDY)), "control", "winner")
+
+
+@query(f"""{_LEVEL} SELECT model, seed, {', '.join(f'round({c}_{n}, 6) AS {c}_{n}' for c in seeds.STATISTICS for n in ('control', 'chosen'))}, {', '.join(f'round({c}_chosen - {c}_control, 6) AS {c}_delta, round(100 * ({c}_chosen - {c}_control) / nullif({c}_control, 0), 6) AS {c}_pct' for c in ('score', 'answer'))} FROM sl""")
+def seed_levels(spark, d):
+    return _levels(spark, d)
+
+
+def _model_pairs(spark):
+    return spark.createDataFrame([("m1", "m2")], "base string, variant string")
+
+
+_SEED_PAIRS = "sp AS (SELECT b.model AS base, seed, b.score_chosen AS x, v.score_chosen AS y FROM sl b JOIN sl v USING (seed) WHERE b.model = 'm1' AND v.model = 'm2')"
+
+
+@query(f"{_LEVEL}, {_SEED_PAIRS} SELECT base, seed, round(x, 6) AS base_value, round(y, 6) AS variant_value, round(y - x, 6) AS difference FROM sp")
+def seed_pairs(spark, d):
+    return seeds.seed_pairs(_levels(spark, d), "score_chosen", _model_pairs(spark))
+
+
+@query(f"""{_LEVEL}, {_SEED_PAIRS}, a AS (SELECT base, avg(x) AS bm, stddev_samp(x) AS bs, avg(y) AS vm, stddev_samp(y) AS vs, count(*) FILTER (y < x) AS lower, count(*) FILTER (y <> x) AS untied FROM sp GROUP BY 1), w AS (SELECT base, sum(factorial(untied::INT)::DOUBLE / (factorial(k::INT)::DOUBLE * factorial((untied - k)::INT)::DOUBLE)) AS ways FROM a, range(21) r(k) WHERE k <= least(lower, untied - lower) GROUP BY 1)
+SELECT base, round(bm, 6) AS base_mean, round(bs, 6) AS base_sd, round(vm, 6) AS variant_mean, round(vs, 6) AS variant_sd, lower AS variant_lower, untied, CASE WHEN untied > 0 THEN round(least(1.0::DOUBLE, 2 * ways / pow(2, untied)), 6) END AS sign_p FROM a JOIN w USING (base)""")
+def paired_table(spark, d):
+    return seeds.paired_table(seeds.seed_pairs(_levels(spark, d), "score_chosen", _model_pairs(spark)))
+
+
+@query(f"{_LEVEL} SELECT model, round(max(score_chosen - score_control) FILTER (seed = 0), 6) AS seed_0, round(max(score_chosen - score_control) FILTER (seed = 1), 6) AS seed_1 FROM sl GROUP BY 1")
+def seed_fold_matrix(spark, d):
+    return seeds.seed_matrix(_levels(spark, d), "score_delta", [0, 1])
+
+
+# -- sweeps of several models
+
+_SWEEPS = """WITH r AS (SELECT l_returnflag AS model, round(l_discount, 2) AS value, round(avg(l_extendedprice) / 40000, 9) AS d, round(-avg(l_tax), 9) AS m FROM lineitem GROUP BY ALL), c AS (SELECT model, value, d, d - 0.01 AS d_lo, d + 0.01 AS d_hi, m + 0.0102 AS mrr_lo, m + 0.03 AS mrr_hi, m + 0.0102 > -0.03 AS survives FROM r),
+l AS (SELECT * FROM c WHERE survives QUALIFY row_number() OVER (PARTITION BY model ORDER BY d, value) = 1),
+t AS (SELECT c.*, coalesce(c.survives AND c.d_lo <= l.d_hi AND l.d_lo <= c.d_hi AND c.mrr_lo <= l.mrr_hi AND l.mrr_lo <= c.mrr_hi, false) AS tied FROM c LEFT JOIN l USING (model)),
+w AS (SELECT *, tied AND row_number() OVER (PARTITION BY model, tied ORDER BY value) = floor(((count(*) FILTER (tied) OVER (PARTITION BY model)) + 1) / 2) AS winner FROM t)"""
+
+
+def _selected(spark, d):
+    r = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("model"), F.round("l_discount", 2).alias("value")).agg(F.round(F.avg("l_extendedprice") / 40000, 9).alias("d"), F.round(-F.avg("l_tax"), 9).alias("m"))
+    rows = r.select("model", "value", "d", (F.col("d") - 0.01).alias("d_lo"), (F.col("d") + 0.01).alias("d_hi"), (F.col("m") + 0.0102).alias("mrr_lo"), (F.col("m") + 0.03).alias("mrr_hi"))
+    return resample.select_winner(rows, keys=("model",))
+
+
+@query(f"{_SWEEPS} SELECT model, round(value, 6) AS weight, round(d, 6) AS max_abs_d, round(d_lo, 6) AS ci_lo, round(d_hi, 6) AS ci_hi, tied, winner FROM w")
+def weight_frame(spark, d):
+    return resample.weight_frame(_selected(spark, d), ("model",))
+
+
+@query(f"{_SWEEPS}, k AS (SELECT model, count(*) FILTER (survives) AS p, count(*) AS c, count(*) FILTER (tied) > 1 AS t FROM w GROUP BY 1) SELECT sum(p)::BIGINT AS passed, sum(c)::BIGINT AS candidates, count(*) FILTER (t) AS tie_broken FROM k")
+def selection_counts(spark, d):
+    return resample.selection_counts(_selected(spark, d), ("model",))

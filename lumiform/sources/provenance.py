@@ -73,10 +73,11 @@ def current(outputs: DataFrame) -> DataFrame:
 
 
 def changes(outputs: DataFrame, found: DataFrame) -> DataFrame:
-    """stage, file and what is wrong with it (missing, changed), from the recorded files and those that are there (files_below of each stage)."""
-    there = found.select("file", F.col("sha256").alias("now"))
+    """stage, file and what is wrong with it (missing, changed), from the recorded files and those that are there (stage, and files_below of each stage): files
+    of one name in two stages are two."""
+    there = found.select("stage", "file", F.col("sha256").alias("now"))
     wrong = F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("sha256"), "changed")
-    return current(outputs).join(there, "file", "left").select("stage", "file", wrong.alias("wrong")).filter("wrong IS NOT NULL")
+    return current(outputs).join(there, ["stage", "file"], "left").select("stage", "file", wrong.alias("wrong")).filter("wrong IS NOT NULL")
 
 
 def run_row(spark: SparkSession, run: str, stage: str, source: str, began: float, failed: bool) -> DataFrame:

@@ -31,7 +31,8 @@ def test_ranges_of_boxes_in_boxes_and_unclosed_tables():
     assert markup.infobox_ranges(raw) == [(0, len(raw)), (23, len(raw) - 8)]
     assert markup.without_nested_tables("<table>A<table>B tail") == "<table>A<table>B tail"
     assert markup.without_nested_tables("</table><table>a<table>b</table>") == "</table><table>a "
-    assert markup.without_spans('<span class="noprint">x<span class="noprint">y</span>z</span>tail', r'<span class="noprint">') == "tail"
+    deep = "".join(f'<span class="noprint">{i}' for i in range(4)) + "</span>" * 4
+    assert markup.without_spans(f"left {deep}right{deep}", r'<span class="noprint">') == "left right"
 
 
 def test_markup_takes_time_in_proportion():
@@ -75,11 +76,14 @@ def test_outputs_are_told_apart_by_their_digests(spark, tmp_path):
         provenance.append(provenance.stage_outputs(spark, str(tmp_path / stage), stage, run), log)
     outputs = spark.read.parquet(log)
     assert {(r.run, r.stage) for r in provenance.current(outputs).collect()} == {("2", "one"), ("1", "two")}
-    there = lambda: provenance.files_below(spark, one).unionByName(provenance.files_below(spark, two))
+    of = lambda folder, stage: provenance.files_below(spark, folder).withColumn("stage", F.lit(stage))
+    there = lambda: of(one, "one").unionByName(of(two, "two"))
     assert there().count() == there().select("file").distinct().count() and provenance.changes(outputs, there()).count() == 0
     spark.range(3).write.mode("overwrite").parquet(one)
     wrong = provenance.changes(outputs, there()).collect()
     assert wrong and {(r.stage, r.wrong) for r in wrong} == {("one", "missing")}
+    same = spark.createDataFrame([("1", s, "part-0", 1, f"sha of {s}") for s in ("one", "two")], provenance.OUTPUTS)
+    assert provenance.changes(same, same).count() == 0  # one file name in two stages
 
 
 def test_config_leaves_a_test_split():
@@ -95,12 +99,14 @@ def test_events_are_read_back_up_to_a_broken_line(spark, tmp_path):
 
 
 def test_roster(spark):
-    r = roster.Roster([roster.Model("a", "org/x", "X"), roster.Model("a2", "org/x", "X again", weight_from="a")])
-    assert r.resolve("org/x").slug == "a" and r.label_of("other") == "other" and r.by_slug("a").effective_batch == 32
-    with pytest.raises(KeyError):
-        r.resolve("nope")
-    w = roster.chosen_weight(spark.createDataFrame([("a", "0.5")], "slug string, weight string"), r.frame(spark))
-    assert {x.slug: x.weight for x in w.collect()} == {"a": 0.5, "a2": 0.5}
+    rows = [(0, "a", "org/x", "X", 8, 4, None), (1, "a2", "org/x", "X again", 16, 2, "a"), (2, "b", "a", "B", 8, 4, None)]
+    scorers = spark.createDataFrame(rows, roster.SCORERS)
+    asked = spark.createDataFrame([(x,) for x in ("org/x", "a", "a2", "nope", None)], "asked string")
+    got = {r["asked"]: (r["name"], r["label"]) for r in roster.resolved(asked, scorers).withColumn("label", roster.shown()).collect()}
+    assert got == {"org/x": ("a", "X"), "a": ("a", "X"), "a2": ("a2", "X again"), "nope": (None, "nope"), None: (None, None)}
+    assert roster.repeated(scorers).count() == 0 and [r["name"] for r in roster.repeated(scorers.union(scorers.limit(1))).collect()] == ["a"]
+    w = roster.chosen_weight(spark.createDataFrame([("a", "0.5")], "name string, weight string"), scorers)
+    assert {x["name"]: x["weight"] for x in w.collect()} == {"a": 0.5, "a2": 0.5}
 
 
 def test_parity_with_numpy(spark):
