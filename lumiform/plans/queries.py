@@ -356,19 +356,19 @@ _PROSE = (
 )
 
 
-def _prose(spark, d):
+def _prose_corpus(spark, d):
     r = recs(spark, d).select("id", "title", "question", "body")
     return r, bm25.prose_negatives(r)
 
 
 @query(f"WITH {_PROSE} SELECT query_id, rank, neg_id, filled FROM neg")
 def prose_negatives(spark, d):
-    return _prose(spark, d)[1]
+    return _prose_corpus(spark, d)[1]
 
 
 @query(f"WITH {_PROSE}, l AS (SELECT query_id, list(r.body ORDER BY rank) AS texts, count(*) AS n FROM neg JOIN rec r ON r.id = neg_id GROUP BY 1) SELECT id, title, question, md5(body) AS positive, n AS negatives, md5(array_to_string(texts, chr(10))) AS digest FROM rec JOIN l ON query_id = id")
 def build_prose_eval(spark, d):
-    rows = bm25.prose_eval(*_prose(spark, d))
+    rows = bm25.prose_eval(*_prose_corpus(spark, d))
     return rows.select("id", "title", "question", F.md5("positive.text").alias("positive"), F.size("negatives").alias("negatives"), F.md5(F.array_join(F.transform("negatives", lambda x: x["text"]), "\n")).alias("digest"))
 
 
