@@ -9,7 +9,7 @@ a time by which the registers of a document are very likely full; documents that
 Documents with the same words are one node. In each band bucket a hub, another one in every band, is compared with the
 bucket's other nodes, so a bucket of any size costs a pair a node. In buckets that still hold different components the
 signatures of pairs across components are compared in blocks, a row of 141 bytes for each node and block; the nodes of pairs that
-may be similar meet in smaller blocks once more, with their shingles, and only links leave them. No candidate pair that could
+may be similar meet in blocks of bounded bytes once more, with their shingles, and only links leave them. No candidate pair that could
 join two classes stays unexamined.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumiform.llm.common import chunks, dropped, spread_join, table, written
@@ -32,9 +32,9 @@ REGISTERS = BANDS * ROWS
 #: Time is in units of a register's mean wait; registers of a document are full by ln(REGISTERS) + MARGIN with probability 1 - exp(-MARGIN).
 MARGIN = 3.0
 ALL = (1 << 64) - 1
-#: Nodes of a block in which the signatures of pairs across components are compared, nodes of one in which their shingles are, and standard errors
-#: that a signature may be off.
-BLOCK, VERIFIED = 1024, 128
+#: Nodes of a block in which the signatures of pairs across components are compared, bytes of shingles of one in which these are (about, and of no
+#: more nodes), and standard errors that a signature may be off.
+BLOCK, VERIFIED = 1024, 8 << 20
 ERRORS = 4.0
 
 
@@ -196,9 +196,9 @@ def near(block: pa.Table, similarity: float) -> Iterator[tuple[int, np.ndarray]]
         yield p, q[(registers[q] == registers[p]).mean(axis=1) >= least]
 
 
-def in_blocks(rows: DataFrame, size: int, names: list[str]) -> DataFrame:
-    """names, with bucket, i, j, side: each row of rows (bucket, n, node, ...) in every pair of blocks of about `size` nodes that its own block is in."""
-    blocks = F.ceil(F.col("n") / size).cast("int")
+def in_blocks(rows: DataFrame, blocks: Column, names: list[str]) -> DataFrame:
+    """names, with bucket, i, j, side: each row of rows (bucket, node, ...) in every pair of its bucket's blocks that its own block is in."""
+    blocks = F.greatest(F.ceil(blocks), F.lit(1)).cast("int")
     placed = rows.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return placed.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", *names)
 
@@ -207,7 +207,7 @@ def links_across(rows: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
     """Links (a, b) between nodes of one bucket and different labels. rows: bucket, n (the bucket's size), node, label, registers.
 
     A bucket is cut into blocks of BLOCK nodes, and the signatures of pairs of blocks are compared in memory, each by a task of its own, which is a
-    row for each node and block. What may have partners is cut into blocks of VERIFIED nodes and compared with its shingles. A pair that shares
+    row for each node and block. What may have partners is cut into blocks of about VERIFIED bytes and compared with its shingles. A pair that shares
     several buckets is looked at in the first of them. A pair of `similarity` fails by ERRORS standard errors, or never. Once a link joins two
     labels of a block pair, their other pairs needn't be verified."""
 
@@ -241,10 +241,11 @@ def links_across(rows: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     names = ["bucket", "node", "label", "registers"]
-    keyed = in_blocks(rows, BLOCK, names[1:])
+    keyed = in_blocks(rows, F.col("n") / BLOCK, names[1:])
     alive = written(keyed.groupBy("bucket", "i", "j").applyInArrow(survive, "bucket long, node long, label long, registers binary").distinct(), "survivors")
-    sizes = alive.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    again = in_blocks(alive.join(sizes, "bucket"), VERIFIED, names[1:])
+    lengths = sets.select("node", F.octet_length("codes").alias("bytes"))
+    sizes = alive.join(lengths, "node").groupBy("bucket").agg(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / VERIFIED).alias("blocks"))
+    again = in_blocks(alive.join(sizes, "bucket"), F.col("blocks"), names[1:])
     return again.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(verify, "a long, b long").distinct()
 
 

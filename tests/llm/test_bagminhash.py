@@ -46,6 +46,7 @@ def classes(spark, rows):
 @pytest.mark.parametrize("block", [256, 7])
 def test_classes_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(B, "BLOCK", block)
+    monkeypatch.setattr(B, "VERIFIED", block * 1000)
     draw = random.Random(5)
     texts = family(draw, 60, 150, 6) + family(draw, 12, 40, 2) + family(draw, 8, 400, 3) + [f"alone {i} {draw.random()} one two three" for i in range(20)]
     texts += [texts[0]] * 5 + [texts[0].upper(), "a b", "a b", "A, b!", "", "  .", "word " * 300, "word " * 290, "word " * 200]
