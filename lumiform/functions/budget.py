@@ -50,26 +50,33 @@ def truncate(body: Column, budget: Column, name: str) -> Column:
     """The body within budget tokens: null under FLOOR, whole if it fits, else cut behind the last sentence end of the last TAIL characters,
     or at the last space beyond the 20th character, or hard."""
     count, piece = TOKENIZERS[name]
-    cut = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(piece), F.lit(0)), F.lit(1), F.greatest(budget, F.lit(1))), "")
-    start = F.greatest(F.length(cut) - TAIL, F.lit(0))
-    tail = F.substr(cut, start + 1)
-    sentence = F.regexp_extract(tail, r"(?s)^(.*[.!?])(?:[ \t\n].*)?$", 1)
+
+    def within(b: Column) -> Column:
+        cut = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(piece), F.lit(0)), F.lit(1), F.greatest(b, F.lit(1))), "")
+        ended = once(cut, lambda c: once(F.regexp_extract(F.substr(c, tail_of(c) + 1), r"(?s)^(.*[.!?])(?:[ \t\n].*)?$", 1), lambda sentence: at_end(c, sentence)))
+        return F.when(b < FLOOR, F.lit(None).cast("string")).when(body == "", F.lit("")).when(count(body) <= b, body).otherwise(F.rtrim(ended))
+
+    return once(budget, within)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once: a plain expression would be made again wherever it stands."""
+    return F.transform(F.array(value), use)[0]
+
+
+def tail_of(cut: Column) -> Column:
+    """Where the part begins in which a sentence end is looked for."""
+    return F.greatest(F.length(cut) - TAIL, F.lit(0))
+
+
+def at_end(cut: Column, sentence: Column) -> Column:
+    """cut behind the last sentence end, at its last space, or as it is."""
     space = F.length(cut) - F.instr(F.reverse(cut), " ")  # place of the last space
-    fitted = (
-        F.when(F.length(sentence) > 0, F.concat(F.left(cut, start), sentence))
-        .when((F.instr(cut, " ") > 0) & (space > 20), F.left(cut, space))
-        .otherwise(cut)
-    )
-    return F.when(budget < FLOOR, F.lit(None).cast("string")).when(body == "", F.lit("")).when(count(body) <= budget, body).otherwise(F.rtrim(fitted))
+    return F.when(F.length(sentence) > 0, F.concat(F.left(cut, tail_of(cut)), sentence)).when((F.instr(cut, " ") > 0) & (space > 20), F.left(cut, space)).otherwise(cut)
 
 
 def refit(question: Column, pairs: Column, body: Column, max_tokens: int = MAX_TOKENS) -> Column:
-    """Every tokenizer budgets and cuts on its own; the shortest cut wins, null if one has no room."""
-    cuts = [truncate(body, budget_of(question, pairs, TOKENIZERS[n][0], max_tokens), n) for n in TOKENIZERS]
-    none = cuts[0].isNull()
-    for c in cuts[1:]:
-        none = none | c.isNull()
-    shortest = cuts[0]
-    for c in cuts[1:]:
-        shortest = F.when(F.length(c) < F.length(shortest), c).otherwise(shortest)
-    return F.when(~none, shortest)
+    """Every tokenizer budgets and cuts on its own; the shortest cut wins, the first of equal ones, null if one has no room."""
+    cuts = F.array(*[truncate(body, budget_of(question, pairs, TOKENIZERS[n][0], max_tokens), n) for n in TOKENIZERS])
+    shorter = lambda a, b: F.when(F.length(b) < F.length(a), b).otherwise(a)
+    return once(cuts, lambda c: F.when(~F.exists(c, lambda x: x.isNull()), F.aggregate(F.slice(c, F.lit(2), F.size(c)), F.element_at(c, 1), shorter)))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,12 +27,42 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
 
 
-#: Character references that pages use; & comes last, so nothing is decoded twice.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"))
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def named_characters() -> dict[str, int]:
+    """The code points of HTML's named references, from the standard library's table."""
+    from html.entities import name2codepoint
+
+    return {**name2codepoint, "apos": 39}
+
+
+def numbered_characters() -> dict[int, int]:
+    """What references to control characters mean: those from 128 to 159 are Windows-1252's."""
+    told = {i: ord(bytes([i]).decode("cp1252", "replace")) for i in range(128, 160)}
+    return {i: c for i, c in told.items() if c != 0xFFFD} | {0: 0xFFFD}
+
+
+def character(point: Column) -> Column:
+    """The character of a code point; U+FFFD for surrogates and what is beyond Unicode."""
+    fine = F.when((point > 0x10FFFF) | point.between(0xD800, 0xDFFF), 0xFFFD).otherwise(point)
+    return F.decode(F.unhex(F.lpad(F.hex(fine.cast("long")), 8, "0")), "UTF-32")
 
 
 def decode_entities(text: Column) -> Column:
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    """text with its character references decoded, named and numbered, each once; unknown ones and those without a semicolon stay."""
+    names = F.create_map(*[x for k, v in named_characters().items() for x in (F.lit(k), F.lit(v))])
+    numbers = F.create_map(*[x for k, v in numbered_characters().items() for x in (F.lit(k), F.lit(v))])
+
+    def part(piece: Column) -> Column:
+        name = F.regexp_extract(piece, REFERENCE, 1)
+        number = F.when(F.lower(F.left(name, F.lit(2))) == "#x", F.conv(F.substr(name, F.lit(3)), 16, 10).cast("int")).when(F.startswith(name, F.lit("#")), F.substr(name, F.lit(2)).cast("int"))
+        point = F.coalesce(F.try_element_at(numbers, number), number, F.try_element_at(names, name))
+        return F.when(point.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(character(point), F.substr(piece, F.length(name) + 2)))
+
+    pieces = F.split(text, "&")
+    decoded = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), part), ""))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:
@@ -42,10 +71,10 @@ def html_to_text(html: Column) -> Column:
 
 
 def clean_cell(html: Column) -> Column:
-    """A table cell without reference marks, hidden spans and tags."""
-    out = F.regexp_replace(html, r'(?is)<sup[^>]*class="[^"]*reference[^"]*"[^>]*>.*?</sup>', "")
-    out = F.regexp_replace(out, r'(?is)<span[^>]*(?:class="[^"]*noprint[^"]*"|style="[^"]*display:\s*none[^"]*")[^>]*>.*?</span>', "")
-    return html_to_text(out)
+    """A table cell without reference marks, tags, and hidden spans with all that they hold."""
+    from lumiform.functions import markup
+
+    return html_to_text(F.regexp_replace(markup.strip_spans(html, markup.HIDDEN), r'(?is)<sup[^>]*class="[^"]*reference[^"]*"[^>]*>.*?</sup>', ""))
 
 
 def clean_key(key: Column) -> Column:

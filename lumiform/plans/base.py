@@ -50,15 +50,18 @@ def gold_scores(spark: SparkSession, d: str, arms: list = ONE) -> DataFrame:
 
 
 def lexical(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of every rendered record against its own question: how often the question's words occur, damped, and the more so the longer the rendering."""
-    r = rendered(spark, d)
-    q = F.array_distinct(F.split("question", " "))
-    damp = 1.5 * (0.25 + 0.75 * F.length("rendered") / 2000.0)
-    # the words are bound as a lambda's variable: as a plain expression they would be made again for every word of the question
-    times = lambda words: F.transform(q, lambda t: (F.size(words) - F.size(F.array_remove(words, t))).cast("double"))
-    tf = F.transform(F.array(T.tokens("rendered")), times)[0]
-    score = F.aggregate(tf, F.lit(0.0), lambda acc, x: acc + x * 2.5 / (x + damp))
-    return r.select(F.col("id").alias("record_id"), "format", "fpos", F.round(score, 6).alias("score"))
+    """Scores of every rendered record against its own question: how often the question's words occur, damped, and the more so the longer the rendering.
+
+    A rendering is a header and the record's body, so the body is read for words once, not once a format, and only the question's words are kept of it."""
+    r = recs(spark, d).select("id", "pairs", "body", F.array_distinct(F.split("question", " ")).alias("q"))
+    asked = lambda text: F.filter(T.tokens(text), lambda w: F.array_contains("q", w))
+    own = r.select("id", "q", "pairs", F.length("body").alias("size"), asked(F.col("body")).alias("own"))
+    head = F.explode(F.array(*[F.struct(F.lit(n).alias("format"), F.lit(i).alias("fpos"), render.RENDERERS[n](F.col("pairs"), F.lit("")).alias("head")) for i, n in enumerate(render.FORMATS)]))
+    rows = own.select("id", "q", "size", "own", head.alias("h")).select("id", "q", "size", "h.format", "h.fpos", "h.head", F.concat("own", asked(F.col("h.head"))).alias("words"))
+    damp = 1.5 * (0.25 + 0.75 * (F.col("size") + F.length("head")) / 2000.0)
+    times = F.transform("q", lambda t: F.size(F.filter("words", lambda w: w == t)).cast("double"))
+    score = F.aggregate(times, F.lit(0.0), lambda acc, x: acc + x * 2.5 / (x + damp))
+    return rows.select(F.col("id").alias("record_id"), "format", "fpos", F.round(score, 6).alias("score"))
 
 
 TOK = budget.TOKENIZERS

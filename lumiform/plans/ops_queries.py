@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from lumiform.functions import budget as B
-from lumiform.functions.render import explode_formats
+from lumiform.functions.render import FORMATS, explode_formats
 from lumiform.operators import order, scorers
 from lumiform.plans import scoring
-from lumiform.plans.base import FMT, RECS, REN, recs, ren_sql, rendered
+from lumiform.plans.base import FMT, REN, gold_scores, recs, ren_sql, rendered, tensor_sql
 from lumiform.plans.queries import _BUDGET, _count, query
+from lumiform.sources import results
 from lumiform.sources.readers import table
 from lumiform.sources.scratch import shared_folder
 from lumiform.streaming import watch
@@ -109,3 +110,40 @@ def job_watch(spark, d):
     job = F.concat(F.lit("train_m"), F.col("user_id") % 3, F.lit("_u"), "user_id")
     folder = f"{shared_folder(spark)}/lumiform/watch-{uuid.uuid4().hex}"
     return watch.latest_states(spark, stream.select(job.alias("job"), "ts", line.alias("line")), f"{folder}/checkpoint", f"{folder}/out", STALE)
+
+
+# -- result documents
+
+
+#: Records of a document.
+RECORDS = 5000
+
+
+@query(f"WITH {_OV} SELECT 'm1' AS model, format, id AS record_id, round(score, 6) AS score FROM sc")
+def stored_scores(spark, d):
+    """Scores written as JSON documents of up to RECORDS records or so, each with an array for every format, and loaded again."""
+    folder = f"{shared_folder(spark)}/lumiform/results-{uuid.uuid4().hex}"
+    scored = scorers.OverlapScorer().score(rendered(spark, d).select("id", "format", "question", F.col("rendered").alias("passage")))
+    part = F.floor(F.col("id") / RECORDS).alias("part")
+    lists = scored.groupBy(part, "format").agg(F.array_sort(F.collect_list(F.struct("id", "score"))).alias("l"))
+    documents = lists.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("format", F.transform("l", lambda x: x["score"])))).alias("scores_per_fmt"), F.first(F.transform("l", lambda x: x["id"].cast("string"))).alias("record_ids"))
+    documents.select(F.lit("m1").alias("model"), F.lit("untrained").alias("arm"), F.lit(0).alias("seed"), "record_ids", "scores_per_fmt").write.option("maxRecordsPerFile", 1).json(folder)
+    return results.load_scores(spark, f"{folder}/*.json").select("model", "format", F.col("record_id").cast("long").alias("record_id"), "score")
+
+
+def _fold_rows(spark, d):
+    """Scores of arms trained with one format held out: the tensor's, a fold for each format."""
+    s = gold_scores(spark, d, FOLDS).withColumn("fold", F.substring_index("arm", "-", -1)).withColumn("arm", F.lit("winner"))
+    return s.select("model", "arm", "seed", "fold", "record_id", "format", "fpos", "score")
+
+
+FOLDS = [(m, f"held-{f}", s, 30 + 2 * i + 5 * s + k, 1 + i % 2) for m, k in (("m1", 0), ("m2", 9)) for i, f in enumerate(FORMATS) for s in (0, 1)]
+_FOLD = f"""WITH {tensor_sql(FOLDS)}, s AS (SELECT model, split_part(arm, '-', 2) AS fold, seed, query_id, format, fpos, score FROM tensor WHERE cand = 0),
+p AS (SELECT a.model, a.fold, a.seed, a.format || '-' || b.format AS pair, a.fold IN (a.format, b.format) AS ood, avg(a.score - b.score) / (stddev_pop(a.score - b.score) + 1e-12) AS d FROM s a JOIN s b ON a.model = b.model AND a.fold = b.fold AND a.seed = b.seed AND a.query_id = b.query_id AND a.fpos < b.fpos GROUP BY ALL)"""
+
+
+@query(f"{_FOLD}, m AS (SELECT model, seed, fold, ood, max(abs(d)) AS d FROM p GROUP BY ALL) SELECT model, seed, round(avg(d) FILTER (ood), 6) AS ood, round(avg(d) FILTER (NOT ood), 6) AS in_training FROM m GROUP BY ALL")
+def fold_scores(spark, d):
+    rows = _fold_rows(spark, d)
+    sides = [results.mean_max_d(rows, ood).select("model", "seed", F.col("mean_max_d").alias(name)) for ood, name in ((True, "ood"), (False, "in_training"))]
+    return sides[0].join(sides[1], ["model", "seed"])

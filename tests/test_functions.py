@@ -67,6 +67,14 @@ def test_answer_class(spark, answers, expected):
 def test_entities_match_python(spark):
     text = "a &amp;lt; b &copy; &quot;q&quot; &middot; &mdash;"
     assert one(spark, T.decode_entities(F.lit(text))) == html.unescape(text)
+    text = "&eacute;&#233;&#xE9;&#XE9; &#128;&#150; &#x1F600; &nope; &#0;&#xD800;&#x110000; &nbsp;&apos; a & b &; &#; &lt;&Eacute; &thetasym;"
+    assert one(spark, T.decode_entities(F.lit(text))) == html.unescape(text)
+    assert one(spark, T.decode_entities(F.lit(""))) == "" and one(spark, T.decode_entities(F.lit(None).cast("string"))) is None
+
+
+def test_cells_lose_hidden_spans_whole(spark):
+    cell = 'a<span style="display: none">x<span>y</span>z</span>b<sup class="reference">[1]</sup> c&eacute;'
+    assert one(spark, T.clean_cell(F.lit(cell))) == "ab cé"
 
 
 def test_infobox_rows(spark):
