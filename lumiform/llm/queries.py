@@ -10,11 +10,11 @@ from lumiform.llm.html import op6_html
 from lumiform.llm.langid import op12_language
 from lumiform.llm.lines import OP10_SQL, op10_line_dedup
 from lumiform.llm.packing import op5_packing
-from lumiform.llm.suffix import op8_suffix_dedup
+from lumiform.llm.suffix import OP8_SQL, op8_suffix_dedup
 from lumiform.llm.tiff import op1_tiff
 from lumiform.llm.tokens import op9_token_counts
 from lumiform.llm.toxicity import op2_toxicity
-from lumiform.llm.variants import op13_variants
+from lumiform.llm.variants import OP13_SQL, op13_variants
 
 QUERIES = {
     "op1_tiff": op1_tiff,
@@ -34,6 +34,8 @@ QUERIES = {
 
 ORACLE = {
     "op7_chat": OP7_SQL,
+    "op8_suffix_dedup": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op13_variants": OP13_SQL,
 }

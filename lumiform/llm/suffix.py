@@ -287,3 +287,26 @@ def repeats(docs: DataFrame) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: Over the hexadecimal digits of every text: all windows, those that start earlier elsewhere, their unions, and what is left.
+OP8_SQL = f"""
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), s AS (
+  SELECT doc_id, p, md5(substr(hx, 2 * p + 1, {2 * THRESHOLD})) AS h FROM (SELECT doc_id, hx, unnest(range(n - {THRESHOLD - 1})) AS p FROM t WHERE n >= {THRESHOLD})
+), r AS (
+  SELECT doc_id, p FROM s QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1
+), i AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {THRESHOLD} THEN 0 ELSE 1 END AS fresh FROM r)
+), c AS (
+  SELECT doc_id, min(p) AS a, max(p) + {THRESHOLD} AS b FROM i GROUP BY doc_id, g
+), k AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM c UNION ALL SELECT doc_id, coalesce(max(c.b), 0), any_value(n) FROM t LEFT JOIN c USING (doc_id) GROUP BY doc_id
+), x AS (
+  SELECT doc_id, string_agg(substr(hx, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY a) AS kept FROM k JOIN t USING (doc_id) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM c GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM t JOIN x USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

@@ -263,3 +263,35 @@ def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per word of all documents: word, form, root, n, n_near, form_n."""
     words = written(corpus_words(table(spark, sf_dir, "documents")), "variant-words")
     return group_variants(words)
+
+
+_BYTES = "list_transform(range(octet_length(encode(s))), lambda i: ('0x' || substr(hex(encode(s)), 2 * i + 1, 2))::UBIGINT)"
+#: crc32 of s, a bit at a time: 3988292384 is its polynomial.
+_CRC32 = f"xor(list_reduce({_BYTES}, lambda c, b: list_reduce([xor(c, b), 0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[], lambda a, k: xor(a >> 1, 3988292384::UBIGINT * (a & 1))), 4294967295::UBIGINT), 4294967295::UBIGINT)"
+#: Near words by comparing what is left when a code point goes.
+OP13_SQL = f"""
+WITH RECURSIVE u AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '{RUN}')), '{UPPER}', '{LOWER}') AS run FROM documents
+), r AS (
+  SELECT id || ':' || run AS s, run, count(*) AS c FROM u WHERE length(run) >= {MIN_LENGTH} GROUP BY ALL
+), h AS (
+  SELECT run, c, {_CRC32} AS h FROM r
+), w AS (
+  SELECT CASE WHEN h % {EVERY} = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(c)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING sum(c) >= {MIN_COUNT} AND length(word) >= {MIN_LENGTH}
+), d AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS x FROM (SELECT word, n, unnest(range(length(word)))::INT AS i FROM w)
+), p AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.i = b.i AND a.x = b.x AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = x UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = x
+), b AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS most FROM p GROUP BY 1
+), f AS (
+  SELECT p.word, min(near) AS near, any_value(most) AS most, any_value(n_near) AS n_near FROM p JOIN b USING (word) WHERE near_n = most GROUP BY 1
+), t AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN near END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n FROM w LEFT JOIN f USING (word)
+), z AS (
+  SELECT word, word AS root, form AS next FROM t UNION ALL SELECT z.word, t.word, t.form FROM z JOIN t ON t.word = z.next
+)
+SELECT t.word, t.form, z.root, t.n, t.n_near, t.form_n FROM t JOIN z ON z.word = t.word AND z.next IS NULL
+"""

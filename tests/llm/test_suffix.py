@@ -1,5 +1,6 @@
 import random
 
+import oracle
 import pytest
 from brute import repeats
 
@@ -72,3 +73,7 @@ def test_null_ids_repeated_rows_and_empty(spark):
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.op8_suffix_dedup(spark, sf).collect()} == repeats(rows)
+
+
+def test_query_against_sql(spark, sf):
+    assert oracle.spark_rows(suffix.op8_suffix_dedup(spark, sf)) == oracle.duck_rows(oracle.connect(sf), suffix.OP8_SQL)

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import oracle
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -89,6 +90,10 @@ def test_query_against_deletions(spark, sf):
     assert len(got) > 1000 and {tuple(r) for r in got} == grouped(counted(docs)) and len(got) == len(set(got))
 
 
+def test_query_against_sql(spark, sf):
+    assert oracle.spark_rows(V.op13_variants(spark, sf)) == oracle.duck_rows(oracle.connect(sf), V.OP13_SQL)
+
+
 @pytest.mark.parametrize("points", [40_000, 30])
 def test_hot_halves_become_grids(spark, points):
     """A prefix and a suffix that many words share, with a group's bound far below their number."""
