@@ -1,9 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed words, word pairs and skip-pairs.
 
 Training sees a bounded sample of the labelled rows (SAMPLE). Its features are written once; every epoch is a job that streams
-them through one task in an order of its own and hands the learner's state, bounded by the hashing space (2**BITS), to the next.
-So memory is that of the coordinates, not that of the texts, and a lost executor costs an epoch. The sparse weights that L1
-leaves are bounded too and may be broadcast. Scoring reads every whole text once, without a shuffle.
+them through one task in an order of its own, behind the state that the epoch before has written, which the hashing space
+(2**BITS) bounds. So memory is that of the coordinates, not that of the texts, a lost executor costs an epoch, and the driver
+gets only the sparse weights that L1 leaves, which may be broadcast. Scoring reads every whole text once, without a shuffle.
 """
 
 from __future__ import annotations
@@ -117,43 +117,60 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     examples = written(keyed.mapInArrow(extract, "doc_id long, aside boolean, y double, x array<int>"), "examples")  # features are made where the texts are
     state = None
     for epoch in range(EPOCHS):
-        state = one_epoch(examples.filter("NOT aside"), epoch, state)
-    w = Learner(state).weights()
-    margins, y = margins_of(examples.filter("aside"), w)
+        before, state = state, one_epoch(examples.filter("NOT aside"), epoch, state)
+        if before is not None:
+            dropped(before)
+    kept, w = weights_of(state)
+    margins, y = margins_of(examples.filter("aside"), (kept, w))
     if 0 < y.sum() < len(y):
         a, b = calibrate(margins, y)
-        w *= a
-        w[BIAS] += b
-    dropped(examples)
-    kept = np.flatnonzero(w)
-    return kept, w[kept]
+        at_bias = kept == BIAS
+        kept, w = np.append(kept[~at_bias], BIAS), np.append(w[~at_bias] * a, w[at_bias].sum() * a + b)
+    dropped(examples, state)
+    return kept, w
 
 
-def one_epoch(examples: DataFrame, epoch: int, state: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The learner's state behind all examples (doc_id, y, x), which come in the order of a hash of epoch and doc_id."""
-    sent = examples.sparkSession.sparkContext.broadcast(state)
+def one_epoch(examples: DataFrame, epoch: int, state: DataFrame | None) -> DataFrame:
+    """The learner's state (i, z, n) behind all examples (doc_id, y, x), which come in the order of a hash of epoch and doc_id. The state before comes
+    first in the stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(sent.value)
+        learner = Learner()
         for batch in batches:
-            for y, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held = batch.column(0).to_numpy() == 0
+            at, z, n = (batch.column(k).to_numpy()[held] for k in (1, 2, 3))
+            learner.z[at], learner.n[at] = z, n
+            rest = batch.filter(pa.array(~held))
+            for y, x in zip(rest.column(4).to_pylist(), rest.column(5), strict=True):
                 learner.learn(x.values.to_numpy(), y)
         at, z, n = learner.state()
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(z), pa.array(n)], ["i", "z", "n"])
+        for a in range(0, len(at), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(at[part], pa.int64()), pa.array(z[part]), pa.array(n[part])], ["i", "z", "n"])
 
-    ordered = examples.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(epoch), "doc_id"), "doc_id").select("y", "x")
-    found = ordered.mapInArrow(run, "i long, z double, n double").toArrow()  # at most 2**BITS rows
-    sent.unpersist()
-    return found["i"].to_numpy(), found["z"].to_numpy(), found["n"].to_numpy()
+    none = [F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("z"), F.lit(0.0).alias("n")]
+    rows = examples.select(F.lit(1).alias("kind"), F.xxhash64(F.lit(epoch), "doc_id").alias("place"), "doc_id", *none, "y", "x")
+    if state is not None:
+        rows = rows.unionByName(state.select(F.lit(0).alias("kind"), F.col("i").alias("place"), F.lit(0).cast("long").alias("doc_id"), "i", "z", "n", F.lit(0.0).alias("y"), F.array().cast("array<int>").alias("x")))
+    ordered = rows.repartition(1).sortWithinPartitions("kind", "place", "doc_id").select("kind", "i", "z", "n", "y", "x")
+    return written(ordered.mapInArrow(run, "i long, z double, n double"), "ftrl-state")
 
 
-def margins_of(examples: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weights_of(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The coordinates that L1 leaves, in order, and their weights."""
+    found = state.filter(F.abs("z") > L1).orderBy("i").toArrow()
+    at, z, n = (found[c].to_numpy() for c in ("i", "z", "n"))
+    return at, Learner((at, z, n)).weights(at)
+
+
+def margins_of(examples: DataFrame, sparse: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Margin and label of each example (y, x); there are as many as the sample holds at most."""
-    sent = examples.sparkSession.sparkContext.broadcast(w)
+    sent = examples.sparkSession.sparkContext.broadcast(sparse)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = spread_weights(sent.value)
         for batch in batches:
-            sums = [float(sent.value[x.values.to_numpy()].sum()) for x in batch.column(1)]
+            sums = [float(w[x.values.to_numpy()].sum()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.float64()), batch.column(0)], ["margin", "y"])
 
     found = examples.select("y", "x").mapInArrow(run, "margin double, y double").toArrow()
