@@ -134,7 +134,9 @@ def weighted_sums(values: DataFrame, count: int, weights: Weights, keys: tuple[s
 def block_sums(rows: DataFrame, count: int, weights: Weights, keys: tuple[str, ...] = (), by_block: bool = True) -> DataFrame:
     """keys, n, b, s, w as in `weighted_sums`, in parts: one a task and key, or with by_block one a block, and its number in `block` (else -1). rows: `placed`."""
     source, where = rows, [F.col(k) for k in (*keys, "block")]
-    rows = rows.repartition(*where).sortWithinPartitions(*where, "idx").select(*keys, "n", "block", "v")
+    # a number of its own: a block is few bytes but much work, so blocks must not be packed into tasks by their bytes
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, *where).sortWithinPartitions(*where, "idx").select(*keys, "n", "block", "v")
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
